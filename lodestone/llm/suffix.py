@@ -435,3 +435,21 @@ def dedup_bytes(docs: DataFrame, length: int = 200, text: str = "text", per_text
     result = per_text(texts.join(starts, ["h1", "h2"], "left").mapInArrow(removal(length), RESULT))
     rows = docs.select(*[c for c in docs.columns if c not in {text, "h1", "h2", *result.columns}], *text_key(F.col(text)))
     return rows.join(result, ["h1", "h2"], "left").drop("h1", "h2")
+
+
+def clean(docs: DataFrame, length: int = 200, text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the text; a character that a cut splits goes as a whole.
+
+    No row goes: a text of nothing but repeated bytes becomes empty, null stays null. ``chars`` is counted anew.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"h1": batch["h1"], "h2": batch["h2"], "_kept": pa.array([x.decode("utf-8", "ignore") for x in batch["kept"].to_pylist()], pa.string())})
+
+    result = lambda d: d.select("h1", "h2", "kept").mapInArrow(run, "h1 long, h2 long, _kept string")
+    d = dedup_bytes(docs.withColumn("_null", F.col(text).isNull()), length, text, result)
+    d = d.withColumn(text, F.when(~F.col("_null"), F.col("_kept")))
+    if chars in docs.columns:
+        d = d.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType))
+    return d.select(*docs.columns)
