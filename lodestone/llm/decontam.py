@@ -60,7 +60,8 @@ def hits(keyed: DataFrame, items: DataFrame, size: int = 10, item_id: str = "ite
     d = d.select("_k1", "_k2", "w", F.expr("transform(w, x -> xxhash64(x))").alias("h"))
     arrays = [f"if(size(h) < {n}, cast(array() as array<bigint>), transform(sequence(1, greatest(size(h) - {n} + 1, 1)), i -> xxhash64(slice(h, i, {n}))))" for n in sizes]
     d = d.select("_k1", "_k2", "w", F.expr(arrays[0] if len(arrays) == 1 else f"concat({', '.join(arrays)})").alias("all"))
-    d = d.where(F.size("all") > 0).select("_k1", "_k2", "w", F.posexplode("all").alias("at", "wh"))
+    # The outer form: for the inner one Spark infers a filter on the array and computes all of it a second time.
+    d = d.select("_k1", "_k2", "w", F.posexplode_outer("all").alias("at", "wh")).where("wh is not null")
     first, start, length = "0", "case", "case"
     for n in sizes:
         count = f"greatest(size(w) - {n} + 1, 0)"
@@ -69,7 +70,9 @@ def hits(keyed: DataFrame, items: DataFrame, size: int = 10, item_id: str = "ite
         first += f" + {count}"
     begin, span = F.expr(f"{start} end").alias("start"), F.expr(f"{length} end").alias("span")
     if small:
-        met = d.join(F.broadcast(table), "wh").select("_k1", "_k2", "w", begin, span, "ws", "items").where("span = size(ws) and slice(w, start + 1, span) = ws")
+        met = d.join(F.broadcast(table), "wh").select("_k1", "_k2", "w", begin, span, "ws", "items")
+        # Written as two comparisons: an equality would become a join key and be computed for every window.
+        met = met.where("slice(w, start + 1, span) >= ws and slice(w, start + 1, span) <= ws")
         found = met.select("_k1", "_k2", F.struct("start", "span").alias("s"), "items")
         return found.groupBy("_k1", "_k2").agg(F.collect_set("s").alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("found"))
     met = d.select("_k1", "_k2", "wh", begin, span).join(table, "wh").where("span = len")
