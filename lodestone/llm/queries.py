@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_text, langid, minhash, quality, sharding, substring, suffix, warc
+from . import bpe, decontam, html_text, langid, minhash, oracles, quality, sharding, substring, suffix, warc
 from .common import work_dir
 
 
@@ -78,4 +78,4 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_decontamination, op4_near_dedup, op5_sharding, op6_warc, op7_html_text, op8_bpe, op9_substring_dedup, op10_suffix_array_dedup)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracles.ORACLE)
