@@ -42,6 +42,11 @@ def any_ilike(pattern: str, *columns: str) -> Column:
     return out
 
 
+def any_ilike_list(c: str, pattern: str) -> Column:
+    """Case-insensitive substring in any string of an array column."""
+    return F.coalesce(F.exists(F.col(c), lambda x: F.contains(F.lower(x), F.lit(pattern.lower()))), F.lit(False))
+
+
 def governed(include_excluded: bool = False, status: str = "governance_status", trust: str = "trust_class") -> Column:
     if include_excluded:
         return F.lit(True)

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FACT = "struct<subject:string,predicate:string,value:string,kind:string,confidence:double>"
 FACTS = f"array<{FACT}>"
@@ -30,9 +31,11 @@ def record(df: DataFrame, source_type: str, key: Column, title: Column, body: Co
 
 def read_json_items(spark: SparkSession, path: str, schema: str, wrappers: Sequence[str] = ("data", "tasks", "commits", "items")) -> DataFrame:
     """JSON documents or lines: wrapped lists are unwrapped, single objects are one row, bad input fails with its file."""
+    row = T._parse_datatype_string(schema)
+    many = T.ArrayType(row)
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
-    lists = F.coalesce(*[F.from_json(F.get_json_object("value", f"$.{w}"), f"array<{schema}>") for w in wrappers], F.when(F.trim("value").startswith("["), F.from_json("value", f"array<{schema}>")))
-    lines = F.transform(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, schema, {"mode": "FAILFAST"}))
+    lists = F.coalesce(*[F.from_json(F.get_json_object("value", f"$.{w}"), many) for w in wrappers], F.when(F.trim("value").startswith("["), F.from_json("value", many)))
+    lines = F.transform(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, row, {"mode": "FAILFAST"}))
     whole = text.withColumn("items", F.when(lists.isNotNull(), lists).otherwise(lines))
     return whole.select("file", F.posexplode("items").alias("line", "item")).select("file", F.col("line") + 1, "item.*")
 
@@ -169,26 +172,27 @@ def media_manifest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return media, r.withColumn("valid_box", F.coalesce(ok, F.lit(False)))
 
 
-#: What each kind of source must bring for its facts to be accepted.
-GATES: dict[str, dict[str, Column]] = {
-    "incident_note": {"episode": F.col("episode_id").isNotNull(), "segment": F.size("segment_ids") > 0},
-    "agent_session": {"source_key": F.col("source_key").isNotNull()},
-    "personal_note": {"scope": F.col("scope_path").isNotNull()},
-    "chat_digest": {"channel": F.col("subject").startswith("chat:") | F.col("meta")["channel"].isNotNull()},
-    "monitoring_alert": {"service": F.col("meta")["service"].isNotNull(), "severity": F.col("meta")["severity"].isNotNull()},
-    "messenger": {"message_id": F.col("meta")["message_id"].isNotNull()},
-    "task_export": {"source_key": F.col("source_key").rlike(r"^task_export:[^:\s]+$")},
-    "commit": {"source_key": F.col("source_key").rlike(r"(?i)^commit:[^:\s]+:[a-f0-9]{7,64}$")},
-    "assistant_memory": {"source_key": F.col("source_key").rlike(r"^assistant_memory:[^:\s]+$"), "segment": F.size("segment_ids") > 0},
-    "project_doc": {"source_key": F.col("source_key").rlike(r"^project_doc:[^\s]+$"), "scope": F.col("scope_path").startswith("project:"), "segment": F.size("segment_ids") > 0},
-}
+def gates() -> dict[str, dict[str, Column]]:
+    """What each kind of source must bring for its facts to be accepted."""
+    return {
+        "incident_note": {"episode": F.col("episode_id").isNotNull(), "segment": F.size("segment_ids") > 0},
+        "agent_session": {"source_key": F.col("source_key").isNotNull()},
+        "personal_note": {"scope": F.col("scope_path").isNotNull()},
+        "chat_digest": {"channel": F.col("subject").startswith("chat:") | F.col("meta")["channel"].isNotNull()},
+        "monitoring_alert": {"service": F.col("meta")["service"].isNotNull(), "severity": F.col("meta")["severity"].isNotNull()},
+        "messenger": {"message_id": F.col("meta")["message_id"].isNotNull()},
+        "task_export": {"source_key": F.col("source_key").rlike(r"^task_export:[^:\s]+$")},
+        "commit": {"source_key": F.col("source_key").rlike(r"(?i)^commit:[^:\s]+:[a-f0-9]{7,64}$")},
+        "assistant_memory": {"source_key": F.col("source_key").rlike(r"^assistant_memory:[^:\s]+$"), "segment": F.size("segment_ids") > 0},
+        "project_doc": {"source_key": F.col("source_key").rlike(r"^project_doc:[^\s]+$"), "scope": F.col("scope_path").startswith("project:"), "segment": F.size("segment_ids") > 0},
+    }
 
 
 def gate(facts_: DataFrame) -> DataFrame:
     """Facts with ``reject_reason`` (null if accepted): universal checks, then those of the source type."""
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     reason = F.when(blank("subject"), "blank subject").when(blank("predicate"), "blank predicate").when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence out of range")
-    for kind, checks in GATES.items():
+    for kind, checks in gates().items():
         for name, ok in checks.items():
             reason = reason.when((F.col("source_type") == kind) & ~F.coalesce(ok, F.lit(False)), f"missing {name}")
     return facts_.withColumn("reject_reason", reason)
