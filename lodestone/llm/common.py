@@ -209,16 +209,41 @@ def _gather(table: pa.Table, pos: str, counts: str, docs: str) -> tuple[np.ndarr
     return p, np.repeat(np.arange(len(c)), c) if len(c) else _NONE, d  # type: ignore[return-value]
 
 
-def places_table(pos: np.ndarray, run: np.ndarray, docs: np.ndarray) -> pa.Table:
-    """One row per run of places of a document."""
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(run)]]) if len(run) else np.zeros(1, np.int64)
-    first = run[cut[:-1]] if len(run) else _NONE
-    raw = pos.astype(np.int32).tobytes()
-    blobs = [raw[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.table({"h1": pa.array(docs[first, 0] if len(first) else _NONE, pa.int64()), "h2": pa.array(docs[first, 1] if len(first) else _NONE, pa.int64()), "pos": pa.array(blobs, pa.binary())})
+#: One row per reducer and home bucket of documents.
+HOMES = "home int, pos binary, counts binary, docs binary"
 
 
-def settle(words: int) -> Callable[[pa.Table], pa.Table]:
+def homes_table(pos: np.ndarray, run: np.ndarray, docs: np.ndarray, homes: int) -> pa.Table:
+    """Places, as runs of documents, dealt to the home buckets of their documents."""
+    rows: dict[str, list] = {c.split()[0]: [] for c in HOMES.split(", ")}
+    if len(run):
+        home = (mix(docs[:, 0].astype(np.uint64) ^ mix(docs[:, 1].astype(np.uint64))) % np.uint64(homes)).astype(np.int64)[run]
+        order = np.lexsort((run, home))
+        edge = np.searchsorted(home[order], np.arange(homes + 1))
+        for b in np.flatnonzero(np.diff(edge)).tolist():
+            part = order[edge[b] : edge[b + 1]]
+            rows["home"].append(b)
+            for name, blob in zip(("pos", "counts", "docs"), _places(run[part], pos[part], docs), strict=True):
+                rows[name].append(blob)
+    return pa.table({c: pa.array(v, pa.int32() if c == "home" else pa.binary()) for c, v in rows.items()})
+
+
+def at_home(table: pa.Table) -> pa.Table:
+    """One row per document of a home bucket, with all its places in the order they came."""
+    pos, run, docs = _gather(table, "pos", "counts", "docs")
+    unique, doc = np.unique(docs, axis=0, return_inverse=True)
+    doc = doc.ravel()[run] if len(run) else run
+    order = np.argsort(doc, kind="stable")
+    edge = np.searchsorted(doc[order], np.arange(len(unique) + 1)) * 4
+    raw = pos[order].astype(np.int32).tobytes()
+    return pa.table({"h1": pa.array(unique[:, 0], pa.int64()), "h2": pa.array(unique[:, 1], pa.int64()), "pos": pa.array([raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)], pa.binary())})
+
+
+def by_document(homes: DataFrame) -> DataFrame:
+    return homes.groupBy("home").applyInArrow(at_home, PLACES)
+
+
+def settle(words: int, homes: int) -> Callable[[pa.Table], pa.Table]:
     """Reduce side: the places whose key of ``words`` 64 bit words occurs twice or more."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -236,15 +261,14 @@ def settle(words: int) -> Callable[[pa.Table], pa.Table]:
         hit[order] = seen[group] > 1
         hit &= multi == 0
         s_pos, s_at, s_docs = _gather(table, "s_pos", "s_counts", "s_docs")
-        return pa.concat_tables([places_table(pos[hit], at[hit], docs), places_table(s_pos, s_at, s_docs)])
+        return homes_table(np.concatenate([pos[hit], s_pos]), np.concatenate([at[hit], s_at + len(docs)]), np.concatenate([docs, s_docs]), homes)
 
     return run
 
 
-def exchange(wired: DataFrame, words: int) -> DataFrame:
-    """(h1, h2, pos): for each document the places whose keys occur elsewhere too, as lists of int32 blobs."""
-    found = wired.groupBy("bucket").applyInArrow(settle(words), PLACES)
-    return found.groupBy("h1", "h2").agg(F.collect_list("pos").alias("pos"))
+def exchange(wired: DataFrame, words: int, buckets: int) -> DataFrame:
+    """(h1, h2, pos): for each document the places whose keys occur elsewhere too, as int32 bytes."""
+    return by_document(wired.groupBy("bucket").applyInArrow(settle(words, buckets), HOMES))
 
 
 # ---------------------------------------------------------------- components

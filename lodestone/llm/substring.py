@@ -77,8 +77,8 @@ def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def _marks(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.int32)
+def _marks(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.int32)
 
 
 def windows(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -96,8 +96,6 @@ def windows(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], I
                 n = len(words) - window + 1
                 if n < 1:
                     continue
-                if marks[i] is None:
-                    continue
                 at = _marks(marks[i])
                 at = np.flatnonzero(covered(np.clip(at - v + 1, 0, n), np.clip(at + 1, 0, n), n))
                 if not len(at):
@@ -145,9 +143,9 @@ def dedup_substrings(docs: DataFrame, window: int = 35, text: str = "text", per_
     """
     texts = distinct_texts(docs, text)
     buckets = shuffle_partitions(docs.sparkSession)
-    shared = exchange(texts.mapInArrow(anchors(window, buckets), WIRE), 1)
+    shared = exchange(texts.mapInArrow(anchors(window, buckets), WIRE), 1, buckets)
     open_texts = texts.join(shared, ["h1", "h2"])
-    starts = exchange(open_texts.mapInArrow(windows(window, buckets), WIRE), 2)
+    starts = exchange(open_texts.mapInArrow(windows(window, buckets), WIRE), 2, buckets)
     result = per_text(texts.join(starts, ["h1", "h2"], "left").mapInArrow(removal(window), RESULT))
     rows = docs.select(*[c for c in docs.columns if c not in {text, "h1", "h2", *result.columns}], *text_key(F.col(text)))
     return rows.join(result, ["h1", "h2"], "left").drop("h1", "h2")

@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, PLACES, WIRE, Powers, _gather, _places, distinct_texts, exchange, mix, places_table, prefix_hash, shuffle_partitions, ship, text_key, utf8, window_hash, wire
+from .common import BASES, HOMES, WIRE, Powers, _gather, _places, by_document, distinct_texts, exchange, homes_table, mix, prefix_hash, shuffle_partitions, ship, text_key, utf8, window_hash, wire
 from .substring import _documents, _marks, covered
 
 ship(__name__)
@@ -307,24 +307,25 @@ def _repeated(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarra
     return row, off, np.cumsum(~same) - 1
 
 
-#: Places are pairs (first start, number of starts). keys: witnesses, six words each: digest, document, start, known.
-WITNESS = "bucket int, h1 long, h2 long, pos binary, keys binary"
+#: Places are pairs (first start, number of starts), for the home buckets of their documents. keys: witnesses,
+#: six words each: digest, document, start, whether it is known to be repeated; for the bucket of the digest.
+WITNESS = "bucket int, pos binary, counts binary, docs binary, keys binary"
 
 
-def _pairs(doc: np.ndarray, start: np.ndarray, count: np.ndarray, docs: np.ndarray) -> pa.Table:
-    by = np.lexsort((start, doc))
-    return places_table(np.stack([start[by], count[by]], axis=1).ravel(), np.repeat(doc[by], 2), docs)
+def _pairs(run: np.ndarray, start: np.ndarray, count: np.ndarray, docs: np.ndarray, homes: int) -> pa.Table:
+    by = np.lexsort((start, run))
+    return homes_table(np.stack([start[by], count[by]], axis=1).ravel(), np.repeat(run[by], 2), docs, homes)
 
 
-def _witness_rows(bucket: int, places: list[pa.Table], keys: np.ndarray | None, buckets: int) -> pa.Table:
+def _witness_rows(places: list[pa.Table], keys: np.ndarray | None, buckets: int) -> pa.Table:
     t = pa.concat_tables(places)
-    t = pa.table({"bucket": pa.array(np.full(len(t), bucket), pa.int32()), "h1": t["h1"], "h2": t["h2"], "pos": t["pos"], "keys": pa.nulls(len(t), pa.binary())})
+    t = t.rename_columns(["bucket", "pos", "counts", "docs"]).append_column("keys", pa.nulls(len(t), pa.binary()))
     if keys is None or not len(keys):
         return t
     to = (keys[:, 1] % np.uint64(buckets)).astype(np.int64)
     number = np.unique(to)
-    nothing = pa.nulls(len(number), pa.int64())
-    return pa.concat_tables([t, pa.table({"bucket": pa.array(number, pa.int32()), "h1": nothing, "h2": nothing, "pos": pa.nulls(len(number), pa.binary()), "keys": pa.array([keys[to == b].tobytes() for b in number.tolist()], pa.binary())})])
+    nothing = pa.nulls(len(number), pa.binary())
+    return pa.concat_tables([t, pa.table({"bucket": pa.array(number, pa.int32()), "pos": nothing, "counts": nothing, "docs": nothing, "keys": pa.array([keys[to == b].tobytes() for b in number.tolist()], pa.binary())})])
 
 
 def settle_cells(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
@@ -342,7 +343,7 @@ def settle_cells(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
         lo, hi, multi = (np.frombuffer(b"".join(blobs[c]), np.uint8).astype(np.int64) for c in ("lo", "hi", "multi"))
         start, at, docs = _gather(table, "pos", "counts", "docs")
         start = start.astype(np.int64)
-        out = [places_table(*_gather(table, "s_pos", "s_counts", "s_docs"))]
+        out = [homes_table(*_gather(table, "s_pos", "s_counts", "s_docs"), buckets)]
         keys = None
         if len(core):
             digest = _digest(rows)
@@ -352,14 +353,14 @@ def settle_cells(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
             far = np.isin(core[first], marked)
             sort = np.flatnonzero((classes[of_core] > 1) | far)
             mine = np.flatnonzero(twice[group] & (multi == 0))
-            out.append(_pairs(at[mine], start[mine] + lo[mine], hi[mine] - lo[mine] + 1, docs))
+            out.append(_pairs(at[mine], start[mine] + lo[mine], hi[mine] - lo[mine] + 1, docs, buckets))
             if len(sort):
                 f = first[sort]
                 row, off, cls = _repeated(rows[f], lo[f], hi[f], of_core[sort], length)
                 found = np.bincount(cls) > 1
                 new = np.flatnonzero(found[cls] & ~twice[sort[row]])  # extents seen twice are reported above
                 m = f[row[new]]
-                out.append(_pairs(at[m], start[m] + off[new], np.ones(len(m), np.int64), docs))
+                out.append(_pairs(at[m], start[m] + off[new], np.ones(len(m), np.int64), docs, buckets))
                 lead = np.flatnonzero(np.diff(cls, prepend=-1))
                 lead = lead[far[sort[row[lead]]]]
                 if len(lead):
@@ -369,24 +370,29 @@ def settle_cells(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
                     d = np.concatenate([_digest(rows[f[row[x]][:, None], off[x][:, None] + span]) for x in np.array_split(lead, len(lead) // 8192 + 1)])
                     m = f[row[lead]]
                     keys = np.column_stack([d, docs[at[m]].view(np.uint64), (start[m] + off[lead]).astype(np.uint64), known.astype(np.uint64)])
-        return _witness_rows(int(table["bucket"][0].as_py()), out, keys, buckets)
+        return _witness_rows(out, keys, buckets)
 
     return run
 
 
-def settle_witnesses(table: pa.Table) -> pa.Table:
+def settle_witnesses(buckets: int) -> Callable[[pa.Table], pa.Table]:
     """Last exchange: witnesses whose string another bucket has as well; places pass through."""
-    out = [table.filter(pa.compute.is_null(table["keys"])).select(["h1", "h2", "pos"])]
-    blobs = [b for b in table["keys"].to_pylist() if b is not None]
-    if blobs:
-        k = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 6)
-        group, _, size = _first(k[:, :2])
-        known = k[:, 5] > 0
-        more = (size > 1) | (np.bincount(group, weights=known, minlength=len(size)) > 0)
-        hit = k[more[group] & ~known]
-        docs, doc = np.unique(hit[:, 2:4].view(np.int64), axis=0, return_inverse=True)
-        out.append(_pairs(doc.ravel(), hit[:, 4].astype(np.int64), np.ones(len(hit), np.int64), docs))
-    return pa.concat_tables(out)
+
+    def run(table: pa.Table) -> pa.Table:
+        placed = table.filter(pa.compute.is_null(table["keys"]))
+        out = [placed.select(["bucket", "pos", "counts", "docs"]).rename_columns(["home", "pos", "counts", "docs"])]
+        blobs = [b for b in table["keys"].to_pylist() if b is not None]
+        if blobs:
+            k = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 6)
+            group, _, size = _first(k[:, :2])
+            known = k[:, 5] > 0
+            more = (size > 1) | (np.bincount(group, weights=known, minlength=len(size)) > 0)
+            hit = k[more[group] & ~known]
+            docs, doc = np.unique(hit[:, 2:4].view(np.int64), axis=0, return_inverse=True)
+            out.append(_pairs(doc.ravel(), hit[:, 4].astype(np.int64), np.ones(len(hit), np.int64), docs, buckets))
+        return pa.concat_tables(out)
+
+    return run
 
 
 # ---------------------------------------------------------------- removal
@@ -427,11 +433,10 @@ def dedup_bytes(docs: DataFrame, length: int = 200, text: str = "text", per_text
     """
     spark = docs.sparkSession
     texts, buckets = distinct_texts(docs, text), shuffle_partitions(spark)
-    shared = exchange(texts.mapInArrow(anchors(length, buckets), WIRE), 1)
+    shared = exchange(texts.mapInArrow(anchors(length, buckets), WIRE), 1, buckets)
     met = texts.join(shared, ["h1", "h2"]).mapInArrow(cells(length, buckets, spread_over), CELLS)
     first = met.groupBy("bucket").applyInArrow(settle_cells(length, buckets), WITNESS)
-    starts = first.groupBy("bucket").applyInArrow(settle_witnesses, PLACES)
-    starts = starts.groupBy("h1", "h2").agg(F.collect_list("pos").alias("pos"))
+    starts = by_document(first.groupBy("bucket").applyInArrow(settle_witnesses(buckets), HOMES))
     result = per_text(texts.join(starts, ["h1", "h2"], "left").mapInArrow(removal(length), RESULT))
     rows = docs.select(*[c for c in docs.columns if c not in {text, "h1", "h2", *result.columns}], *text_key(F.col(text)))
     return rows.join(result, ["h1", "h2"], "left").drop("h1", "h2")
