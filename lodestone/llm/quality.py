@@ -127,7 +127,9 @@ def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 def clean(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", chars: str = "n_chars", **limits: float) -> DataFrame:
     """The documents that are kept, with frequent lines removed and ``chars`` (if there is such a column) counted anew."""
     d = judge(docs.select([F.col(c) for c in docs.columns if c not in _ADDED]), text, host, key, **limits)  # type: ignore[arg-type]
-    d = d.where("kept").withColumn(text, F.col("cleaned"))
+    # The ever-true test on a generated number keeps the filter above the projection: pushed below it, Spark would
+    # write the nested expressions out inside their own lambdas and evaluate them for every window of a text.
+    d = d.withColumn("_n", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_n") >= 0)).withColumn(text, F.col("cleaned"))
     if chars in docs.columns:
         d = d.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType))
     return d.select(*[c for c in docs.columns if c not in _ADDED])
