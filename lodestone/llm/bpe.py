@@ -26,7 +26,7 @@ from .common import ship
 
 ship(__name__)
 
-PIECE, CACHE = 64, 500_000
+PIECE, CACHE = 64, 600_000
 #: White space as in the White_Space property; the split pattern of the byte-level pre-tokenizer. Fixed values.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -42,7 +42,7 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class BytePairEncoder(dict):
-    """``encode`` and ``decode`` for the JSON of a byte-level BPE; as a dict it caches pieces."""
+    """``encode`` and ``decode`` for the JSON of a byte-level BPE; as a dict it caches chunks and pieces, in two generations."""
 
     def __init__(self, source: str):
         import re
@@ -50,6 +50,7 @@ class BytePairEncoder(dict):
         import regex
 
         super().__init__()
+        self.older: dict[str, tuple[int, ...]] = {}
         spec = json.loads(source)
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or spec["normalizer"] or model.get("dropout") or model.get("ignore_merges"):
@@ -98,14 +99,18 @@ class BytePairEncoder(dict):
                 heappush(heap, s << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def piece(self, chunk: str) -> tuple[int, ...]:
-        byte_id = self.byte_id
-        return tuple(chain.from_iterable(self.merge([byte_id[b] for b in p.encode()]) for p in self.pieces(chunk)))
-
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        ids = self.piece(chunk)
+        ids = self.older.get(chunk)
+        if ids is None:
+            pieces = self.pieces(chunk)
+            if len(pieces) == 1:
+                byte_id = self.byte_id
+                ids = tuple(self.merge([byte_id[b] for b in chunk.encode()]))
+            else:  # a piece by itself splits into itself, so pieces share the cache with chunks
+                ids = tuple(chain.from_iterable(map(self.__getitem__, pieces)))
         if len(chunk) <= PIECE:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE:  # the older half stays in reach, so frequent pieces survive
+                self.older = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
