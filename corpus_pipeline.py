@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
 
 1 quality      documents that the rules reject go; lines above the line limits are cut from the rest
-2 near_dedup   of each group of near copies (five-word shingles, similarity 0.8 or more) one document stays
+2 near_dedup   of each group of near copies (five-word shingles, similarity 0.8 or more) one row stays
 3 substring    every byte covered by a 200-byte string that occurs elsewhere too is cut
 4 decontam     words inside benchmark windows are cut; a document of nothing but such words goes
 5 tokens       BPE encoding and decoding; returns doc_id, n_tokens, ids_sha256, decoded_sha256
@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(docs)
+    return minhash.keep_one_row(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

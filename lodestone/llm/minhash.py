@@ -196,9 +196,35 @@ def _placed(members: DataFrame, component: DataFrame | None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that are not the representative of their group; of rows that share its id one stays.
+    """``docs`` without the rows whose id is not the representative of its group; all rows with the representative's id stay.
 
     The ids that go are usually the smaller side, so they are what is joined.
     """
     gone = near_duplicates(docs.select(key, text), size, percent, key, text).where(~F.col("kept")).select(key).distinct()
     return docs.join(gone, key, "left_anti").select(*docs.columns)
+
+
+def keep_one_row(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with exactly one row of each group, however often its id is repeated and whether or not it has one.
+
+    Of rows that share the representative's id the least by a hash stays. Rows without an id are linked like all
+    others: their texts are numbered by hash, above the largest id where there is room. Those without a word stay.
+    """
+    ids = F.col(key).cast("long")
+    found = docs.agg(F.max(ids).alias("top"), F.count_if(ids.isNull()).alias("nulls")).first()
+    node = ids
+    if found.nulls:
+        top, h = max(found.top or 0, 0), F.xxhash64(text)
+        number = h if top >= 1 << 62 else F.shiftrightunsigned(h, 2) + F.lit(top + 1)
+        node = F.coalesce(ids, F.when(F.col(text).rlike(r"[^ \t-\r]"), number))
+    d = docs.withColumn("_node", node)
+    groups = near_duplicates(d.select("_node", text), size, percent, "_node", text).where("_node is not null").groupBy("_node")
+    special = materialize(groups.agg(F.first("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
+    out = d.join(special, "_node", "left_anti").select(*docs.columns)
+    repeated = special.where("kept").select("_node")
+    if repeated.isEmpty():
+        return out
+    # Each map task sends one row of an id, so an id repeated in many rows is no hot key.
+    order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    rows = d.join(repeated, "_node", "left_semi").groupBy("_node").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return out.union(rows.select("row.*"))
