@@ -4,9 +4,12 @@ Base rules look at one text (words, symbols, repeated lines, repeated three-word
 hashes normalised lines (lower case, digit runs as 0, white space collapsed), counts for each host the
 distinct documents a line occurs in, removes lines above the limits and rejects documents that this depletes.
 Documents whose longest line is the same count as one, so copies of a document do not turn its lines into
-boilerplate. A line is above the limits if it is in more than ``min_docs`` documents of a host and in more
-than ``share`` of the host's documents. So a host has fewer than (lines per document) / ``share`` such lines;
-the table of all of them is broadcast while it has at most ``broadcast_rows`` rows, beyond that documents and
+boilerplate. That also counts all documents as one whose longest line is boilerplate itself; the SQL of op2 has
+this rule. With ``by_rest``, as in the pipeline, documents are told apart by what they have besides the lines that
+may be frequent: by the minima of ``SKETCHES`` hashes of its three-word windows, of which the one that finds the
+fewest documents counts, so that near copies fall together and boilerplate of any length does not.
+A line is above the limits if it is in more than ``min_docs`` documents of a host and in more than ``share`` of
+the host's documents. So a host has fewer than (lines per document) / ``share`` such lines; the table of all of them is broadcast while it has at most ``broadcast_rows`` rows, beyond that documents and
 lines meet in a shuffled join on (host, line) with salted keys.
 
 Defined cases: null or empty text has no words and fails the base rules; a null host is a host of its own;
@@ -27,6 +30,7 @@ SYMBOLS = r"[^#*$%&|<>]+"
 #: The hash of a line l after normalising.
 LINE_HASH = r"xxhash64(trim(regexp_replace(regexp_replace(lower(l), '[0-9]+', '0'), '[ \\t-\\r]+', ' ')))"
 SALTS = 16
+SKETCHES = 8
 
 
 def words(text: Column) -> Column:
@@ -85,14 +89,46 @@ def frequent_lines(docs: DataFrame, min_docs: int, share: float, text: str = "te
     d = d.select("_host", F.expr(f"transform(lines, l -> {LINE_HASH})").alias("hashes"), F.expr("transform(lines, l -> length(l))").alias("sizes"))
     d = d.select("_host", "hashes", F.expr("hashes[array_position(sizes, array_max(sizes)) - 1]").alias("mark"))
     rows = d.select("_host", "mark", F.explode(F.array_distinct("hashes")).alias("line"))
-    counts = rows.groupBy("_host", "line", "mark").agg(F.lit(1).alias("one")).groupBy("_host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    hosts = docs.select(_host(host)).groupBy("_host").agg(F.count("*").alias("docs"))
-    return counts.join(hosts, "_host").where(F.col("n") > share * F.col("docs")).select("_host", "line")
+    counts = rows.groupBy("_host", "line", "mark").agg(F.lit(1).alias("one")).groupBy("_host", "line").agg(F.count("*").alias("n"))
+    return _above(counts, docs, min_docs, share, host)
 
 
-def with_frequent(docs: DataFrame, min_docs: int, share: float, broadcast_rows: int, text: str, host: str, key: str) -> DataFrame:
+def _above(counts: DataFrame, docs: DataFrame, min_docs: int, share: float, host: str) -> DataFrame:
+    hosts = docs.select(_host(host)).groupBy("_host").agg(F.count("*").alias("docs"))
+    return counts.where(F.col("n") > min_docs).join(hosts, "_host").where(F.col("n") > share * F.col("docs")).select("_host", "line")
+
+
+def frequent_by_rest(docs: DataFrame, min_docs: int, share: float, broadcast_rows: int, text: str, host: str, key: str) -> DataFrame:
+    """(_host, line) as ``frequent_lines``, with documents told apart by their other lines."""
+    hashes = F.expr(f"array_distinct(transform(filter(split(coalesce({text}, ''), '\\n'), l -> l rlike '[^ \\\\t-\\\\r]'), l -> {LINE_HASH}))")
+    rows = docs.select(_host(host), hashes.alias("hashes")).where(F.size("hashes") > 0)
+    rows = rows.select("_host", F.xxhash64(F.array_sort("hashes")).alias("mark"), F.explode("hashes").alias("line"))
+    counts = rows.groupBy("_host", "line", "mark").agg(F.lit(1).alias("one")).groupBy("_host", "line").agg(F.count("*").alias("n"))
+    # A line that too few different documents hold when compared as a whole is not looked at.
+    maybe = materialize(_above(counts, docs, min_docs, share, host))
+    d = _attach(docs.select(key, text, host), maybe, broadcast_rows, text, host, key).where("_freq is not null")
+    d = d.select(_host(host), hashes.alias("hashes"), "_freq", F.expr(f"filter(split(coalesce({text}, ''), '\\n'), l -> not array_contains(_freq, {LINE_HASH}))").alias("rest"))
+    d = d.select("_host", "hashes", F.array_intersect("hashes", "_freq").alias("found"), words(F.regexp_replace(F.lower(F.array_join("rest", "\n")), "[0-9]+", "0")).alias("w")).where(F.size("found") > 0)
+    windows = "case when size(w) = 0 then array(xxhash64(array_sort(hashes))) when size(w) < 3 then array(xxhash64(w)) else transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) end"
+    # The ever-true test keeps the windows in a column of their own, evaluated once and not once for each sketch.
+    d = d.select("_host", "found", F.expr(windows).alias("g"), F.monotonically_increasing_id().alias("_n")).where("_n >= 0")
+    sketches = F.array(*[F.expr(f"struct({k} as k, array_min(transform(g, x -> xxhash64(x, {k}))) as mark)") for k in range(SKETCHES)])
+    met = d.select("_host", F.explode("found").alias("line"), sketches.alias("s")).select("_host", "line", F.inline("s"))
+    each = met.groupBy("_host", "line", "k", "mark").agg(F.lit(1).alias("one")).groupBy("_host", "line", "k").agg(F.count("*").alias("n"))
+    return _above(each.groupBy("_host", "line").agg(F.min("n").alias("n")), docs, min_docs, share, host)
+
+
+def with_frequent(docs: DataFrame, min_docs: int, share: float, broadcast_rows: int, text: str, host: str, key: str, by_rest: bool = False) -> DataFrame:
     """``docs`` with _freq, the hashes of frequent lines that may occur in the row's text (null for none)."""
-    frequent = materialize(frequent_lines(docs, min_docs, share, text, host))
+    if by_rest:
+        frequent = materialize(frequent_by_rest(docs, min_docs, share, broadcast_rows, text, host, key))
+    else:
+        frequent = materialize(frequent_lines(docs, min_docs, share, text, host))
+    return _attach(docs, frequent, broadcast_rows, text, host, key)
+
+
+def _attach(docs: DataFrame, frequent: DataFrame, broadcast_rows: int, text: str, host: str, key: str) -> DataFrame:
+    """``docs`` with _freq, given the table (_host, line)."""
     if frequent.count() <= broadcast_rows:
         table = frequent.groupBy("_host").agg(F.collect_list("line").alias("_freq"))
         return docs.withColumn("_host", _host(host)).join(F.broadcast(table), "_host", "left").drop("_host")
@@ -105,12 +141,12 @@ def with_frequent(docs: DataFrame, min_docs: int, share: float, broadcast_rows:
     return keyed.join(found, ["_key", "_key2", "_host"], "left").drop("_key", "_key2", "_host")
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", min_docs: int = 20, share: float = 0.01, min_left: int = 30, broadcast_rows: int = 200_000) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", min_docs: int = 20, share: float = 0.01, min_left: int = 30, broadcast_rows: int = 200_000, by_rest: bool = False) -> DataFrame:
     """``docs`` with the base statistics, n_line_words (words in removed lines), cleaned (the text without them) and kept.
 
     A document is depleted if less than ``min_left`` per cent of its words are left.
     """
-    d = base_stats(with_frequent(docs, min_docs, share, broadcast_rows, text, host, key), text)
+    d = base_stats(with_frequent(docs, min_docs, share, broadcast_rows, text, host, key, by_rest), text)
     hit = f"array_contains(_freq, {LINE_HASH})"
     d = d.withColumn("_gone", F.expr(f"if(_freq is null, array(), filter(split(coalesce({text}, ''), '\\n'), l -> l rlike '[^ \\\\t-\\\\r]' and {hit}))"))
     d = d.withColumn("n_line_words", F.expr("aggregate(_gone, 0L, (a, l) -> a + size(array_remove(split(l, '[ \\\\t-\\\\r]+'), '')))"))
