@@ -7,8 +7,9 @@ For each node the link-adjusted density is
 
 with C characters, T tags, LC link characters and LT link tags below it. The density sum of a node adds up the
 densities of its children. The node with the greatest density sum lies in the main content; the least density
-on its path to the body is the threshold above which a node on that path still counts as content, and of these
-the subtree with the greatest sum is taken. Inside it (and before anything is counted) elements that are
+on its path to the body is the threshold. Of every node of the body at or above the threshold the subtree with the
+greatest density sum is content, so text in several blocks is taken whole. An article or main element around the
+densest node bounds the content instead. Inside the content (and before anything is counted) elements that are
 boilerplate by their kind or by their class, id or role are left out.
 
 Text: character references are decoded, runs of white space in a block become one space, blocks are trimmed
@@ -205,8 +206,8 @@ def density(node: Node, body: Node) -> float:
     return c / t * math.log(max(c / lc * t / lt, 1e-9), base) if base > 1 else 0.0
 
 
-def main_node(root: Node) -> Node:
-    """The subtree with the main text."""
+def main_nodes(root: Node) -> list[Node]:
+    """The subtrees with the main text, in the order of the page; none lies in another."""
     body = measure(root)
     assert body is not None
     nodes = [n for n in _nodes(body) if not n.skip]
@@ -217,15 +218,36 @@ def main_node(root: Node) -> Node:
         node = node.parent
         path.append(node)
         threshold = min(threshold, node.score)
-    top = max(path, key=lambda n: (n.score >= threshold, n.total))
     # An article or main element on the path or below is the content's own mark; all of the content lies in it.
-    marked = [n for n in path if n.tag in ("article", "main")] or [n for n in _nodes(top) if n.tag in ("article", "main") and not n.skip and n.chars * 2 >= top.chars]
+    marked = [n for n in path if n.tag in ("article", "main")] or [n for n in _nodes(best) if n.tag in ("article", "main") and not n.skip and n.chars * 2 >= best.chars]
     if marked:
-        return marked[0]
-    # Blocks beside the chosen one in the same container belong to the text as well when they are as dense as the threshold.
-    while top is not body and top.parent is not None and top.tag not in ("div", "section", "td", "body", "article", "main"):
+        return marked[:1]
+    # The subtree of the greatest sum below each node, the outermost of equal ones.
+    greatest: dict[Node, Node] = {}
+    for node in reversed(nodes):
+        below = [greatest[p] for p in node.parts if isinstance(p, Node) and not p.skip]
+        greatest[node] = max([node, *below], key=lambda n: n.total)
+    content = {text_block(greatest[n], body) for n in nodes if n.chars and n.score >= threshold}
+    # The list, table or paragraph with the greatest sum stands for the block that holds it.
+    while best is not body and best.parent is not None and best.tag not in ("div", "section", "td", "body", "article", "main"):
+        best = best.parent
+    content.add(best)
+    out, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        if node in content:
+            out.append(node)
+        else:
+            stack += [p for p in reversed(node.parts) if isinstance(p, Node) and not p.skip]
+    return out
+
+
+def text_block(node: Node, body: Node) -> Node:
+    """The paragraph, cell or heading around an inline element, so that no text is cut inside; else the node."""
+    top = node
+    while top.tag not in BLOCK and top is not body and top.parent is not None:
         top = top.parent
-    return top
+    return node if top is body or any(isinstance(p, Node) and p.tag in BLOCK for p in top.parts) else top
 
 
 def extract(page: str | None) -> str:
@@ -241,7 +263,7 @@ def extract(page: str | None) -> str:
             if text:
                 blocks.append(text)
 
-    stack: list[Node | str | None] = [main_node(parse(page))]
+    stack: list[Node | str | None] = [*reversed(main_nodes(parse(page)))]
     while stack:
         part = stack.pop()
         if part is None:
