@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import TRUSTED_CLASSES, pattern_confidence
-from ..functions.text import tokens
+from ..functions.text import lexemes, matches_all, tokens
 
 
 def patterns(facts: DataFrame, keys: Sequence[str], episode: str, value: str, fact_id: str, scope: str | None = None, least: int = 2) -> DataFrame:
@@ -45,13 +45,15 @@ def duplicate_titles(memories: DataFrame, title: str, scope: Sequence[str], orde
     return memories.withColumns({"place": F.row_number().over(ordered), "keeper": F.first(key).over(ordered), "copies": F.count("*").over(w)}).where("copies > 1")
 
 
-def conflicts(memories: DataFrame, cues: DataFrame, key: str = "memory_id", block: Sequence[str] = ("tenant", "scope_path"), title: str = "title", narrative: str = "narrative") -> DataFrame:
+def conflicts(memories: DataFrame, cues: DataFrame, key: str = "memory_id", block: Sequence[str] = ("tenant", "scope_path"), title: str = "title", narrative: str = "narrative", full_text: bool = False) -> DataFrame:
     """Pairs (a, b), a < b, in one block with different narratives that share a title or a cue; with the number of shared cues.
 
-    Candidates come from equi joins on (block, title) and (block, cue) and are then verified; there is no
-    join of a block with itself.
+    With ``full_text`` also the pairs where one's text has all lexemes of the other's title. Null blocks, titles
+    and narratives count as empty. Candidates come from equi joins on (block, title), (block, cue) and (block,
+    the title's rarest lexeme) and are then verified; there is no join of a block with itself.
     """
-    m = memories.select(key, *block, title, narrative)
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    m = memories.select(key, *map(empty, block), empty(title), empty(narrative))
 
     def pairs(rows: DataFrame, on: str) -> DataFrame:
         a = rows.select(*block, F.col(on).alias("_k"), F.col(key).alias("a"))
@@ -60,10 +62,27 @@ def conflicts(memories: DataFrame, cues: DataFrame, key: str = "memory_id", bloc
 
     by_title = pairs(m.withColumn("_t", F.lower(title)), "_t").select("a", "b", F.lit(1).alias("same_title"), F.lit(0).alias("cue"))
     by_cue = pairs(m.join(cues.select(key, "cue_hash").distinct(), key), "cue_hash").select("a", "b", F.lit(0).alias("same_title"), F.lit(1).alias("cue"))
-    met = by_title.union(by_cue).groupBy("a", "b").agg(F.max("same_title").alias("same_title"), F.sum("cue").alias("shared_cues"))
-    text = m.select(F.col(key), F.col(narrative))
+    met = by_title.union(by_cue)
+    if full_text:
+        met = met.union(_title_in_text(m, key, block, title, narrative).select("a", "b", F.lit(0), F.lit(0)))
+    met = met.groupBy("a", "b").agg(F.max("same_title").alias("same_title"), F.sum("cue").alias("shared_cues"))
+    # SHA-256 stands for the narrative, so that texts are not moved.
+    text = m.select(F.col(key), F.sha2(narrative, 256))
     out = met.join(text.toDF("a", "na"), "a").join(text.toDF("b", "nb"), "b")
-    return out.where(~F.col("na").eqNullSafe(F.col("nb"))).drop("na", "nb")
+    return out.where(F.col("na") != F.col("nb")).drop("na", "nb")
+
+
+def _title_in_text(m: DataFrame, key: str, block: Sequence[str], title: str, narrative: str) -> DataFrame:
+    """Pairs (a, b), a < b, in one block where the text of one has all lexemes of the title of the other."""
+    texts = m.select(*block, F.col(key).alias("t"), F.array_distinct(lexemes(F.concat_ws(" ", title, narrative))).alias("x"))
+    terms = texts.select(*block, "t", F.explode("x").alias("term"))
+    titles = m.select(*block, F.col(key).alias("q"), F.array_distinct(lexemes(F.col(title))).alias("y")).where(F.size("y") > 0)
+    often = terms.groupBy(*block, "term").agg(F.count("*").alias("n"))
+    probes = titles.select(*block, "q", F.explode("y").alias("term")).join(often, [*block, "term"])
+    rarest = probes.groupBy(*block, "q").agg(F.min_by("term", F.struct("n", "term")).alias("term"))
+    found = rarest.join(terms, [*block, "term"]).where("q <> t").select("q", "t")
+    full = found.join(titles.select("q", "y"), "q").join(texts.select("t", "x"), "t").where(matches_all(F.col("x"), F.col("y")))
+    return full.select(F.least("q", "t").alias("a"), F.greatest("q", "t").alias("b")).distinct()
 
 
 #: Edge types by support kind, fact kind and text hints, in the order they are tried. Fixed values.

@@ -301,7 +301,7 @@ class Engine:
         return self.table("memory").where((F.col("contradiction_count") > F.col("support_count")) & old).join(guarded, "memory_id", "left_anti")
 
     def memory_conflicts(self) -> DataFrame:
-        return mining.conflicts(self.table("memory").where(P.governed()), self.table("memory_cue"))
+        return mining.conflicts(self.table("memory").where(P.governed()), self.table("memory_cue"), full_text=True)
 
     def link_candidates(self) -> DataFrame:
         """New typed edges from facts to the memories they support; plain support is not an edge."""
