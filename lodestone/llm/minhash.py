@@ -8,14 +8,19 @@ on the full shingle sets. At a similarity of 0.85 the 26 bands of 5 miss a pair
 No group is ever expanded into all its pairs:
 
 1. Documents with equal sets are combined by the digest of the set; one of each goes on.
-2. In some rounds every document is compared with one other: of the leaders of its bands (a band's leader is
-   the least by a hash of the round) outside its own component, the one that leads most of them. Confirmed links
-   are merged into components by joins. A large group of near copies becomes one component here.
-3. What is left are bands whose members lie in several components. Members outside a band's most frequent
-   component are compared with all its members of other components, so that no candidate pair that could
-   join two components stays unchecked. No bucket is capped.
-
-Hot leaders are salted in proportion to the number of their partners before their set is sent to them.
+2. Documents connected by shared bands form a group. Its pivot is the member whose bands hold most documents, in
+   a group of near copies one close to what they are copies of. Every member is compared with the pivot, exactly;
+   links with it connect most of the group.
+3. For x and y near a pivot p, what x and y do not share is what their differences from p do not share. So
+   members that are not linked with p are looked up by those differences: near copies differ from p in
+   places of their own, so the rarest elements of a difference, as many as the exact threshold
+   asks for (prefix and position filter), meet few others. Only pairs found so are compared.
+4. Members farther than ``NEAR`` from the pivot get a pivot of their own group in a next turn; after ``TURNS``
+   turns the rest are looked up by the rarest elements of the sets themselves. All steps are exact: a pair
+   that links is near a pivot together or in the rest together. No bucket is capped.
+
+Pivots' sets are salted in proportion to their partners. Hubs of the joins on groups, ids and elements
+are narrow rows; adaptive execution splits such keys.
 
 Defined cases: null or empty texts have an empty set and are linked to nothing; with fewer words than a shingle
 the whole sequence is the one shingle; a null id is its own component and is kept; rows that share an id are
@@ -36,7 +41,9 @@ from .common import BASES, Powers, WordHash, connected_components, materialize,
 
 ship(__name__)
 
-PERMUTATIONS, ROWS, STARS, PARTNERS = 65, 5, 3, 128
+PERMUTATIONS, ROWS, PARTNERS = 65, 5, 128
+#: Turns with a pivot, and the distance (per cent) within which a node is settled by one.
+TURNS, NEAR = 2, 50
 _RNG = np.random.Generator(np.random.PCG64(42))
 #: Odd multipliers and offsets of the permutations of 32 bit values.
 A = (_RNG.integers(0, 1 << 31, PERMUTATIONS, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -77,8 +84,8 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key
 
 
-SIGNED = "id long, n_shingles long, s1 long, s2 long, bands array<long>"
-SETS = "id long, hashes binary"
+def _kind(docs: DataFrame, key: str) -> str:
+    return docs.schema[key].dataType.simpleString()
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -102,99 +109,163 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     bands.append(None)
             yield pa.RecordBatch.from_pydict({"id": batch["id"], "n_shingles": pa.array(n, pa.int64()), "s1": pa.array([d[0] for d in digests], pa.int64()), "s2": pa.array([d[1] for d in digests], pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, SIGNED)
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {_kind(docs, key)}, n_shingles long, s1 long, s2 long, bands array<long>")
+
 
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """(id, v, hashes) of (id, text): v is s1 of the set."""
 
-def _sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         hashes, powers = WordHash(), Powers(BASES[0])
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"id": batch["id"], "hashes": pa.array([shingles(t, size, hashes, powers).tobytes() for t in utf8(batch["text"])], pa.binary())})
+            sets = [shingles(t, size, hashes, powers) for t in utf8(batch["text"])]
+            v = [int.from_bytes(xxhash.xxh3_128_digest(h.tobytes())[:8], "little", signed=True) for h in sets]
+            yield pa.RecordBatch.from_pydict({"id": batch["id"], "v": pa.array(v, pa.int64()), "hashes": _lists([h.view(np.int64) for h in sets])})
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, SETS)
+    return docs.select("id", "text").mapInArrow(run, f"id {_kind(docs, 'id')}, v long, hashes array<long>")
 
 
-def _confirmed(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([a, b])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_pydict({"a": batch["a"].filter(mask), "b": batch["b"].filter(mask)})
-
-    return run
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets have 100 * common >= percent * union; a is the side that may be hot."""
-    pairs = materialize(pairs.distinct())
-    salts = pairs.groupBy("a").agg((F.floor((F.count("*") - 1) / PARTNERS) + 1).alias("salts"))
-    hot = salts.where("salts > 1")
-    salted = pairs.join(hot, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)).alias("salt"))
-    left = sets.join(salts, sets["id"] == salts["a"]).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("hashes").alias("x"))
-    right = salted.join(sets.withColumnRenamed("id", "b"), "b").withColumnRenamed("hashes", "y")
-    return right.join(left, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long")
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """A list column of int64 arrays."""
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)]), pa.int64()))
+
+
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    """The arrays of a list column of int64, without copies."""
+    edges = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a set and its pivot's do not share, and how many they share."""
+    for batch in batches:
+        common, diff = [], []
+        for a, b in zip(_rows(batch["hashes"]), _rows(batch["p_hashes"]), strict=True):
+            both = np.concatenate([a, b])
+            both.sort(kind="stable")
+            twice = both[1:] == both[:-1]
+            common.append(int(twice.sum()))
+            single = np.ones(len(both), bool)
+            single[1:] &= ~twice
+            single[:-1] &= ~twice
+            diff.append(both[single])
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("g", "id", "v", "n", "pn", "p")), pa.array(common, pa.int64()), _lists(diff)], names=["g", "id", "v", "n", "pn", "p", "common", "d"])
+
+
+def _placed(members: DataFrame) -> DataFrame:
+    """(id, v, n, g, p, pv, pn, salts): the group of each node, by shared bands, and the group's pivot, its most central node."""
+    met = materialize(members.groupBy("id", "v", "n", "lead").agg(F.sum("m").alias("m")))
+    groups = connected_components(met.select("id", "lead"), "id", "lead").withColumnRenamed("component", "g")
+    nodes = materialize(met.groupBy("id", "v", "n").agg(F.sum("m").alias("m")).join(groups, "id"))
+    pivots = nodes.groupBy("g").agg(F.max_by(F.struct("id", "v", "n"), F.struct("m", F.xxhash64("id", "v"))).alias("p"), (F.floor((F.count("*") - 1) / PARTNERS) + 1).alias("salts"))
+    return materialize(nodes.join(pivots, "g").select("id", "v", "n", "g", F.col("p.id").alias("p"), F.col("p.v").alias("pv"), F.col("p.n").alias("pn"), "salts"))
+
+
+def _need(percent: int, a: str, b: str, n: str) -> str:
+    """SQL: 2 * (100 + percent) times the least overlap of two difference sets of sizes a and b, given both sets' sizes' sum n."""
+    return f"({100 + percent} * ({a} + {b}) - {100 - percent} * ({n}))"
+
+
+def _late_pairs(near: DataFrame, percent: int, pivoted: bool) -> DataFrame:
+    """Links between nodes of a group: near has (g, id, v, n, pn, linked, d), d being the set, or its difference from the pivot's.
+
+    Two sets link if their differences overlap by what ``_need`` says. Elements are ordered by how many of the
+    group have them, the rare first; sets that overlap by o share one of the first size - o + 1 elements
+    of each. So only those are posted, and a pair is made where the places of a shared element leave room for o.
+    """
+    near = near.withColumn("a", F.size("d"))
+    tokens = near.select("g", "id", "v", "n", "pn", "a", "linked", F.explode("d").alias("e"))
+    often = tokens.groupBy("g", "e").agg(F.count("*").alias("f")).where("f > 1")
+    ordered = tokens.join(often, ["g", "e"]).groupBy("g", "id", "v", "n", "pn", "a", "linked").agg(F.sort_array(F.collect_set(F.struct("f", "e"))).alias("s"))
+    posted = ordered.select("g", "id", "v", "n", "pn", "a", "linked", F.size("s").alias("z"), F.posexplode("s").alias("k", "s")).select("g", "id", "v", "n", "a", "linked", "pn", F.col("s.e").alias("e"), F.expr("a - z + k + 1").alias("at"))
+    # The least that any partner can ask for, as the smaller and as the larger of two differences.
+    most = f"(n + floor(100 * n / {percent}))"
+    if pivoted:
+        # a node that is not linked with the pivot differs from it by more than this
+        apart = f"{(100 - percent) / (100 + percent)} * ({percent / 100} * n + pn)"
+        as_small = _need(percent, "a", f"greatest(a, if(linked, {apart}, 0))", most)
+        as_large = _need(percent, "a", f"greatest(if(linked, {apart}, 0), a - {(100 - percent) / (100 + percent)} * {most})", most)
+    else:
+        as_small, as_large = f"{4 * percent} * n", f"{2 * percent} * (n + {percent / 100} * n)"
+    room = f"{2 * (100 + percent)} * (a - at + 1) + 1"  # one more, for rounding
+    posted = materialize(posted.withColumns({"small": F.expr(f"{room} >= {as_small}"), "large": F.expr(f"{room} >= {as_large}")}).where("small or large").drop("pn"))
+    x = posted.where("small").select("g", "e", *[F.col(c).alias(f"x_{c}") for c in ("id", "v", "n", "a", "at", "linked")])
+    y = posted.where("large").select("g", "e", *[F.col(c).alias(f"y_{c}") for c in ("id", "v", "n", "a", "at", "linked")])
+    asked = _need(percent, "x_a", "y_a", "x_n + y_n")
+    rest = f"{2 * (100 + percent)} * (least(x_a - x_at, y_a - y_at) + 1) >= {asked}"
+    fits = f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and (x_a, x_id, x_v) < (y_a, y_id, y_v) and x_id <> y_id and not (x_linked and y_linked)"
+    pairs = materialize(x.join(y, ["g", "e"]).where(f"{fits} and {rest}").select("g", "x_id", "x_v", "x_n", "x_a", "y_id", "y_v", "y_n", "y_a").distinct())
+    own = lambda s: near.select("g", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "v", "d")])
+    met = pairs.join(own("x"), ["g", "x_id", "x_v"]).join(own("y"), ["g", "y_id", "y_v"])
+    return met.where(f"{2 * (100 + percent)} * size(array_intersect(x_d, y_d)) >= {asked}").select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+
+
+def links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> list[DataFrame]:
+    """Tables of links (a, b) that connect whatever the links among ``members`` connect. docs: (id, text)."""
+    found = []
+    sets = None
+    for turn in range(TURNS + 1):
+        if members.isEmpty():
+            return found
+        placed = _placed(members)
+        if sets is None:
+            sets = materialize(_sets(docs.join(placed.select("id").distinct(), "id", "left_semi"), size))
+        if turn == TURNS:  # what no pivot is near to: the sets themselves are compared
+            rest = placed.select("id", "v", "n", "g").join(sets, ["id", "v"]).select("g", "id", "v", "n", F.lit(0).alias("pn"), F.lit(False).alias("linked"), F.col("hashes").alias("d"))
+            return [*found, materialize(_late_pairs(rest, percent, False))]
+        # A pair that links has its first member within NEAR of a pivot at a turn at which both are within NEAR + 100 - percent.
+        wide = max(0, 100 - NEAR - (100 - percent))
+        sized = placed.where(f"100 * least(n, pn) >= {wide} * greatest(n, pn)")
+        left = sized.join(sets, ["id", "v"]).withColumn("salt", F.pmod(F.xxhash64("id", "v"), "salts")).drop("salts")
+        heads = placed.where("id = p and v = pv").join(sets, ["id", "v"]).dropDuplicates(["g"]).select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("hashes").alias("p_hashes"))
+        kind = _kind(placed, "id")
+        compared = left.join(heads, ["g", "salt"]).select("g", "id", "v", "n", "pn", "p", "hashes", "p_hashes").mapInArrow(_difference, f"g {kind}, id {kind}, v long, n long, pn long, p {kind}, common long, d array<long>")
+        compared = compared.where(f"100 * common >= {wide} * (n + pn - common)")
+        compared = materialize(compared.withColumn("linked", F.expr(f"100 * common >= {percent} * (n + pn - common)")))
+        found.append(compared.where("linked and id <> p").select(F.col("id").alias("a"), F.col("p").alias("b")))
+        # Nodes linked with the pivot are connected already; if all near it are, nothing is left to look at.
+        reach = F.expr(f"{100 - percent} * n - {100 + percent} * size(d)")
+        state = compared.groupBy("g").agg(F.count_if(~F.col("linked")).alias("open"), F.max_by(F.struct("id", reach.alias("reach")), F.when(F.col("linked"), reach)).alias("best"))
+        state = state.where("open > 0").select("g", F.col("best.id").alias("b"), F.col("best.reach").alias("reach"))
+        near = compared.join(state, "g")
+        # Differences so small together that they need no overlap: the far-reaching member links without a look.
+        sure = f"not linked and id <> b and {100 - percent} * n - {100 + percent} * size(d) + reach >= 0"
+        found.append(near.where(sure).select(F.col("id").alias("a"), "b"))
+        found.append(materialize(_late_pairs(near.drop("b", "reach", "p", "common"), percent, True)))
+        done = compared.where(f"100 * common >= {100 - NEAR} * (n + pn - common)").select("id", "v")
+        left_over = members.drop("m", "lead").join(placed.select("id", "v"), ["id", "v"], "left_semi").join(done, ["id", "v"], "left_anti")
+        members = _shared(left_over)
+    return found
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows (band, id, v, n) whose band has several, with its size and least id."""
+    shared = rows.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").drop("last")
+    return materialize(rows.join(shared, "band"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_shingles, component_id (smallest key reachable), kept (whether that is its own)."""
-    spark = docs.sparkSession
     signed = materialize(signatures(docs, key, text, size))
     usable = signed.where("s1 is not null and id is not null")
     reps = usable.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-    of_rep = usable.join(reps, ["s1", "s2"])
-    same_id = of_rep.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    rep_rows = of_rep.where("id = rep").select("id", F.explode(F.array_distinct("bands")).alias("band"))
-    rows = rep_rows.distinct()
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = materialize(rows.join(shared, "band").select("band", "id"))
-    edges = spark.createDataFrame([], "a long, b long")
-    component = None
-    if not members.isEmpty():
-        wanted = members.select("id").distinct()
-        chosen = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-        sets = materialize(_sets(chosen, "id", "text", size))
-        for r in range(STARS):
-            placed = _placed(members, component)
-            order = F.struct(F.xxhash64(F.lit(r), "id"), "id", "c")
-            leader = placed.groupBy("band").agg(F.min(order).alias("l"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("band", F.col("l.id").alias("lead"), F.col("l.c").alias("lead_c"))
-            met = placed.join(leader, "band").where("c <> lead_c").groupBy("id", "lead").agg(F.count("*").alias("n"))
-            best = met.groupBy("id").agg(F.max_by("lead", F.struct("n", F.xxhash64("lead"))).alias("lead"))
-            found = materialize(confirm(best.select(F.col("lead").alias("a"), F.col("id").alias("b")), sets, percent))
-            if found.isEmpty():
-                break
-            edges = edges.union(found)
-            component = connected_components(edges)
-        # Pairs between components: members outside the most frequent component of a band against its other components.
-        placed = _placed(members, component)
-        counts = placed.groupBy("band", "c").agg(F.count("*").alias("n"))
-        major = counts.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("m"), F.count("*").alias("k")).where("k > 1").select("band", "m")
-        mixed = placed.join(major, "band")
-        few = mixed.where("c <> m").select("band", F.col("id").alias("a"), F.col("c").alias("ca"))
-        others = mixed.select("band", F.col("id").alias("b"), F.col("c").alias("cb"), "m")
-        cross = few.join(others, "band").where("ca <> cb and (cb = m or a < b)").select("a", "b")
-        done = edges.union(edges.select("b", "a"))
-        late = materialize(confirm(cross.distinct().join(done, ["a", "b"], "left_anti"), sets, percent))
-        edges = edges.union(late)
-    # Rows of one id may have different sets; their representatives are then linked through the id.
-    links = connected_components(edges.union(same_id))
-    out = signed.join(links.withColumnRenamed("component", "component_id"), "id", "left")
+    same = usable.select("id", "s1", "s2").join(reps, ["s1", "s2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    rows = usable.join(reps.withColumnRenamed("rep", "id"), ["s1", "s2", "id"]).dropDuplicates(["s1", "s2"])
+    rows = rows.select(F.explode(F.array_distinct("bands")).alias("band"), "id", F.col("s1").alias("v"), F.col("n_shingles").alias("n"))
+    found = links(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), _shared(rows), size, percent)
+    edges = same
+    for table in found:
+        edges = edges.union(table)
+    joined = connected_components(edges).withColumnRenamed("component", "component_id")
     own = F.coalesce("component_id", "id")
+    out = signed.join(joined, "id", "left")
     return out.select(F.col("id").alias(key), "n_shingles", own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
 
 
-def _placed(members: DataFrame, component: DataFrame | None) -> DataFrame:
-    """members with the component of each as c."""
-    if component is None:
-        return members.withColumn("c", F.col("id"))
-    return members.join(component, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-
-
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose id is not the representative of its group; all rows with the representative's id stay.
 
@@ -209,22 +280,28 @@ def keep_one_row(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "
 
     Of rows that share the representative's id the least by a hash stays. Rows without an id are linked like all
     others: their texts are numbered by hash, above the largest id where there is room. Those without a word stay.
+    Ids that are not whole numbers are compared as strings. A column named ``_lodestone_node`` is replaced.
     """
-    ids = F.col(key).cast("long")
+    whole = _kind(docs, key) in ("tinyint", "smallint", "int", "bigint")
+    ids = F.col(key).cast("long") if whole else F.col(key).cast("string")
     found = docs.agg(F.max(ids).alias("top"), F.count_if(ids.isNull()).alias("nulls")).first()
     node = ids
     if found.nulls:
-        top, h = max(found.top or 0, 0), F.xxhash64(text)
-        number = h if top >= 1 << 62 else F.shiftrightunsigned(h, 2) + F.lit(top + 1)
+        h = F.xxhash64(text)
+        if whole:
+            top = max(found.top or 0, 0)
+            number = h if top >= 1 << 62 else F.shiftrightunsigned(h, 2) + F.lit(top + 1)
+        else:  # behind all other ids
+            number = F.concat(F.lit(found.top or ""), F.lit("\U0010ffff"), F.hex(h), F.hex(F.xxhash64(F.lit(1), text)))
         node = F.coalesce(ids, F.when(F.col(text).rlike(r"[^ \t-\r]"), number))
-    d = docs.withColumn("_node", node)
-    groups = near_duplicates(d.select("_node", text), size, percent, "_node", text).where("_node is not null").groupBy("_node")
+    d = docs.withColumn("_lodestone_node", node)
+    groups = near_duplicates(d.select("_lodestone_node", text), size, percent, "_lodestone_node", text).where("_lodestone_node is not null").groupBy("_lodestone_node")
     special = materialize(groups.agg(F.first("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
-    out = d.join(special, "_node", "left_anti").select(*docs.columns)
-    repeated = special.where("kept").select("_node")
+    out = d.join(special, "_lodestone_node", "left_anti").select(*docs.columns)
+    repeated = special.where("kept").select("_lodestone_node")
     if repeated.isEmpty():
         return out
     # Each map task sends one row of an id, so an id repeated in many rows is no hot key.
     order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
-    rows = d.join(repeated, "_node", "left_semi").groupBy("_node").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    rows = d.join(repeated, "_lodestone_node", "left_semi").groupBy("_lodestone_node").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
     return out.union(rows.select("row.*"))
