@@ -8,10 +8,9 @@ WORD3 = r"regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 QUALITY = rf"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
-l AS (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM d),
+l AS (SELECT doc_id, host, md5(t) AS digest, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM d),
 lw AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-mark AS (SELECT doc_id, arg_max(norm, (length(line), -n)) AS mark FROM lw GROUP BY 1),
-often AS (SELECT host, norm FROM lw JOIN mark USING (doc_id) JOIN (SELECT host, count(*) AS docs FROM d GROUP BY 1) USING (host) GROUP BY host, norm, docs HAVING count(DISTINCT mark) > 20 AND count(DISTINCT mark) > 0.01 * docs),
+often AS (SELECT host, norm FROM lw GROUP BY 1, 2 HAVING count(DISTINCT digest) > 20),
 gone AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS gone FROM lw JOIN often USING (host, norm) GROUP BY 1),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM lw GROUP BY 1),
 tri AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),

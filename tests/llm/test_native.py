@@ -43,10 +43,10 @@ def quality_brute(rows, min_docs, share, min_left):
     split = lambda t: [l for l in (t or "").split("\n") if re.search(r"[^ \t-\r]", l)]
     docs, marks = Counter(), defaultdict(set)
     for _, t, s, _ in rows:
-        docs[s] += 1
+        docs[s or ""] += 1
         ls = split(t)
         for l in ls:
-            marks[s, norm(l)].add(norm(max(ls, key=len)))
+            marks[s or "", norm(l)].add(t)
     often = {k for k, v in marks.items() if len(v) > min_docs and len(v) > share * docs[k[0]]}
     out = []
     for d, t, s, _ in rows:
@@ -56,9 +56,9 @@ def quality_brute(rows, min_docs, share, min_left):
         c = Counter(tri)
         rep = {j for i, x in enumerate(tri) if c[x] > 1 for j in (i, i + 1, i + 2)}
         failed = len(w) < 50 or 100 * len(rep) > 50 * len(w)
-        gone = sum(len(re.findall(r"[^ \t-\r]+", l)) for l in ls if (s, norm(l)) in often)
+        gone = sum(len(re.findall(r"[^ \t-\r]+", l)) for l in ls if (s or "", norm(l)) in often)
         kept = not failed and 100 * (len(w) - gone) >= min_left * len(w)
-        text = t if not gone else "\n".join(l for l in t.split("\n") if not (re.search(r"[^ \t-\r]", l) and (s, norm(l)) in often))
+        text = t if not gone else "\n".join(l for l in t.split("\n") if not (re.search(r"[^ \t-\r]", l) and (s or "", norm(l)) in often))
         out.append((d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(ls) - len(set(ls)), len(rep), failed, gone, kept, text))
     return out
 
