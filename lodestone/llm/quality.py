@@ -148,7 +148,10 @@ def _judged(docs: DataFrame, text: str, host: str, min_docs: int, share: float,
     d = d.withColumn("n_line_words", F.expr("aggregate(_gone, 0L, (a, l) -> a + size(array_remove(split(l, '[ \\\\t-\\\\r]+'), '')))"))
     d = d.withColumn("cleaned", F.expr(f"if(size(_gone) = 0, _text, array_join(filter(split(_text, '\\n'), l -> not (l rlike '[^ \\\\t-\\\\r]' and {hit})), '\\n'))"))
     depleted = 100 * (F.col("n_words") - F.col("n_line_words")) < min_left * F.col("n_words")
-    return d.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    d = d.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    # The ever-true test on a generated number keeps filters above the projection: pushed below it, Spark would
+    # write the nested expressions out inside their own lambdas and evaluate them for every window of a text.
+    return d.withColumn("_n", F.monotonically_increasing_id()).where("_n >= 0")
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = 20, share: float = 0.0, min_left: int = 30, broadcast_rows: int = 200_000, by_rest: bool = False) -> DataFrame:
@@ -167,9 +170,7 @@ def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 
 def clean(docs: DataFrame, text: str = "text", host: str = "source", chars: str = "n_chars", min_docs: int = 20, share: float = 0.0, min_left: int = 30, broadcast_rows: int = 200_000, by_rest: bool = False) -> DataFrame:
     """The documents that are kept, with frequent lines removed and ``chars`` (if there is such a column) counted anew."""
-    # The ever-true test on a generated number keeps the filter above the projection: pushed below it, Spark would
-    # write the nested expressions out inside their own lambdas and evaluate them for every window of a text.
-    d = _judged(docs, text, host, min_docs, share, min_left, broadcast_rows, by_rest).withColumn("_n", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_n") >= 0))
+    d = _judged(docs, text, host, min_docs, share, min_left, broadcast_rows, by_rest).where("kept")
     new = {text: F.col("cleaned").alias(text)}
     if chars in docs.columns:
         new[chars] = F.length("cleaned").cast(docs.schema[chars].dataType).alias(chars)
