@@ -5,10 +5,13 @@ rows of an embedding table. A text's vector is the mean over all its subwords; a
 give the languages. Training sees about ``per_lang`` labelled rows for each language, drawn by a hash of the
 row's id (the bound is the parameter); four fifths are fitted, one fifth sets the softmax's temperature and
 the confidence below which a prediction is rejected. Prediction reads whole texts; as everything before the
-softmax is linear, embeddings and layer are folded into one table of scores per subword.
+softmax is linear, embeddings and layer are folded into one table of scores per subword, unless there are more
+languages than dimensions; what is broadcast is 8 MB at most, and the layer. Every language is learned: with many of
+them each has fewer rows, so that ``max_rows`` bounds the sample.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any labelled rows all are;
-repeated rows get equal results; an empty table gives an empty result.
+repeated rows get equal results; an empty table gives an empty result; other columns pass, but for those named
+like a result.
 """
 
 from __future__ import annotations
@@ -55,20 +58,23 @@ def subwords(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Model:
-    def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, threshold: float):
-        self.langs, self.table, self.bias, self.temperature, self.threshold = langs, table, bias, temperature, threshold
+    """table: a row of each bucket, as scores, or as embeddings where ``layer`` turns their mean into scores."""
+
+    def __init__(self, langs: list[str], table: np.ndarray, layer: np.ndarray | None, bias: np.ndarray, temperature: float, threshold: float):
+        self.langs, self.table, self.layer, self.bias, self.temperature, self.threshold = langs, table, layer, bias, temperature, threshold
 
     def logits(self, texts: list[str]) -> np.ndarray:
         texts = [t.lower() for t in texts]
         size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-        total = np.zeros((len(texts), len(self.langs)))
+        total = np.zeros((len(texts), self.table.shape[1]))
         count = np.zeros(len(texts))
         for idx, valid in subwords(texts):
             s = self.table[np.where(valid, idx, np.uint32(BUCKETS))]
             total += np.add.reduceat(s, starts, axis=0)
             count += np.add.reduceat(valid.astype(np.int32), starts)
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        mean = total / np.maximum(count, 1)[:, None]
+        return (mean if self.layer is None else mean @ self.layer.T) + self.bias
 
     def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         p = softmax(self.logits(texts) / self.temperature)
@@ -114,9 +120,11 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.4, seed: i
             out -= lr * np.outer(p, hidden)
             bias -= lr * p
             emb[u] -= (lr * len(u) ** 0.5) * c[:, None] * grad
-    table = np.vstack([emb @ out.T, np.zeros((1, len(langs)), np.float32)]).astype(np.float32)
+    layer = out if len(langs) > DIM else None
+    rows_ = emb if layer is not None else emb @ out.T
+    table = np.vstack([rows_, np.zeros((1, rows_.shape[1]), np.float32)]).astype(np.float32)
     check = held if len(held) else train
-    z = np.array([c @ table[u] + bias for u, c, _ in (bags[j] for j in check)])
+    z = np.array([out @ (c @ emb[u]) + bias for u, c, _ in (bags[j] for j in check)])
     y = np.array([bags[j][2] for j in check])
     grid = np.geomspace(0.05, 8, 40)
     loss = [-np.log(softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
@@ -127,19 +135,21 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.4, seed: i
     precise = np.cumsum(right[by]) / np.arange(1, len(by) + 1) >= 0.99
     last = int(np.flatnonzero(precise)[-1]) if precise.any() else -1
     threshold = 0.0 if last == len(by) - 1 else float(best[by][last]) if last >= 0 else 1.0
-    return Model(langs, table, bias, temperature, threshold)
+    return Model(langs, table, layer, bias, temperature, threshold)
 
 
-def training_rows(docs: DataFrame, usable: Column, per_lang: int = 800, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """About ``per_lang`` rows of each language, the same ones at every call; the driver holds no more than that."""
-    rows = docs.where(usable & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(1000).collect()}
-    if not counts:
+def training_rows(docs: DataFrame, usable: Column, per_lang: int = 800, max_rows: int = 200_000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
+    """About ``per_lang`` rows of each language, ``max_rows`` in all, the same ones at every call; the driver holds twice that at most."""
+    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    counts = rows.groupBy(lang).agg(F.count("*").alias("_rows"))
+    langs = counts.count()
+    if not langs:
         return []
-    share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, float(min(1.0, per_lang / n)))])
-    draw = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.where(draw < share[F.col(lang)]).where(F.col(text).isNotNull()).select(text, lang)
-    return sorted(map(tuple, picked.limit(2 * per_lang * len(counts)).collect()))
+    share = min(per_lang, max(1, max_rows // langs))
+    draw = F.pmod(F.xxhash64(F.lit(11), F.col(key), F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = rows.select(draw.alias("_draw"), text, lang).join(counts, lang).where(F.col("_draw") * F.col("_rows") < share)
+    # The order makes the bound, which only rows with one draw can reach, leave the same rows at every call.
+    return sorted((r[text], r[lang]) for r in picked.orderBy("_draw", text, lang).limit(2 * min(max_rows, share * langs)).collect())
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

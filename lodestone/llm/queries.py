@@ -27,7 +27,7 @@ def vocabulary() -> str:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     model = langid.fit(langid.training_rows(docs, ~held_out))
     return langid.identify(docs.select("doc_id", "text"), model).withColumn("held_out", held_out)
 
@@ -52,10 +52,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark)
-    manifest = warc.write_warc(_table(spark, sf_dir, "pages"), path)
-    d = warc.read_warc(manifest, path, payload=False)
-    number = lambda c: F.col(c).try_cast("long")
-    return d.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    pages = _table(spark, sf_dir, "pages")
+    # Ranges smaller than the archives, so that records are found from the middle of a file at every size.
+    d = warc.read_warc(warc.write_warc(pages, path), path, split_bytes=1 << 20, payload=False)
+    page_id = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(pages.schema["page_id"].dataType)
+    return d.select(page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id("refers_to").alias("refers_to"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

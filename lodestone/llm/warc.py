@@ -13,8 +13,10 @@ none, scanning goes on. Only positions are kept in memory besides one record.
 Paths may be of any file system that pyarrow.fs knows (file, hdfs, s3, gs).
 
 Defined cases: null html is an empty payload; payloads of less than ``min_bytes`` are always responses; a null
-id comes after all others; rows that repeat the response's id and payload are responses as well; an empty table
-gives no files and an empty result; other columns are ignored.
+id comes after all others and is written as ``null``; of rows that repeat the response's id and payload one is the
+response, the others revisit it; ids of any type are percent-encoded in record ids and read as strings; an empty table
+gives no files and an empty result; other columns are ignored. Copies of one payload meet as narrow rows only, in a
+join on its digest that adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, ship
@@ -43,16 +47,21 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def named(page_id: object) -> str:
+    """An id as it stands in a record id."""
+    return "null" if page_id is None else quote(str(page_id), safe="")
+
+
 def record(page_id: object, url: str | None, payload: bytes, refers_to: object, revisit: bool, date: str) -> bytes:
     """One gzip member with one record."""
     digest = digest32(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{URN}{page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{URN}{named(page_id)}>", f"WARC-Date: {date}"]
     if url:
         head.append("WARC-Target-URI: " + "".join(url.split()))
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{URN}{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{URN}{named(refers_to)}>"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{digest32(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
@@ -63,9 +72,14 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(key).alias("id"), F.col(url).cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha"))
     small = rows.where(F.octet_length("html") >= min_bytes).select("sha", "id")
-    first = small.groupBy("sha").agg(F.min("id").alias("first"))
-    again = small.join(first, "sha").where(~F.col("id").eqNullSafe(F.col("first"))).distinct().select(F.col("sha").alias("sha2"), F.col("id").alias("id2"), "first")
-    met = rows.join(again, (rows["sha"] == again["sha2"]) & rows["id"].eqNullSafe(again["id2"]), "left").select("id", "url", "html", "first", F.col("sha2").isNotNull().alias("revisit"))
+    copies = small.groupBy("sha", "id").agg(F.count("*").alias("n"))  # repeated rows are combined here
+    first = copies.groupBy("sha").agg(F.min("id").alias("first"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    again = materialize(copies.join(first, "sha").select(F.col("sha").alias("sha2"), F.col("id").alias("id2"), "first", (F.col("id").eqNullSafe(F.col("first")) & (F.col("n") > 1)).alias("tie")).where("tie or not (id2 <=> first)"))
+    met = rows.join(again, (rows["sha"] == again["sha2"]) & rows["id"].eqNullSafe(again["id2"]), "left").select("id", "url", "html", "sha", "first", "tie", F.col("sha2").isNotNull().alias("revisit"))
+    if not again.where("tie").isEmpty():
+        ties = met.where("tie").withColumn("revisit", F.row_number().over(W.partitionBy("sha", "id").orderBy("url")) > 1)
+        met = met.where("not coalesce(tie, false)").unionByName(ties)
+    met = met.select("id", "url", "html", "first", "revisit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -79,7 +93,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
         for batch in batches:
             columns = [batch[c].to_pylist() for c in ("id", "url", "html", "first", "revisit")]
             for page_id, link, text, refers, revisit in zip(*columns, strict=True):
-                member = record("null" if page_id is None else page_id, link, text.encode(), refers, revisit, date)
+                member = record(page_id, link, text.encode(), refers, revisit, date)
                 if out is None:
                     files.create_dir(base, recursive=True)
                     out = files.open_output_stream(temp)
@@ -182,7 +196,7 @@ def parse(content: bytes) -> dict[str, object]:
     inner = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
     kind = fields.get("warc-type")
     claimed = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    bare = lambda x: x.strip("<>").removeprefix(URN) if x else None
+    bare = lambda x: unquote(x.strip("<>").removeprefix(URN)) if x else None
     full = kind == "response"
     return {
         "record_id": bare(fields.get("warc-record-id")),
