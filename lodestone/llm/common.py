@@ -15,6 +15,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,10 +51,41 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Bounds the rows of an Arrow batch in the jobs that are run inside, so that long values stay small in sum."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Bytes of text for which a key bucket is provided; a reducer holds the keys of one bucket, about as many bytes.
+BUCKET_BYTES = 128 << 20
+
+
+def key_buckets(docs: DataFrame, text: str) -> int:
+    """Key buckets by the size of the texts, which one scan adds up; at least one for each shuffle partition."""
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+
+
+def with_results(docs: DataFrame, text: str, result: DataFrame) -> DataFrame:
+    """``docs`` without the text and columns named like a result, with the results for (h1, h2) of each row's text."""
+    new = [c for c in result.columns if c not in ("h1", "h2")]
+    keep = [c for c in docs.columns if c != text and c not in new]
+    row = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    rows = docs.select(row.alias("_row"), *text_key(F.col(text)))
+    return rows.join(result, ["h1", "h2"], "left").select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(keep)], *new)
+
+
 def text_key(text: F.Column) -> list[F.Column]:
     """128 bits of a text, as two independently seeded 64 bit hashes; null counts as empty."""
     t = F.coalesce(text, F.lit(""))
@@ -116,7 +148,7 @@ def window_hash(prefix: np.ndarray, length: int, powers: Powers) -> np.ndarray:
 class WordHash(dict):
     """Bounded cache word -> 64 bit hash."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         import xxhash
 
         super().__init__()

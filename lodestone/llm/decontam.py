@@ -5,12 +5,13 @@ items (``size`` consecutive words, or the whole of a shorter item) form a hash s
 document is looked up, hits are verified on the words themselves, and the words inside verified windows are
 marked. ``remove`` cuts these spans, or drops documents with too large a share of them.
 
-The set is broadcast while it has at most ``broadcast_windows`` windows (checked by counting; a window is a
-few hundred bytes). A larger set meets the documents' windows in a shuffled join on the hash, and hits are
+The set is broadcast while it has at most ``broadcast_windows`` windows and ``BROADCAST_BYTES`` bytes (of words and
+item ids, both added up first). A larger set meets the documents' windows in a shuffled join on the hash, and hits are
 verified after they have come back to their document.
 
 Defined cases: null or empty texts and items have no words; repeated rows get equal results; an item id that
-occurs twice counts once; null item ids count as the string ``null``; empty tables give no hits or rows.
+occurs twice counts once; null item ids count as the string ``null``; empty tables give no hits or rows; other columns
+pass, whatever their names (``remove``), or are ignored (``contamination``).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BROADCAST_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,8 +50,10 @@ def hits(keyed: DataFrame, items: DataFrame, size: int = 10, item_id: str = "ite
     """(_k1, _k2, spans, found): for each document with hits, the marked windows (first word, length) and the item ids."""
     table = item_windows(items, size, item_id, item_text).cache()
     try:
-        lengths = {r[0]: r[1] for r in table.groupBy("len").count().collect()}  # at most ``size`` rows
-        small = sum(lengths.values()) <= broadcast_windows
+        bytes_ = F.expr("8 + octet_length(array_join(ws, ' ')) + aggregate(items, 0L, (a, x) -> a + octet_length(x) + 8)")
+        found = table.groupBy("len").agg(F.count("*"), F.sum(bytes_)).collect()  # at most ``size`` rows
+        lengths = {r[0]: r[1] for r in found}
+        small = sum(lengths.values()) <= broadcast_windows and sum(r[2] for r in found) <= BROADCAST_BYTES
         rows = [r.asDict() for r in table.collect()] if small else None
     finally:
         table.unpersist()
@@ -98,19 +102,20 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 def remove(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars", max_share: float = 1.0, **options: int) -> DataFrame:
     """``docs`` without the marked words; documents of which ``max_share`` of the words or more are marked go."""
-    names = [c for c in docs.columns if c not in ("_k1", "_k2", "spans", "found")]
-    keyed = _keyed(docs.select(*names), key, text)
-    d = keyed.join(hits(keyed, items, text=text, **options), ["_k1", "_k2"], "left")  # type: ignore[arg-type]
+    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    keyed = _keyed(named, "key", "text")
+    d = keyed.join(hits(keyed, items, text="text", **options), ["_k1", "_k2"], "left")  # type: ignore[arg-type]
     d = d.withColumn("_m", F.expr(f"if(spans is null, null, {_MARKED})"))
-    n = F.size(words(text))
+    n = F.size(words("text"))
     d = d.where(F.col("_m").isNull() | (F.size("_m") < max_share * n))
     # words and what stands between them, in turn; sorted spans keep the look-up short
-    word, gap = f"regexp_extract_all({text}, '{_sql(RAW_WORD)}', 0)", f"split({text}, '{_sql(RAW_WORD)}')"
+    word, gap = f"regexp_extract_all(text, '{_sql(RAW_WORD)}', 0)", f"split(text, '{_sql(RAW_WORD)}')"
     rebuilt = f"array_join(zip_with({gap}, transform({word}, (x, i) -> if(exists(spans, s -> i >= s.start and i < s.start + s.span), '', x)), (g, x) -> concat(g, coalesce(x, ''))), '')"
-    d = d.withColumn(text, F.when(F.col("_m").isNull(), F.col(text)).otherwise(F.expr(rebuilt)))
+    d = d.withColumn("text", F.when(F.col("_m").isNull(), F.col("text")).otherwise(F.expr(rebuilt)))
+    new = {c: F.col(f"row.c{i}") for i, c in enumerate(docs.columns)} | {text: F.col("text")}
     if chars in docs.columns:
-        d = d.withColumn(chars, F.when(F.col("_m").isNull(), F.col(chars)).otherwise(F.length(text)).cast(docs.schema[chars].dataType))
-    return d.select(*names)
+        new[chars] = F.when(F.col("_m").isNull(), new[chars]).otherwise(F.length("text")).cast(docs.schema[chars].dataType)
+    return d.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def _sql(pattern: str) -> str:

@@ -11,7 +11,8 @@ Exact copies are combined first, equal keys of a task are combined before the sh
 each key once per task, so neither a huge group of copies nor a very common passage makes a hot task.
 
 Defined cases: null or empty text has no words; texts shorter than a window lose nothing; repeated rows are
-copies and lose every window; an empty table gives an empty result; other columns are ignored.
+copies and lose every window; an empty table gives an empty result; other columns pass, but for those named like a
+result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Powers, WordHash, distinct_texts, exchange, mix, prefix_hash, shuffle_partitions, ship, text_key, utf8, window_hash, wire, WIRE
+from .common import BASES, Powers, WordHash, distinct_texts, exchange, key_buckets, mix, prefix_hash, ship, utf8, window_hash, wire, WIRE, with_results
 
 ship(__name__)
 
@@ -142,10 +143,9 @@ def dedup_substrings(docs: DataFrame, window: int = 35, text: str = "text", per_
     are spread over the copies, for callers that want digests instead of texts.
     """
     texts = distinct_texts(docs, text)
-    buckets = shuffle_partitions(docs.sparkSession)
+    buckets = key_buckets(docs, text)
     shared = exchange(texts.mapInArrow(anchors(window, buckets), WIRE), 1, buckets)
     open_texts = texts.join(shared, ["h1", "h2"])
     starts = exchange(open_texts.mapInArrow(windows(window, buckets), WIRE), 2, buckets)
     result = per_text(texts.join(starts, ["h1", "h2"], "left").mapInArrow(removal(window), RESULT))
-    rows = docs.select(*[c for c in docs.columns if c not in {text, "h1", "h2", *result.columns}], *text_key(F.col(text)))
-    return rows.join(result, ["h1", "h2"], "left").drop("h1", "h2")
+    return with_results(docs, text, result)

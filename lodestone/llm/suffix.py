@@ -5,7 +5,7 @@
    places. Anchors are sparse, about one in (length - gram) / 2 bytes; only those whose gram occurs twice go on.
 2. Cells. The strings of one anchor are dealt into cells of ``CELL`` neighbouring starts. All strings of a cell
    share its core, and the cell's extent holds them all; cells meet by the hash of their core. Cells of equal
-   extent are combined in the map task and again in the reducer: every string of a repeated extent is repeated.
+   extent (by a digest, then by their bytes) are combined in the map task and again in the reducer: every string of a repeated extent is repeated.
 3. Suffix sort. Where a core has several extents, the suffixes of the extents that start at the cell's strings
    are sorted: prefix polynomial hashes and a binary search give the common extension of two suffixes, so a
    comparison takes a logarithmic number of steps, in a bottom-up mergesort. A suffix whose common extension
@@ -13,10 +13,12 @@
 
 Skew: exact copies are combined first; equal extents are combined in each task. Where one task alone sees more
 than ``SPREAD`` different extents of a core, these are spread over all buckets by their own hash; each bucket
-then settles what it can and passes one witness per string on to a last exchange by the strings' own digests.
+then settles what it can and passes one witness per string on to a last exchange by the strings' own digests,
+where their bytes are compared as well.
 
 Defined cases: null or empty text has no bytes; shorter texts lose nothing; repeated rows are copies and lose
-all bytes; an empty table gives an empty result; other columns are ignored.
+all bytes; an empty table gives an empty result; other columns pass, whatever their names (``clean``), but for those
+named like a result (``dedup_bytes``).
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, HOMES, WIRE, Powers, _gather, _places, by_document, distinct_texts, exchange, homes_table, mix, prefix_hash, shuffle_partitions, ship, text_key, utf8, window_hash, wire
+from .common import BASES, HOMES, WIRE, Powers, _gather, _places, by_document, distinct_texts, exchange, homes_table, key_buckets, mix, prefix_hash, ship, utf8, window_hash, wire, with_results
 from .substring import _documents, _marks, covered
 
 ship(__name__)
@@ -117,6 +119,16 @@ def _first(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return group, order[new], np.bincount(group)
 
 
+def _same(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_first``, for rows of bytes with keys made of their digests: rows of one group have the same bytes."""
+    group, first, size = _first(keys)
+    for a in range(0, len(rows), 4096):
+        if (rows[a : a + 4096] != rows[first[group[a : a + 4096]]]).any():  # digests collide, so the bytes tell groups apart
+            _, number = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1]))).ravel(), return_inverse=True)
+            return _first(np.column_stack([keys, number.ravel().astype(np.uint64)]))
+    return group, first, size
+
+
 def cells(length: int, buckets: int, spread_over: int = SPREAD) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     cell = cell_size(length)
     width = length + cell - 1
@@ -157,7 +169,7 @@ def cells(length: int, buckets: int, spread_over: int = SPREAD) -> Callable[[Ite
                 continue
             core, extent, lo, hi, at, doc = map(np.concatenate, (core, extent, lo, hi, at, doc))
             digest = _digest(extent)
-            group, first, size = _first(np.stack([digest[:, 0], digest[:, 1], core, (lo * 64 + hi).astype(np.uint64)], axis=1))
+            group, first, size = _same(np.stack([digest[:, 0], digest[:, 1], core, (lo * 64 + hi).astype(np.uint64)], axis=1), extent)
             many = (size > 1) | (np.bincount(group, weights=copied[doc], minlength=len(size)) > 0)
             settled = np.flatnonzero(many[group] & ~copied[doc])
             yield from _cell_rows(core, extent, lo, hi, at, doc, table, digest, first, many, settled, buckets, spread_over)
@@ -309,7 +321,8 @@ def _repeated(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarra
 
 #: Places are pairs (first start, number of starts), for the home buckets of their documents. keys: witnesses,
 #: six words each: digest, document, start, whether it is known to be repeated; for the bucket of the digest.
-WITNESS = "bucket int, pos binary, counts binary, docs binary, keys binary"
+#: strings: their bytes.
+WITNESS = "bucket int, pos binary, counts binary, docs binary, keys binary, strings binary"
 
 
 def _pairs(run: np.ndarray, start: np.ndarray, count: np.ndarray, docs: np.ndarray, homes: int) -> pa.Table:
@@ -317,15 +330,15 @@ def _pairs(run: np.ndarray, start: np.ndarray, count: np.ndarray, docs: np.ndarr
     return homes_table(np.stack([start[by], count[by]], axis=1).ravel(), np.repeat(run[by], 2), docs, homes)
 
 
-def _witness_rows(places: list[pa.Table], keys: np.ndarray | None, buckets: int) -> pa.Table:
+def _witness_rows(places: list[pa.Table], keys: np.ndarray | None, strings: np.ndarray | None, buckets: int) -> pa.Table:
     t = pa.concat_tables(places)
-    t = t.rename_columns(["bucket", "pos", "counts", "docs"]).append_column("keys", pa.nulls(len(t), pa.binary()))
-    if keys is None or not len(keys):
+    t = t.rename_columns(["bucket", "pos", "counts", "docs"]).append_column("keys", pa.nulls(len(t), pa.binary())).append_column("strings", pa.nulls(len(t), pa.binary()))
+    if keys is None or strings is None or not len(keys):
         return t
     to = (keys[:, 1] % np.uint64(buckets)).astype(np.int64)
     number = np.unique(to)
     nothing = pa.nulls(len(number), pa.binary())
-    return pa.concat_tables([t, pa.table({"bucket": pa.array(number, pa.int32()), "pos": nothing, "counts": nothing, "docs": nothing, "keys": pa.array([keys[to == b].tobytes() for b in number.tolist()], pa.binary())})])
+    return pa.concat_tables([t, pa.table({"bucket": pa.array(number, pa.int32()), "pos": nothing, "counts": nothing, "docs": nothing, "keys": pa.array([keys[to == b].tobytes() for b in number.tolist()], pa.binary()), "strings": pa.array([strings[to == b].tobytes() for b in number.tolist()], pa.binary())})])
 
 
 def settle_cells(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
@@ -344,10 +357,10 @@ def settle_cells(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
         start, at, docs = _gather(table, "pos", "counts", "docs")
         start = start.astype(np.int64)
         out = [homes_table(*_gather(table, "s_pos", "s_counts", "s_docs"), buckets)]
-        keys = None
+        keys = strings = None
         if len(core):
             digest = _digest(rows)
-            group, first, size = _first(np.stack([digest[:, 0], digest[:, 1], core, (lo * 64 + hi).astype(np.uint64)], axis=1))
+            group, first, size = _same(np.stack([digest[:, 0], digest[:, 1], core, (lo * 64 + hi).astype(np.uint64)], axis=1), rows)
             twice = (size > 1) | (np.bincount(group, weights=multi, minlength=len(size)) > 0)
             of_core, _, classes = _first(core[first][:, None])
             far = np.isin(core[first], marked)
@@ -367,15 +380,16 @@ def settle_cells(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
                     known = np.bincount(cls, weights=twice[sort[row]])[cls[lead]] > 0
                     known |= found[cls[lead]]
                     span = np.arange(length)
-                    d = np.concatenate([_digest(rows[f[row[x]][:, None], off[x][:, None] + span]) for x in np.array_split(lead, len(lead) // 8192 + 1)])
+                    strings = np.concatenate([rows[f[row[x]][:, None], off[x][:, None] + span] for x in np.array_split(lead, len(lead) // 8192 + 1)])
+                    d = _digest(strings)
                     m = f[row[lead]]
                     keys = np.column_stack([d, docs[at[m]].view(np.uint64), (start[m] + off[lead]).astype(np.uint64), known.astype(np.uint64)])
-        return _witness_rows(out, keys, buckets)
+        return _witness_rows(out, keys, strings, buckets)
 
     return run
 
 
-def settle_witnesses(buckets: int) -> Callable[[pa.Table], pa.Table]:
+def settle_witnesses(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     """Last exchange: witnesses whose string another bucket has as well; places pass through."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -384,7 +398,8 @@ def settle_witnesses(buckets: int) -> Callable[[pa.Table], pa.Table]:
         blobs = [b for b in table["keys"].to_pylist() if b is not None]
         if blobs:
             k = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 6)
-            group, _, size = _first(k[:, :2])
+            strings = np.frombuffer(b"".join(b for b in table["strings"].to_pylist() if b is not None), np.uint8).reshape(-1, length)
+            group, _, size = _same(k[:, :2], strings)
             known = k[:, 5] > 0
             more = (size > 1) | (np.bincount(group, weights=known, minlength=len(size)) > 0)
             hit = k[more[group] & ~known]
@@ -431,15 +446,13 @@ def dedup_bytes(docs: DataFrame, length: int = 200, text: str = "text", per_text
 
     ``per_text`` is applied to the results of the distinct texts before they are spread over the copies.
     """
-    spark = docs.sparkSession
-    texts, buckets = distinct_texts(docs, text), shuffle_partitions(spark)
+    texts, buckets = distinct_texts(docs, text), key_buckets(docs, text)
     shared = exchange(texts.mapInArrow(anchors(length, buckets), WIRE), 1, buckets)
     met = texts.join(shared, ["h1", "h2"]).mapInArrow(cells(length, buckets, spread_over), CELLS)
     first = met.groupBy("bucket").applyInArrow(settle_cells(length, buckets), WITNESS)
-    starts = by_document(first.groupBy("bucket").applyInArrow(settle_witnesses(buckets), HOMES))
+    starts = by_document(first.groupBy("bucket").applyInArrow(settle_witnesses(length, buckets), HOMES))
     result = per_text(texts.join(starts, ["h1", "h2"], "left").mapInArrow(removal(length), RESULT))
-    rows = docs.select(*[c for c in docs.columns if c not in {text, "h1", "h2", *result.columns}], *text_key(F.col(text)))
-    return rows.join(result, ["h1", "h2"], "left").drop("h1", "h2")
+    return with_results(docs, text, result)
 
 
 def clean(docs: DataFrame, length: int = 200, text: str = "text", chars: str = "n_chars") -> DataFrame:
@@ -453,8 +466,11 @@ def clean(docs: DataFrame, length: int = 200, text: str = "text", chars: str = "
             yield pa.RecordBatch.from_pydict({"h1": batch["h1"], "h2": batch["h2"], "_kept": pa.array([x.decode("utf-8", "ignore") for x in batch["kept"].to_pylist()], pa.string())})
 
     result = lambda d: d.select("h1", "h2", "kept").mapInArrow(run, "h1 long, h2 long, _kept string")
-    d = dedup_bytes(docs.withColumn("_null", F.col(text).isNull()), length, text, result)
-    d = d.withColumn(text, F.when(~F.col("_null"), F.col("_kept")))
-    if chars in docs.columns:
-        d = d.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType))
-    return d.select(*docs.columns)
+    rest = [c for c in docs.columns if c != text]
+    named = docs.select(F.col(text).alias("t"), F.col(text).isNull().alias("null"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    d = dedup_bytes(named, length, "t", result)
+    new = {c: F.col(f"c{i}") for i, c in enumerate(rest)}
+    if chars in rest:
+        new[chars] = F.when(F.col("null"), F.lit(None)).otherwise(F.length("_kept")).cast(docs.schema[chars].dataType)
+    new[text] = F.when(~F.col("null"), F.col("_kept"))
+    return d.select(*[new[c].alias(c) for c in docs.columns])
