@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import bounded_batches, ship
 
 ship(__name__)
 
@@ -184,4 +184,5 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         listed = ",".join(map(bpe.text.__getitem__, ids)).encode()
         return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
 
+    bounded_batches(docs.sparkSession)
     return _mapped(docs, path, text, {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}, digests)

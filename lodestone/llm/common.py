@@ -15,7 +15,6 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,20 +46,37 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = work_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "lz4_raw").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Bounds the rows of an Arrow batch in the jobs that are run inside, so that long values stay small in sum."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(old)) if int(old) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, old)
+#: Rows and bytes of an Arrow batch, instead of Spark's defaults.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216")}
+#: Bytes of text that a map task of the substring operators looks at together.
+GATHER = 24 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches in this session, as texts may be long; settings other than Spark's defaults are left alone."""
+    for name, (default, value) in BATCH.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, value)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``GATHER`` bytes, so that more equal keys are combined before they are sent."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch[column].nbytes
+        if size >= GATHER:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+    del held
+    pa.default_memory_pool().release_unused()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -73,6 +89,7 @@ BUCKET_BYTES = 128 << 20
 
 def key_buckets(docs: DataFrame, text: str) -> int:
     """Key buckets by the size of the texts, which one scan adds up; at least one for each shuffle partition."""
+    bounded_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     return max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
 

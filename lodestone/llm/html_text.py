@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import bounded_batches, ship
 
 ship(__name__)
 
@@ -422,6 +422,7 @@ def extract(page: str | None) -> str:
 
 def extract_pages(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """``pages`` with the html replaced by the main text and n_chars, its code points."""
+    bounded_batches(pages.sparkSession)
     keep = [c for c in pages.columns if c not in (html, text, "n_chars")]
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField(text, T.StringType()), T.StructField("n_chars", T.LongType())])
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import bounded_batches, ship
 
 ship(__name__)
 
@@ -157,6 +157,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     out = {"lang_pred": T.StringType(), "score": T.DoubleType(), "accepted": T.BooleanType()}
     keep = [c for c in docs.columns if c not in out and c != text]
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, t) for c, t in out.items())])
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

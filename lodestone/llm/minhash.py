@@ -37,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Powers, WordHash, arrow_rows, connected_components, materialize, mix, prefix_hash, ship, utf8, window_hash
+from .common import BASES, Powers, WordHash, bounded_batches, connected_components, materialize, mix, prefix_hash, ship, utf8, window_hash
 
 ship(__name__)
 
-PERMUTATIONS, ROWS, PARTNERS, BATCH = 65, 5, 128, 1000
+PERMUTATIONS, ROWS, PARTNERS = 65, 5, 128
 #: Turns with a pivot, and the distance (per cent) within which a node is settled by one.
 TURNS, NEAR = 2, 50
 _RNG = np.random.Generator(np.random.PCG64(42))
@@ -213,8 +213,7 @@ def links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> list[
             return found
         placed = _placed(members)
         if sets is None:
-            with arrow_rows(docs.sparkSession, BATCH):
-                sets = materialize(_sets(docs.join(placed.select("id").distinct(), "id", "left_semi"), size))
+            sets = materialize(_sets(docs.join(placed.select("id").distinct(), "id", "left_semi"), size))
         if turn == TURNS:  # what no pivot is near to: the sets themselves are compared
             rest = placed.select("id", "v", "n", "g").join(sets, ["id", "v"]).select("g", "id", "v", "n", F.lit(0).alias("pn"), F.lit(False).alias("linked"), F.col("hashes").alias("d"))
             return [*found, materialize(_late_pairs(rest, percent, False))]
@@ -226,8 +225,7 @@ def links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> list[
         kind = _kind(placed, "id")
         compared = left.join(heads, ["g", "salt"]).select("g", "id", "v", "n", "pn", "p", "hashes", "p_hashes").mapInArrow(_difference, f"g {kind}, id {kind}, v long, n long, pn long, p {kind}, common long, d array<long>")
         compared = compared.where(f"100 * common >= {wide} * (n + pn - common)")
-        with arrow_rows(docs.sparkSession, BATCH // 4):
-            compared = materialize(compared.withColumn("linked", F.expr(f"100 * common >= {percent} * (n + pn - common)")))
+        compared = materialize(compared.withColumn("linked", F.expr(f"100 * common >= {percent} * (n + pn - common)")))
         found.append(compared.where("linked and id <> p").select(F.col("id").alias("a"), F.col("p").alias("b")))
         # Nodes linked with the pivot are connected already; if all near it are, nothing is left to look at.
         reach = F.expr(f"{100 - percent} * n - {100 + percent} * size(d)")
@@ -252,8 +250,8 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_shingles, component_id (smallest key reachable), kept (whether that is its own)."""
-    with arrow_rows(docs.sparkSession, BATCH):
-        signed = materialize(signatures(docs, key, text, size))
+    bounded_batches(docs.sparkSession)
+    signed = materialize(signatures(docs, key, text, size))
     usable = signed.where("s1 is not null and id is not null")
     reps = usable.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
     same = usable.select("id", "s1", "s2").join(reps, ["s1", "s2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Powers, WordHash, distinct_texts, exchange, key_buckets, mix, prefix_hash, ship, utf8, window_hash, wire, WIRE, with_results
+from .common import BASES, Powers, WordHash, distinct_texts, exchange, gathered, key_buckets, mix, prefix_hash, ship, utf8, window_hash, wire, WIRE, with_results
 
 ship(__name__)
 
@@ -54,7 +54,7 @@ def anchors(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, hashes = Powers(BASES[0]), WordHash()
-        for batch in batches:
+        for batch in gathered(batches):
             table, copied = _documents(batch)
             keys, docs, pos = [], [], []
             for i, text in enumerate(utf8(batch["text"])):
@@ -88,7 +88,7 @@ def windows(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second, hashes = Powers(BASES[0]), Powers(BASES[1]), WordHash()
-        for batch in batches:
+        for batch in gathered(batches):
             table, copied = _documents(batch)
             keys, docs, pos = [], [], []
             marks = batch["pos"].to_pylist()

@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, HOMES, WIRE, Powers, _gather, _places, by_document, distinct_texts, exchange, homes_table, key_buckets, mix, prefix_hash, ship, utf8, window_hash, wire, with_results
+from .common import BASES, HOMES, WIRE, Powers, _gather, _places, by_document, distinct_texts, exchange, gathered, homes_table, key_buckets, mix, prefix_hash, ship, utf8, window_hash, wire, with_results
 from .substring import _documents, _marks, covered
 
 ship(__name__)
@@ -73,7 +73,7 @@ def anchor_runs(data: np.ndarray, length: int, powers: Powers) -> tuple[np.ndarr
 def anchors(length: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(BASES[0])
-        for batch in batches:
+        for batch in gathered(batches):
             table, copied = _documents(batch)
             keys, docs, pos = [], [], []
             for i, text in enumerate(utf8(batch["text"])):
@@ -135,7 +135,7 @@ def cells(length: int, buckets: int, spread_over: int = SPREAD) -> Callable[[Ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(BASES[0])
-        for batch in batches:
+        for batch in gathered(batches):
             table, copied = _documents(batch)
             marks = batch["pos"].to_pylist()
             core, extent, lo, hi, at, doc = [], [], [], [], [], []
@@ -412,10 +412,10 @@ def settle_witnesses(length: int, buckets: int) -> Callable[[pa.Table], pa.Table
 
 # ---------------------------------------------------------------- removal
 
-RESULT = "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
+RESULT = "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, kept {}, spans array<struct<start:long,end:long>>"
 
 
-def removal(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def removal(length: int, decode: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
@@ -436,22 +436,23 @@ def removal(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if cut else data)
                 gone.append(n - len(kept[-1]))
                 spans.append([{"start": a, "end": b} for a, b in cut])
-            yield pa.RecordBatch.from_pydict({"h1": table[:, 0], "h2": table[:, 1], "n_bytes": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(list(map(len, spans)), pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, kind)})
+            yield pa.RecordBatch.from_pydict({"h1": table[:, 0], "h2": table[:, 1], "n_bytes": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(list(map(len, spans)), pa.int64()), "kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if decode else pa.array(kept, pa.binary()), "spans": pa.array(spans, kind)})
 
     return run
 
 
-def dedup_bytes(docs: DataFrame, length: int = 200, text: str = "text", per_text: Callable[[DataFrame], DataFrame] = lambda d: d, spread_over: int = SPREAD) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 200, text: str = "text", per_text: Callable[[DataFrame], DataFrame] = lambda d: d, spread_over: int = SPREAD, decode: bool = False) -> DataFrame:
     """``docs``' other columns with n_bytes, n_removed, n_spans, kept (the remaining bytes) and spans (removed, in bytes).
 
-    ``per_text`` is applied to the results of the distinct texts before they are spread over the copies.
+    ``per_text`` is applied to the results of the distinct texts before they are spread over the copies. With ``decode``,
+    kept is a string, without the bytes of characters that were cut in part.
     """
     texts, buckets = distinct_texts(docs, text), key_buckets(docs, text)
     shared = exchange(texts.mapInArrow(anchors(length, buckets), WIRE), 1, buckets)
     met = texts.join(shared, ["h1", "h2"]).mapInArrow(cells(length, buckets, spread_over), CELLS)
     first = met.groupBy("bucket").applyInArrow(settle_cells(length, buckets), WITNESS)
     starts = by_document(first.groupBy("bucket").applyInArrow(settle_witnesses(length, buckets), HOMES))
-    result = per_text(texts.join(starts, ["h1", "h2"], "left").mapInArrow(removal(length), RESULT))
+    result = per_text(texts.join(starts, ["h1", "h2"], "left").mapInArrow(removal(length, decode), RESULT.format("string" if decode else "binary")))
     return with_results(docs, text, result)
 
 
@@ -461,14 +462,9 @@ def clean(docs: DataFrame, length: int = 200, text: str = "text", chars: str = "
     No row goes: a text of nothing but repeated bytes becomes empty, null stays null. ``chars`` is counted anew.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"h1": batch["h1"], "h2": batch["h2"], "_kept": pa.array([x.decode("utf-8", "ignore") for x in batch["kept"].to_pylist()], pa.string())})
-
-    result = lambda d: d.select("h1", "h2", "kept").mapInArrow(run, "h1 long, h2 long, _kept string")
     rest = [c for c in docs.columns if c != text]
     named = docs.select(F.col(text).alias("t"), F.col(text).isNull().alias("null"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
-    d = dedup_bytes(named, length, "t", result)
+    d = dedup_bytes(named, length, "t", lambda x: x.select("h1", "h2", F.col("kept").alias("_kept")), decode=True)
     new = {c: F.col(f"c{i}") for i, c in enumerate(rest)}
     if chars in rest:
         new[chars] = F.when(F.col("null"), F.lit(None)).otherwise(F.length("_kept")).cast(docs.schema[chars].dataType)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import bounded_batches, materialize, ship
 
 ship(__name__)
 
@@ -69,6 +69,7 @@ def record(page_id: object, url: str | None, payload: bytes, refers_to: object,
 
 def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write ``pages`` as WARC files below ``path``; the manifest (path, bytes, records) of what was written."""
+    bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(key).alias("id"), F.col(url).cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha"))
     small = rows.where(F.octet_length("html") >= min_bytes).select("sha", "id")
