@@ -30,6 +30,8 @@ from .common import bounded_batches, ship
 ship(__name__)
 
 BUCKETS, DIM, GRAMS = 1 << 17, 16, 4
+#: Up to this size the table of the languages' row counts is broadcast.
+BROADCAST_BYTES = 8 << 20
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _STATE: dict[str, np.ndarray] = {}
 
@@ -142,12 +144,12 @@ def training_rows(docs: DataFrame, usable: Column, per_lang: int = 800, max_rows
     """About ``per_lang`` rows of each language, ``max_rows`` in all, the same ones at every call; the driver holds twice that at most."""
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = rows.groupBy(lang).agg(F.count("*").alias("_rows"))
-    langs = counts.count()
+    langs, size = counts.agg(F.count("*"), F.sum(F.octet_length(lang) + 16)).first()
     if not langs:
         return []
     share = min(per_lang, max(1, max_rows // langs))
     draw = F.pmod(F.xxhash64(F.lit(11), F.col(key), F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.select(draw.alias("_draw"), text, lang).join(counts, lang).where(F.col("_draw") * F.col("_rows") < share)
+    picked = rows.select(draw.alias("_draw"), text, lang).join(F.broadcast(counts) if size <= BROADCAST_BYTES else counts, lang).where(F.col("_draw") * F.col("_rows") < share)
     # The order makes the bound, which only rows with one draw can reach, leave the same rows at every call.
     return sorted((r[text], r[lang]) for r in picked.orderBy("_draw", text, lang).limit(2 * min(max_rows, share * langs)).collect())
 

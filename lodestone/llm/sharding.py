@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-BUCKETS, PART = 512, 50_000
+BUCKETS, PART = 512, 1000
 
 
 def _quotas(load: list[float], cap: list[int], wish: dict[tuple[int, int], float]) -> list[float]:
