@@ -1,15 +1,18 @@
 """Tables of the evidence memory: schemas, tenant-filtered reads, versioned writes.
 
 A missing table reads as an empty DataFrame of its schema, so optional features degrade to empty results.
-A table is a folder of versions; a write creates a new version folder and then moves the pointer (a one-row
-table), so readers never see a half-written table. There is one writer per table.
+A table is a folder of data folders and a log of numbered versions. A write creates a data folder, then the next entry
+of the log, which lists the version's data folders; entries are created once and never change, so a reader sees a
+version as a whole and of two writers one loses: an append is tried again, a replacement fails. An append adds
+a folder and leaves the others as they are. Errors in reading are raised; only a table without a log is empty.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,40 +118,75 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str | None = None, tables: dict[str, DataFrame] | None = None):
         self.spark, self.root, self.tables = spark, root.rstrip("/") if root else None, dict(tables or {})
 
+    def _log(self, name: str):
+        """The file system and the folder of the table's log."""
+        jvm = self.spark._jvm  # type: ignore[attr-defined]
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_log")
+        return folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), folder  # type: ignore[attr-defined]
+
+    def version(self, name: str) -> tuple[int, list[str]]:
+        """The number of the table's version, 0 for none, and its data folders."""
+        fs, folder = self._log(name)
+        if not fs.exists(folder):
+            return 0, []
+        for number in sorted((int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()), reverse=True):
+            text = self.spark.read.text(f"{folder.toString()}/{number:020d}", wholetext=True).first()
+            if text and text[0].endswith("\n"):  # else it is being written
+                return number, json.loads(text[0])
+        return 0, []
+
+    def _commit(self, name: str, number: int, folders: list[str]) -> bool:
+        """Create the log's entry; False if there is one already."""
+        fs, folder = self._log(name)
+        fs.mkdirs(folder)
+        try:
+            out = fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:020d}"), False)  # type: ignore[attr-defined]
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+                return False
+            raise
+        out.write(bytearray((json.dumps(folders) + "\n").encode()))
+        out.close()
+        return True
+
     def read(self, name: str, tenant: str | None = None) -> DataFrame:
         df = self.tables.get(name)
-        if df is None and self.root:
-            try:
-                version = self.spark.read.parquet(f"{self.root}/{name}/_pointer").first()
-                df = self.spark.read.schema(schema(name)).parquet(f"{self.root}/{name}/{version[0]}") if version else None
-            except AnalysisException:
-                df = None
+        if df is None and self.root and (folders := self.version(name)[1]):
+            df = self.spark.read.schema(schema(name)).parquet(*[f"{self.root}/{name}/{f}" for f in folders])
         if df is None:
             df = self.spark.createDataFrame([], schema(name))
         else:  # columns that a writer left out read as null
             df = df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(name).fields])
         return df.where(F.col("tenant") == tenant) if tenant is not None and "tenant" in df.columns else df
 
+    def _write(self, name: str, df: DataFrame) -> str:
+        folder = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}/{folder}")
+        return folder
+
     def replace(self, name: str, df: DataFrame) -> None:
-        """Make ``df`` the table's next version."""
+        """Make ``df`` the table's next version; fails if the table changes meanwhile."""
         if name in APPEND_ONLY:
             raise ValueError(f"{name} only grows; use append")
         if not self.root:
             self.tables[name] = df
             return
-        version = f"v-{uuid.uuid4().hex}"
-        df.select(*schema(name).names).write.parquet(f"{self.root}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}/_pointer")
+        number, _ = self.version(name)
+        if not self._commit(name, number + 1, [self._write(name, df.select(*schema(name).names))]):
+            raise RuntimeError(f"{name} was changed meanwhile; read it again")
 
     def append(self, name: str, rows: DataFrame) -> None:
-        current = self.read(name)
-        new = current.unionByName(rows.select(*[c for c in rows.columns if c in current.columns]), allowMissingColumns=True)
+        """Add ``rows``; what is there is not written again."""
+        empty = self.spark.createDataFrame([], schema(name))
+        new = empty.unionByName(rows.select(*[c for c in rows.columns if c in empty.columns]), allowMissingColumns=True)
         if not self.root:
-            self.tables[name] = new
+            self.tables[name] = self.read(name).unionByName(new)
             return
-        version = f"v-{uuid.uuid4().hex}"
-        new.write.parquet(f"{self.root}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{name}/_pointer")
+        folder = self._write(name, new)
+        while True:
+            number, folders = self.version(name)
+            if self._commit(name, number + 1, [*folders, folder]):
+                return
 
     def check(self, name: str) -> DataFrame:
         """Rows of a table that break its rules, with the names of the rules."""

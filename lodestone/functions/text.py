@@ -42,6 +42,7 @@ REDACTIONS = (
     (r"\b[A-Za-z0-9_-]{32,}\b", "[REDACTED_TOKEN]"),
 )
 
+#: Messages without content. Fixed value.
 TRIVIAL = r"(?i)^(ok|okay|yes|no|yep|nope|thanks|thx|ty|sure|k|kk|lol|lmao|haha|hmm|ah|oh|nice|cool|great|done|got it|np)$"
 
 

@@ -22,7 +22,7 @@ def patterns(facts: DataFrame, keys: Sequence[str], episode: str, value: str, fa
     if scope:
         aggs.append(F.min(scope).alias("scope_path"))
     out = facts.groupBy(*keys).agg(*aggs).where(F.col("support") >= least)
-    return out.withColumns({"confidence": pattern_confidence(F.col("support")), "state": F.when(F.col("support") >= 2, "published").otherwise("draft"), "fingerprint": F.sha2(F.concat(F.lit("pattern:"), F.concat_ws("|", *keys)), 256)})
+    return out.withColumns({"confidence": pattern_confidence(F.col("support")), "state": F.when(F.col("support") >= 2, "published").otherwise("draft"), "fingerprint": F.sha2(F.concat(F.lit("pattern:"), F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in keys])), 256)})
 
 
 def trusted(facts: DataFrame) -> DataFrame:
@@ -85,24 +85,34 @@ def _title_in_text(m: DataFrame, key: str, block: Sequence[str], title: str, nar
     return full.select(F.least("q", "t").alias("a"), F.greatest("q", "t").alias("b")).distinct()
 
 
-#: Edge types by support kind, fact kind and text hints, in the order they are tried. Fixed values.
+#: Words in the predicate that tell an edge's type, then words in the object that do; tried in this order. Fixed values.
 EDGE_RULES = (
-    ("contradicts", "contradict"),
-    ("supersedes", "supersede|replace"),
-    ("caused_by", "cause|root"),
-    ("resolved_by", "fix|resolve|remediat"),
-    ("depends_on", "depend|require"),
-    ("affects", "impact|affect"),
-    ("decided_by", "decision|decide"),
-    ("configured_by", "config|setting"),
+    ("caused_by", ("caus",), ()),
+    ("precedes", ("preced", "before"), ()),
+    ("follows", ("follow", "after"), ()),
+    ("fixes", ("fix", "remediat"), ("fix", "remediat")),
+    ("mitigates", ("mitigat",), ("mitigat",)),
+    ("supersedes", ("supersed",), ("supersed",)),
+    ("duplicates", ("duplicat",), ("duplicat",)),
+    ("depends_on", ("depend", "require"), ("depend", "require")),
 )
+#: Edge types that a fact's kind tells as well; kinds of facts that make edges. Fixed values.
+KIND_EDGES = {"caused_by": "cause", "fixes": "remediation"}
+LINK_KINDS = ("cause", "impact", "decision", "remediation", "constraint", "config_change")
 
 
-def edge_type(predicate: Column) -> Column:
+def edge_type(support_type: Column, fact_kind: Column, predicate: Column, value: Column) -> Column:
+    """The type of the edge from a fact to a memory; ``supports`` where nothing tells more."""
+    said, of = F.lower(F.coalesce(predicate, F.lit(""))), F.lower(F.coalesce(value.cast("string"), F.lit("")))
     out = F.lit("supports")
-    for name, pattern in reversed(EDGE_RULES):
-        out = F.when(F.lower(predicate).rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+    for name, in_predicate, in_object in reversed(EDGE_RULES):
+        tells = said.rlike("|".join(in_predicate))
+        if in_object:
+            tells = tells | of.rlike("|".join(in_object))
+        if name in KIND_EDGES:
+            tells = tells | (F.coalesce(fact_kind, F.lit("")) == KIND_EDGES[name])
+        out = F.when(tells, name).otherwise(out)
+    return F.when(F.coalesce(support_type, F.lit("")) == "counter", "contradicts").otherwise(out)
 
 
 def steps(text: Column) -> Column:

@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def around(events: DataFrame, at: Column, ts: str, key: str, n: int) -> DataFrame:
-    """The ``n`` events before a time and the ``n`` at or after it, in time order, with column ``side``."""
-    before = events.where(F.col(ts) < at).orderBy(F.desc(ts), F.desc(key)).limit(n).withColumn("side", F.lit("before"))
-    after = events.where(F.col(ts) >= at).orderBy(F.asc(ts), F.asc(key)).limit(n).withColumn("side", F.lit("after"))
-    return before.unionByName(after)
+def around(events: DataFrame, at: Column, ts: str, key: str, n: int, tie: str | None = None) -> DataFrame:
+    """The ``n`` events before a time and the ``n`` at or after it, with column ``side``, both in time order.
+
+    Events of one time are ordered by ``tie`` (nulls last) and ``key``.
+    """
+    by = [ts, *([tie] if tie else []), key]
+    before = events.where(F.col(ts) < at).orderBy(*[F.desc_nulls_first(c) for c in by]).limit(n).withColumn("side", F.lit("before"))
+    after = events.where(F.col(ts) >= at).orderBy(*[F.asc_nulls_last(c) for c in by]).limit(n).withColumn("side", F.lit("after"))
+    return before.unionByName(after).orderBy(*[F.asc_nulls_last(c) for c in by])
 
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, take: Sequence[str]) -> DataFrame:
@@ -41,13 +45,13 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, ts: str, start:
     return p.join(i, [*keys, "_b"]).where((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))).drop("_b")
 
 
-def within_distance(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, seconds: int) -> DataFrame:
-    """Pairs at most ``seconds`` apart: buckets of that length and their neighbours."""
+def within_distance(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, seconds: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Pairs of equal ``keys`` at most ``seconds`` apart: buckets of that length and their neighbours."""
     b = lambda c: F.floor(F.unix_timestamp(c) / seconds)
     l = left.withColumn("_b", F.explode(F.array(*[b(F.col(left_ts)) + d for d in (-1, 0, 1)])))
     r = right.withColumn("_b", b(F.col(right_ts)))
     apart = F.abs(F.unix_micros(F.col(left_ts).cast("timestamp")) - F.unix_micros(F.col(right_ts).cast("timestamp")))
-    return l.join(r, "_b").where(apart <= seconds * 1_000_000).drop("_b")
+    return l.join(r, [*keys, "_b"]).where(apart <= seconds * 1_000_000).drop("_b")
 
 
 def superseded(facts: DataFrame, keys: Sequence[str], value: str, start: str, end: str) -> DataFrame:

@@ -219,8 +219,8 @@ class Engine:
         d = d.where(P.within("time_start", start, end)) if start is not None or end is not None else d
         return ranking.top(d, [F.asc_nulls_last("time_start"), F.asc("created_at"), F.asc("event_frame_id")], P.bounded(limit, 1, 200))
 
-    def before_after(self, at: Column, n: int = 5, subject: str | None = None, scope: str | None = None) -> DataFrame:
-        return temporal.around(self.frames(subject, scope).where("time_start is not null"), at, "time_start", "event_frame_id", n)
+    def before_after(self, at: Column, n: int = 3, subject: str | None = None, scope: str | None = None, event_type: str | None = None) -> DataFrame:
+        return temporal.around(self.frames(subject, scope, event_type).where("time_start is not null"), at, "time_start", "event_frame_id", P.bounded(n, 1, 50), "created_at")
 
     def causal_chains(self, subject: str | None = None, scope: str | None = None, limit: int = 10) -> DataFrame:
         """The subject chooses the episodes; all causal steps of an episode are returned."""
@@ -289,10 +289,41 @@ class Engine:
     def pattern_candidates(self) -> DataFrame:
         return mining.patterns(mining.trusted(self.table("fact")), ["subject_entity_id", "predicate", "fact_kind"], "episode_id", "object_value", "fact_id", "scope_path")
 
-    def reconcile_patterns(self) -> DataFrame:
-        """The memory table with patterns added or updated, and flags telling which."""
-        c = self.pattern_candidates().select(F.lit(self.tenant).alias("tenant"), "fingerprint", F.lit("pattern").alias("memory_type"), F.concat_ws(" ", "predicate", F.lit("pattern")).alias("title"), F.format_string("%s: %s (seen in %d episodes)", "predicate", F.coalesce("usual_value", F.lit("")), "support").alias("narrative"), "confidence", F.col("support").cast("int").alias("support_count"), F.col("state").alias("lifecycle_state"), "scope_path")
-        return merge.upsert(self.table("memory"), c, ["tenant", "fingerprint"], {"support_count": "greatest"})
+    def reconcile_patterns(self, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+        """The memory table with patterns added or updated (and flags telling which), and the support rows that are new.
+
+        A pattern that is known keeps its id and title; its support never falls.
+        """
+        now = F.current_timestamp() if now is None else now
+        names = self.table("entity").select(F.col("entity_id").alias("subject_entity_id"), F.col("canonical_name").alias("_name"))
+        c = self.pattern_candidates().join(names, "subject_entity_id", "left").withColumn("subject", F.coalesce("_name", "subject_entity_id"))
+        old = self.table("memory").groupBy("fingerprint").agg(F.min("memory_id").alias("_known"), F.max("support_count").alias("_count"))
+        c = c.join(old, "fingerprint", "left").withColumn("n", F.greatest("support", F.coalesce("_count", F.lit(0))))
+        digest = F.md5(F.concat_ws("|", F.lit(self.tenant), "fingerprint"))
+        parts = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+        c = c.withColumn("memory_id", F.coalesce("_known", F.concat_ws("-", *parts)))
+        value = F.when(F.length("usual_value") > 200, F.concat(F.substring("usual_value", 1, 200), F.lit("..."))).when(F.length("usual_value") > 0, F.col("usual_value"))
+        narrative = F.concat_ws(
+            "\n",
+            F.format_string('Pattern: %s exhibits "%s" behavior.', "subject", "predicate"),
+            F.format_string("Kind: %s", "fact_kind"),
+            F.format_string("Support: %d independent episodes confirm this pattern.", "support"),
+            F.concat(F.lit("Representative value: "), value),
+            F.format_string("Episodes: %d corroborating episodes.", F.size("episode_ids")),
+            F.format_string("Facts: %d supporting facts.", F.size("fact_ids")),
+        )
+        rows = c.select(
+            F.lit(self.tenant).alias("tenant"), "fingerprint", "memory_id", F.lit("pattern").alias("memory_type"),
+            F.format_string("%s %s (%s)", "subject", "predicate", "fact_kind").alias("title"), narrative.alias("narrative"),
+            F.least(0.5 + F.col("n") * 0.1, F.lit(0.95)).alias("confidence"), F.col("n").cast("int").alias("support_count"), F.lit(0).alias("contradiction_count"),
+            F.when(F.col("n") >= 2, "published").otherwise("draft").alias("lifecycle_state"), "scope_path", now.cast("timestamp").alias("updated_at"), now.cast("timestamp").alias("created_at"),
+        )
+        merged = merge.upsert(self.table("memory"), rows, ["tenant", "fingerprint"], {"title": "keep", "scope_path": "keep", "contradiction_count": "keep", "created_at": "keep", "memory_id": "keep"})
+        both = lambda ids, kind, note: c.select("memory_id", F.explode(ids).alias(kind), F.lit("supporting").alias("support_type"), F.col(note).alias("notes"), F.lit(self.tenant).alias("tenant"))
+        support = both("fact_ids", "fact_id", "predicate").unionByName(both("episode_ids", "episode_id", "subject"), allowMissingColumns=True)
+        known = self.catalog.read("memory_support").select("memory_id", "fact_id", "episode_id").distinct()
+        same = [support[k].eqNullSafe(known[k]) for k in ("memory_id", "fact_id", "episode_id")]
+        return merged, support.join(known, same, "left_anti")
 
     def retired(self, now: Column, days: int = 7) -> DataFrame:
         """Memories with more contradictions than support, old enough and without priority-1 support."""
@@ -303,9 +334,16 @@ class Engine:
     def memory_conflicts(self) -> DataFrame:
         return mining.conflicts(self.table("memory").where(P.governed()), self.table("memory_cue"), full_text=True)
 
-    def link_candidates(self) -> DataFrame:
-        """New typed edges from facts to the memories they support; plain support is not an edge."""
-        f = self.table("fact").select("fact_id", "predicate", "confidence", "assertion_class", "scope_path")
-        d = self.catalog.read("memory_support").where("fact_id is not null").join(f, "fact_id").withColumn("edge_type", mining.edge_type(F.col("predicate"))).where("edge_type <> 'supports'")
-        e = d.select(F.lit(self.tenant).alias("tenant"), F.lit("fact").alias("source_type"), F.col("fact_id").alias("source_id"), F.lit("memory").alias("target_type"), F.col("memory_id").alias("target_id"), "edge_type", "confidence", "assertion_class", "scope_path")
-        return merge.insert_if_absent(self.table("memory_edge"), e.withColumn("edge_fingerprint", graph.edge_fingerprint()), ["tenant", "edge_fingerprint"])
+    def link_candidates(self, scope: str | None = None) -> DataFrame:
+        """New typed edges from trusted facts with evidence to the memories they support or counter; plain support is not an edge."""
+        f = mining.trusted(self.table("fact")).where(F.col("fact_kind").isin(*mining.LINK_KINDS)).select("fact_id", "predicate", "object_value", "fact_kind", F.col("confidence").alias("_fc"), "assertion_class", F.col("scope_path").alias("_fs"))
+        m = self.table("memory").where(F.coalesce("lifecycle_state", F.lit("draft")) != "retired").select("memory_id", F.col("confidence").alias("_mc"), F.col("scope_path").alias("_ms"))
+        order = F.struct(F.coalesce("weight", F.lit(float("-inf"))), -F.coalesce(F.unix_micros("created_at"), F.lit(1 << 62)))
+        proof = self.catalog.read("fact_evidence").groupBy("fact_id").agg(F.max_by("segment_id", order).alias("evidence_segment_id"))
+        s = self.catalog.read("memory_support").where(F.col("fact_id").isNotNull() & F.col("support_type").isin("supporting", "counter")).select("memory_id", "fact_id", "support_type").distinct()
+        d = s.join(m, "memory_id").join(f, "fact_id").join(proof, "fact_id").withColumn("scope_path", F.coalesce("_ms", "_fs"))
+        d = d.where(P.in_scope(scope)) if scope else d
+        d = d.withColumn("edge_type", mining.edge_type(F.col("support_type"), F.col("fact_kind"), F.col("predicate"), F.col("object_value"))).where("edge_type <> 'supports'")
+        sure = F.least(F.coalesce("_fc", F.lit(0.5)), F.coalesce("_mc", "_fc", F.lit(0.5)))
+        e = d.select(F.lit(self.tenant).alias("tenant"), F.lit("fact").alias("source_type"), F.col("fact_id").alias("source_id"), F.lit("memory").alias("target_type"), F.col("memory_id").alias("target_id"), "edge_type", sure.alias("confidence"), "assertion_class", "evidence_segment_id", "scope_path")
+        return merge.insert_if_absent(self.table("memory_edge"), e.withColumn("edge_fingerprint", graph.edge_fingerprint()), ["tenant", "source_type", "source_id", "target_type", "target_id", "edge_type"])

@@ -140,9 +140,9 @@ def j01_facts_of_entities(t: Tables) -> DataFrame:
 
 
 @query("""SELECT DISTINCT a.l_orderkey AS a_order, a.l_partkey, b.l_orderkey AS b_order FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_orderkey <> b.l_orderkey
-WHERE a.l_orderkey < 20""")
+WHERE a.l_quantity = 50""")
 def j03_same_subject(t: Tables) -> DataFrame:
-    a = t.lineitem.where("l_orderkey < 20").select(F.col("l_orderkey").alias("a_order"), "l_partkey")
+    a = t.lineitem.where("l_quantity = 50").select(F.col("l_orderkey").alias("a_order"), "l_partkey")
     b = t.lineitem.select(F.col("l_orderkey").alias("b_order"), "l_partkey")
     return a.join(b, "l_partkey").where("a_order <> b_order").distinct()
 
@@ -222,9 +222,9 @@ def j16_points_in_intervals(t: Tables) -> DataFrame:
     return temporal.points_in_intervals(t.events.select("event_id", "ts"), i, "ts", "s", "e", 600).select("w", "event_id")
 
 
-@query("""WITH d AS (SELECT doc_id, source, substr(text, 1, 40) AS title, text FROM documents) SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.source = b.source AND lower(a.title) = lower(b.title) AND a.doc_id < b.doc_id AND a.text <> b.text""")
+@query("""WITH d AS (SELECT doc_id, source, split_part(text, chr(10), 1) AS title, text FROM documents) SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.source = b.source AND lower(a.title) = lower(b.title) AND a.doc_id < b.doc_id AND a.text <> b.text""")
 def j17_conflicting_pairs(t: Tables) -> DataFrame:
-    d = t.documents.select(F.col("doc_id").alias("memory_id"), "source", F.substring("text", 1, 40).alias("title"), F.col("text").alias("narrative"))
+    d = t.documents.select(F.col("doc_id").alias("memory_id"), "source", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("narrative"))
     cues = t.spark.createDataFrame([], "memory_id long, cue_hash string")
     return mining.conflicts(d, cues, block=("source",)).select("a", "b")
 
@@ -237,11 +237,13 @@ def j18_supersession(t: Tables) -> DataFrame:
     return temporal.superseded(d, ["user_id"], "event_type", "ts", "valid_to").select("event_id", "valid_to")
 
 
-@query("""SELECT a.event_id AS alert, b.event_id AS incident FROM events a JOIN events b ON abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 300000000 WHERE a.event_type = 'error' AND a.user_id < 5 AND b.event_type = 'signup'""")
+@query("""SELECT a.event_id AS alert, b.event_id AS incident FROM events a JOIN events b ON a.user_id = b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 86400000000 WHERE a.event_type = 'error' AND b.event_type = 'signup'
+QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY b.ts, b.event_id) = 1""")
 def j21_near_in_time(t: Tables) -> DataFrame:
-    a = t.events.where("event_type = 'error' and user_id < 5").select(F.col("event_id").alias("alert"), F.col("ts").alias("ats"))
-    b = t.events.where("event_type = 'signup'").select(F.col("event_id").alias("incident"), F.col("ts").alias("its"))
-    return temporal.within_distance(a, b, "ats", "its", 300).select("alert", "incident")
+    a = t.events.where("event_type = 'error'").select(F.col("event_id").alias("alert"), "user_id", F.col("ts").alias("ats"))
+    b = t.events.where("event_type = 'signup'").select(F.col("event_id").alias("incident"), "user_id", F.col("ts").alias("its"))
+    met = temporal.within_distance(a, b, "ats", "its", 86400, ["user_id"])
+    return met.groupBy("alert").agg(F.min_by("incident", F.struct("its", "incident")).alias("incident"))
 
 
 @query("SELECT DISTINCT l_orderkey, n_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON n_nationkey = c_nationkey OR n_nationkey = s_nationkey")
@@ -361,10 +363,10 @@ def a27_distribution(t: Tables) -> DataFrame:
 # ------------------------------------------------------------------ windows, top-k, sets
 
 
-@query("""WITH d AS (SELECT *, lower(substr(text, 1, 40)) AS t FROM documents) SELECT doc_id, row_number() OVER w AS place, first_value(doc_id) OVER w AS keeper, count(*) OVER (PARTITION BY t, lang) AS copies
+@query("""WITH d AS (SELECT *, lower(split_part(text, chr(10), 1)) AS t FROM documents) SELECT doc_id, row_number() OVER w AS place, first_value(doc_id) OVER w AS keeper, count(*) OVER (PARTITION BY t, lang) AS copies
 FROM d WINDOW w AS (PARTITION BY t, lang ORDER BY n_chars DESC, doc_id) QUALIFY copies > 1""")
 def w01_duplicate_titles(t: Tables) -> DataFrame:
-    d = t.documents.withColumn("title", F.substring("text", 1, 40))
+    d = t.documents.withColumn("title", F.substring_index("text", "\n", 1))
     return mining.duplicate_titles(d, "title", ["lang"], [F.desc("n_chars"), F.asc("doc_id")], "doc_id").select("doc_id", F.col("place").cast("long").alias("place"), "keeper", "copies")
 
 
@@ -511,16 +513,26 @@ def c22_freshness(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.round(S.freshness(F.col("ts").cast("timestamp"), F.lit(NOW).cast("timestamp")), 6).alias("freshness"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_type ILIKE '%econ%' THEN 'affects' WHEN p_type ILIKE '%standard%' THEN 'decided_by' ELSE 'supports' END AS edge_type FROM part")
+_SAID = ("root_cause", "Happens before", "follows", "fix_summary", "status", "mitigation", "superseded by", "duplicate of", "requires", "note")
+_VALUE = ("plain", "needs a FIX", "depends on x", "mitigated", "supersedes y", "duplicates z", "was remediated")
+
+
+@query(f"""WITH f AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'counter' ELSE 'supporting' END AS support, ['cause', 'impact', 'decision', 'remediation', 'constraint'][p_size % 5 + 1] AS kind,
+lower({list(_SAID)}[CAST(floor(p_retailprice) AS BIGINT) % 10 + 1]) AS p, lower({list(_VALUE)}[p_partkey % 7 + 1]) AS o FROM part)
+SELECT p_partkey, CASE WHEN support = 'counter' THEN 'contradicts' WHEN kind = 'cause' OR p LIKE '%caus%' THEN 'caused_by' WHEN p LIKE '%preced%' OR p LIKE '%before%' THEN 'precedes' WHEN p LIKE '%follow%' OR p LIKE '%after%' THEN 'follows'
+WHEN kind = 'remediation' OR p LIKE '%fix%' OR p LIKE '%remediat%' OR o LIKE '%fix%' OR o LIKE '%remediat%' THEN 'fixes' WHEN p LIKE '%mitigat%' OR o LIKE '%mitigat%' THEN 'mitigates' WHEN p LIKE '%supersed%' OR o LIKE '%supersed%' THEN 'supersedes'
+WHEN p LIKE '%duplicat%' OR o LIKE '%duplicat%' THEN 'duplicates' WHEN p LIKE '%depend%' OR p LIKE '%require%' OR o LIKE '%depend%' OR o LIKE '%require%' THEN 'depends_on' ELSE 'supports' END AS edge_type FROM f""")
 def c08_edge_types(t: Tables) -> DataFrame:
-    word = F.regexp_replace(F.regexp_replace(F.lower("p_type"), "econ", "impact"), "standard", "decide")
-    return t.part.select("p_partkey", mining.edge_type(word).alias("edge_type"))
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    support = F.when(F.col("p_size") % 7 == 0, "counter").otherwise("supporting")
+    kind = pick(("cause", "impact", "decision", "remediation", "constraint"), F.col("p_size") % 5)
+    return t.part.select("p_partkey", mining.edge_type(support, kind, pick(_SAID, F.floor("p_retailprice") % 10), pick(_VALUE, F.col("p_partkey") % 7)).alias("edge_type"))
 
 
-@query("SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 4) AS steps FROM documents WHERE lang = 'de' AND NOT contains(text, ';') AND NOT regexp_matches(text, '(^|\\n)\\s*([-*•]|[0-9]+[.)]|[sS][tT][eE][pP]\\s+[0-9])')")
+@query(r"""SELECT doc_id, CASE WHEN len(s) > 0 THEN s ELSE [trim(text)] END AS steps FROM (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\n|;'),
+lambda x: trim(regexp_replace(trim(x), '^([-*•]|[0-9]+[.)]|[sS][tT][eE][pP]\s+[0-9]+[:.)]?)\s*', ''))), lambda x: length(x) >= 4) AS s FROM documents)""")
 def c11_procedure_steps(t: Tables) -> DataFrame:
-    d = t.documents.where((F.col("lang") == "de") & ~F.contains("text", F.lit(";")) & ~F.col("text").rlike(r"(^|\n)\s*([-*•]|[0-9]+[.)]|(?i:step)\s+[0-9])"))
-    return d.select("doc_id", mining.steps(F.col("text")).alias("steps"))
+    return t.documents.select("doc_id", mining.steps(F.col("text")).alias("steps"))
 
 
 @query(f"SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE CAST(greatest(1, ceil(greatest(length(text) / 4.0, len(regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+')) * 1.3))) AS BIGINT) END AS token_count FROM documents")
@@ -528,9 +540,9 @@ def s12_token_estimate(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.token_estimate("text").alias("token_count"))
 
 
-@query("SELECT doc_id, sha256(text) AS fingerprint, regexp_replace(regexp_replace(lower(substr(text, 1, 30)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+@query("SELECT doc_id, sha256(text) AS fingerprint, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS slug FROM documents")
 def s12_hash_and_slug(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.sha2("text", 256).alias("fingerprint"), X.slug(F.substring("text", 1, 30)).alias("slug"))
+    return t.documents.select("doc_id", F.sha2("text", 256).alias("fingerprint"), X.slug("text").alias("slug"))
 
 
 @query("SELECT c.c_custkey, c.c_acctbal FROM customer c WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = c.c_custkey)")
@@ -538,10 +550,10 @@ def k04_insert_if_absent(t: Tables) -> DataFrame:
     return merge.insert_if_absent(t.supplier.select(F.col("s_suppkey").alias("c_custkey")), t.customer.select("c_custkey", "c_acctbal"), ["c_custkey"])
 
 
-@query("""SELECT coalesce(s.s_suppkey, c.c_custkey) AS k, greatest(s.s_acctbal, c.c_acctbal) AS balance, coalesce(c.c_nationkey, s.s_nationkey) AS nation, s.s_suppkey IS NULL AS inserted FROM supplier s FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON s.s_suppkey = c.c_custkey""")
+@query("""SELECT coalesce(s.s_suppkey, c.c_custkey) AS k, greatest(s.s_acctbal, c.c_acctbal) AS balance, coalesce(c.c_nationkey, s.s_nationkey) AS nation, s.s_suppkey IS NULL AS inserted FROM supplier s FULL JOIN customer c ON s.s_suppkey = c.c_custkey""")
 def k06_upsert(t: Tables) -> DataFrame:
     old = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"))
-    new = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"))
+    new = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"))
     return merge.upsert(old, new, ["k"], {"balance": "greatest"}).drop("touched")
 
 

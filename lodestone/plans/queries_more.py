@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..catalog import Catalog
 from ..functions import predicates as P
 from ..functions import scores as S
 from ..functions import text as X
 from ..operators import evaluation, folds, graph, merge, ranking
+from .engine import Engine
 from .queries import EDGES_SQL, LAB_SQL, TERM_SQL, VEC_SQL, Tables, edges, label_stream, query, seeds, text_stream, ts, vector_stream
 
 
@@ -185,10 +187,16 @@ def r14_timeline(t: Tables) -> DataFrame:
     return ranking.top(d.select("event_id", "ts", F.col("c_name").alias("actor")), [F.asc_nulls_last("ts"), F.asc("event_id")], 40)
 
 
-@query("SELECT l_suppkey, CASE WHEN count(DISTINCT l_orderkey) >= 650 THEN 'published' ELSE 'draft' END AS state, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS support FROM lineitem GROUP BY 1")
+@query("""WITH f AS (SELECT CAST(l_suppkey AS VARCHAR) AS s, l_linestatus AS p, l_returnflag AS k, CAST(l_quantity AS VARCHAR) AS v, l_orderkey AS e, concat_ws('-', l_orderkey, l_linenumber) AS f FROM lineitem),
+c AS (SELECT s, p, k, count(DISTINCT e) AS n, count(DISTINCT f) AS facts FROM f GROUP BY 1, 2, 3 HAVING n >= 2), m AS (SELECT s, p, k, v FROM (SELECT s, p, k, v, count(*) AS q FROM f GROUP BY 1, 2, 3, 4) QUALIFY row_number() OVER (PARTITION BY s, p, k ORDER BY q DESC, v) = 1)
+SELECT s || ' ' || p || ' (' || k || ')' AS title, 'Pattern: ' || s || ' exhibits "' || p || '" behavior.' || chr(10) || 'Kind: ' || k || chr(10) || 'Support: ' || n || ' independent episodes confirm this pattern.' || chr(10) || 'Representative value: ' || v || chr(10)
+|| 'Episodes: ' || n || ' corroborating episodes.' || chr(10) || 'Facts: ' || facts || ' supporting facts.' AS narrative, CAST(n AS INTEGER) AS support_count, CAST(least(0.5 + n * 0.1, 0.95) AS DOUBLE) AS confidence, 'published' AS lifecycle_state, CAST(n + facts AS BIGINT) AS supports FROM c JOIN m USING (s, p, k)""")
 def c02_reconcile(t: Tables) -> DataFrame:
-    d = t.lineitem.groupBy("l_suppkey").agg(F.count_distinct("l_orderkey").alias("support"))
-    return d.select("l_suppkey", F.when(F.col("support") >= 650, "published").otherwise("draft").alias("state"), "support")
+    text = lambda c: F.col(c).cast("string")
+    facts = t.lineitem.select(F.lit("default").alias("tenant"), text("l_suppkey").alias("subject_entity_id"), F.col("l_linestatus").alias("predicate"), F.col("l_returnflag").alias("fact_kind"), text("l_quantity").alias("object_value"), text("l_orderkey").alias("episode_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("fact_id"), F.lit("deterministic").alias("assertion_class"), F.lit("active").alias("current_status"), F.lit(0.9).alias("confidence"))
+    merged, support = Engine(Catalog(t.spark, tables={"fact": facts})).reconcile_patterns()
+    n = support.groupBy("memory_id").agg(F.count("*").alias("supports"))
+    return merged.join(n, "memory_id").select("title", "narrative", "support_count", F.col("confidence").cast("double").alias("confidence"), "lifecycle_state", "supports")
 
 
 @query("SELECT user_id, round(least(1.0, greatest(0.0, avg(value) / 30 + least(0.2, count(*) FILTER (event_type = 'purchase') * 0.03) + 0.1 - least(0.3, count(*) FILTER (event_type = 'error') * 0.08))), 6) AS confidence FROM events GROUP BY 1")

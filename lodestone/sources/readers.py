@@ -30,13 +30,20 @@ def record(df: DataFrame, source_type: str, key: Column, title: Column, body: Co
 
 
 def read_json_items(spark: SparkSession, path: str, schema: str, wrappers: Sequence[str] = ("data", "tasks", "commits", "items")) -> DataFrame:
-    """JSON documents or lines: wrapped lists are unwrapped, single objects are one row, bad input fails with its file."""
+    """JSON documents or lines: wrapped lists are unwrapped, single objects (on any number of lines) are one row.
+
+    A line that is no JSON fails with its file and number.
+    """
     row = T._parse_datatype_string(schema)
     many = T.ArrayType(row)
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
     lists = F.coalesce(*[F.from_json(F.get_json_object("value", f"$.{w}"), many) for w in wrappers], F.when(F.trim("value").startswith("["), F.from_json("value", many)))
-    lines = F.transform(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, row, {"mode": "FAILFAST"}))
-    whole = text.withColumn("items", F.when(lists.isNotNull(), lists).otherwise(lines))
+    numbered = F.transform(F.split("value", r"\r?\n"), lambda x, i: F.struct((i + 1).alias("n"), F.trim(x).alias("x")))
+    bad = lambda l: F.raise_error(F.concat("file", F.lit(": line "), l["n"].cast("string"), F.lit(" is no JSON"))).cast(row)
+    lines = F.transform(F.filter(numbered, lambda l: l["x"] != ""), lambda l: F.when(F.try_parse_json(l["x"]).isNull(), bad(l)).otherwise(F.from_json(l["x"], row)))
+    # an object on several lines: its first line is no JSON by itself
+    single = F.try_parse_json(F.substring_index(F.ltrim("value"), "\n", 1)).isNull() & F.try_parse_json("value").isNotNull()
+    whole = text.withColumn("items", F.when(lists.isNotNull(), lists).when(single, F.array(F.from_json("value", row))).otherwise(lines))
     return whole.select("file", F.posexplode("items").alias("line", "item")).select("file", F.col("line") + 1, "item.*")
 
 

@@ -38,7 +38,7 @@ def engine(spark):
             dict(memory_id="m2", title="Bad firmware memory", narrative="firmware is always fine", lifecycle_state="published", governance_status="quarantined", scope_path="infra/a", fingerprint="x2"),
             dict(memory_id="m3", title="Firmware playbook", narrative="Never roll back firmware", lifecycle_state="published", scope_path="infra/a", governance_status="active", token_count=2000, fingerprint="x3"),
         ],
-        "memory_support": [dict(memory_id="m1", fact_id="f1", support_type="fact"), dict(memory_id="m2", fact_id="f4", support_type="fact")],
+        "memory_support": [dict(memory_id="m1", fact_id="f1", support_type="supporting"), dict(memory_id="m2", fact_id="f4", support_type="counter"), dict(memory_id="m3", fact_id="f1", support_type="counter")],
         "fact_evidence": [dict(fact_id="f1", segment_id="s1", excerpt="firmware 2.1 regressed", weight=1.0)],
         "memory_edge": [dict(edge_id="g1", source_type="fact", source_id="f1", target_type="episode", target_id="p2", edge_type="affects", confidence=0.9, assertion_class="deterministic")],
         "event_frame": [dict(event_frame_id=f"v{i}", episode_id="p1" if i < 4 else "p2", event_type=k, actor_entity_id="e1" if i < 4 else "e2", time_start=day(i), created_at=day(i)) for i, k in enumerate(["cause", "impact", "note", "remediation", "impact", "decision"])],
@@ -69,7 +69,7 @@ def test_search(engine):
 def test_time_and_procedures(engine):
     assert [r.event_frame_id for r in engine.timeline(subject="gateway").collect()] == ["v0", "v1", "v2", "v3"]
     sides = engine.before_after(F.lit("2024-01-03").cast("timestamp"), 2).collect()
-    assert [(r.side, r.event_frame_id) for r in sides] == [("before", "v1"), ("before", "v0"), ("after", "v2"), ("after", "v3")]
+    assert [(r.side, r.event_frame_id) for r in sides] == [("before", "v0"), ("before", "v1"), ("after", "v2"), ("after", "v3")]
     chain = {r.episode_id: [s.event_type for s in r.steps] for r in engine.causal_chains().collect()}
     assert chain == {"p1": ["cause", "impact", "remediation"], "p2": ["impact", "decision"]}
     assert {r.fact_id for r in engine.state_at("gateway", F.lit("2024-01-05").cast("timestamp")).collect()} == {"f1", "f2"}
@@ -83,10 +83,13 @@ def test_recall_and_consolidation(engine):
     package = engine.recall("firmware", budget=100).first()
     assert [i.memory_id for i in package["items"]] == ["m1"] and package.used == 40
     assert [(r.a, r.b, r.same_title) for r in engine.memory_conflicts().collect()] == [("m1", "m3", 1)]
-    assert sorted((r.source_id, r.edge_type) for r in engine.link_candidates().collect()) == [("f1", "caused_by"), ("f4", "affects")]
+    assert sorted((r.source_id, r.edge_type) for r in engine.link_candidates().collect()) == [("f1", "caused_by"), ("f1", "contradicts")]  # f4 has no evidence
     assert [(r.predicate, r.support) for r in engine.pattern_candidates().collect()] == [("impact", 2)]
-    merged = engine.reconcile_patterns()
+    merged, support = engine.reconcile_patterns()
     assert merged.where("not inserted").count() == 3
+    new = merged.where("inserted").collect()
+    assert [(r.title, r.support_count, r.lifecycle_state, r.memory_type) for r in new] == [("billing impact (cause)", 2, "published", "pattern")]
+    assert {(r.memory_id, r.fact_id, r.episode_id, r.notes) for r in support.collect()} == {(new[0].memory_id, f, e, n) for f, e, n in (("f3", None, "impact"), ("f4", None, "impact"), (None, "p2", "billing"), (None, "p3", "billing"))}
 
 
 def test_catalog(spark, tmp_path):
@@ -96,6 +99,15 @@ def test_catalog(spark, tmp_path):
     assert c.read("entity", "default").count() == 1
     c.replace("entity", c.read("entity").where("entity_id = '1'"))
     assert c.read("entity").count() == 1
+    held = c.read("entity")  # a version that is held stays readable
+    c.append("entity", table(spark, "entity", [dict(entity_id="3", canonical_name="c")]))
+    assert sorted(r.entity_id for r in c.read("entity").collect()) == ["1", "3"] and held.count() == 1
+    number, folders = c.version("entity")
+    assert (number, len(folders)) == (3, 2)
+    (tmp_path / "entity" / "_log" / f"{4:020d}").write_text('["half-writ')  # a writer at work
+    assert c.read("entity").count() == 2
+    with pytest.raises(RuntimeError):
+        c.replace("entity", c.read("entity"))
     c.append("lifecycle_audit_log", table(spark, "lifecycle_audit_log", [dict(audit_id="1")]))
     with pytest.raises(ValueError):
         c.replace("lifecycle_audit_log", c.read("lifecycle_audit_log"))
@@ -127,7 +139,12 @@ def test_sources(spark, tmp_path):
     assert d.title == "Outage" and {("status", "resolved"), ("root_cause", "bad firmware"), ("tags", "net"), ("tags", "fw")} <= facts
     (tmp_path / "a.json").write_text('{"tasks": [{"gid": "1", "name": "A"}, {"gid": "2", "name": "B"}]}')
     (tmp_path / "b.jsonl").write_text('{"gid": "3", "name": "C"}\n{"gid": "4", "name": "D"}\n')
-    assert sorted(r.gid for r in readers.read_json_items(spark, f"{tmp_path}/*", "gid string, name string").collect()) == ["1", "2", "3", "4"]
+    (tmp_path / "c.json").write_text('{\n  "gid": "5",\n  "name": "E"\n}\n')
+    assert sorted(r.gid for r in readers.read_json_items(spark, f"{tmp_path}/*", "gid string, name string").collect()) == ["1", "2", "3", "4", "5"]
+    (tmp_path / "d.jsonl").write_text('{"gid": "6"}\n\n{"gid": \n')
+    with pytest.raises(Exception, match="d.jsonl: line 3 is no JSON"):
+        readers.read_json_items(spark, f"{tmp_path}/d.jsonl", "gid string, name string").collect()
+    (tmp_path / "d.jsonl").unlink()
     assert spark.range(1).select(readers.label_map(F.lit('alert{Severity="high", job=api}'))).first()[0] == {"severity": "high", "job": "api"}
     (tmp_path / "log").write_bytes(b"abcdef1\x1fA\x1f2024-01-01\x1fFix\x1fbody\x1enot a sha\x1fB\x1f\x1f\x1f\x1e")
     assert [r.sha for r in readers.commits_log(spark, f"{tmp_path}/log").collect()] == ["abcdef1"]
