@@ -57,8 +57,8 @@ DDL: dict[str, str] = {
     **{f"{name}_evidence": f"{name}_id string, {_EVIDENCE}" for name in ("entity_summary", "belief", "rule", "memory_health")},
     "memory_usage": f"usage_id string, source string, captured_at timestamp, total int, unsupported int, stale int, contradicted int, gaps int, scope_path string, {_META}",
     "memory_health": f"health_id string, health_status string, risk double, scope_path string, captured_at timestamp, {_META}",
-    "task_session": f"session_id string, session_key string, status string, scope_path string, expires_at timestamp, closed_at timestamp, session_meta map<string,string>, {_META}",
-    "working_memory": f"working_memory_id string, session_id string, memory_kind string, content string, status string, evidence_segment_id string, promotion_target_type string, promotion_target_id string, expires_at timestamp, {_META}",
+    "task_session": f"session_id string, session_key string, agent_name string, task_title string, status string, started_at timestamp, last_seen_at timestamp, ended_at timestamp, scope_path string, expires_at timestamp, closed_at timestamp, session_meta map<string,string>, {_META}",
+    "working_memory": f"working_memory_id string, session_id string, working_memory_fingerprint string, memory_kind string, content string, status string, promotion_status string, promotion_reason string, promotion_target_kind string, promotion_marked_at timestamp, source_segment_id string, source_fact_id string, evidence_segment_id string, promotion_target_type string, promotion_target_id string, expires_at timestamp, {_META}",
     "media_artifact": f"media_id string, artifact_id string, media_type string, mime_type string, sha256 string, caption string, scope_path string, media_meta map<string,string>, {_META}",
     "visual_region": f"region_id string, media_id string, region_type string, x_min double, y_min double, x_max double, y_max double, label string, ocr_text string, linked_fact_id string, confidence double, {_META}",
     "embedding_index": f"embedding_id string, role string, fact_id string, segment_id string, memory_id string, procedure_id string, media_id string, region_id string, embedding array<float>, source_hash string, {_META}",
