@@ -55,9 +55,9 @@ def tokens(text: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(col(text)), "[^a-z0-9]+"), "")
 
 
-def lexemes(text: Column | str) -> Column:
-    """Tokens without stop words, in order."""
-    return F.filter(tokens(text), lambda x: ~x.isin(*STOP_WORDS))
+def words(text: Column | str) -> Column:
+    """Lower-cased runs of letters and digits of any script."""
+    return F.array_remove(F.split(F.lower(col(text)), r"[^\p{L}\p{N}]+"), "")
 
 
 def matches_all(document: Column, query: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import TRUSTED_CLASSES, pattern_confidence
-from ..functions.text import lexemes, matches_all, tokens
+from ..functions.fulltext import stemmed
+from ..functions.text import matches_all, tokens
 
 
 def patterns(facts: DataFrame, keys: Sequence[str], episode: str, value: str, fact_id: str, scope: str | None = None, least: int = 2) -> DataFrame:
@@ -74,9 +75,9 @@ def conflicts(memories: DataFrame, cues: DataFrame, key: str = "memory_id", bloc
 
 def _title_in_text(m: DataFrame, key: str, block: Sequence[str], title: str, narrative: str) -> DataFrame:
     """Pairs (a, b), a < b, in one block where the text of one has all lexemes of the title of the other."""
-    texts = m.select(*block, F.col(key).alias("t"), F.array_distinct(lexemes(F.concat_ws(" ", title, narrative))).alias("x"))
+    texts = m.select(*block, F.col(key).alias("t"), stemmed(F.concat_ws(" ", title, narrative)).alias("x"))
     terms = texts.select(*block, "t", F.explode("x").alias("term"))
-    titles = m.select(*block, F.col(key).alias("q"), F.array_distinct(lexemes(F.col(title))).alias("y")).where(F.size("y") > 0)
+    titles = m.select(*block, F.col(key).alias("q"), stemmed(title).alias("y")).where(F.size("y") > 0)
     often = terms.groupBy(*block, "term").agg(F.count("*").alias("n"))
     probes = titles.select(*block, "q", F.explode("y").alias("term")).join(often, [*block, "term"])
     rarest = probes.groupBy(*block, "q").agg(F.min_by("term", F.struct("n", "term")).alias("term"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
+from ..functions import fulltext
 from ..functions import predicates as P
 from ..functions import scores as S
 from ..functions import text as X
@@ -111,10 +112,9 @@ class Engine:
 
     def full_text(self, objects: DataFrame, question: str, limit: int) -> DataFrame:
         """Each kind's best matches, kinds one after the other; the rank is the place in that list."""
-        q = X.lexemes(F.lit(question))
-        d = objects.withColumn("x", X.lexemes("document")).where(X.matches_all(F.col("x"), q)).withColumn("v", X.term_rank(F.col("x"), q))
+        d = fulltext.matching(objects, "document", question)
         d = ranking.first_per_key(d, ["part"], [F.desc("v"), F.asc("object_id")], 3 * limit)
-        return ranking.stream(d.drop("x", "document", "embedding"), "fts", [F.asc("part"), F.desc("v"), F.asc("object_id")], 12 * limit).drop("v", "part")
+        return ranking.stream(d.drop("document", "embedding"), "fts", [F.asc("part"), F.desc("v"), F.asc("object_id")], 12 * limit).drop("v", "part")
 
     def by_vector(self, objects: DataFrame, vector: list[float] | None, limit: int) -> DataFrame | None:
         """Nearest objects by cosine; a zero or missing query vector means that the stream is off."""
@@ -242,9 +242,10 @@ class Engine:
     # ------------------------------------------------------------------ procedures, visuals
 
     def procedures(self, question: str, scope: str | None = None, limit: int = 10) -> DataFrame:
-        q = X.lexemes(F.lit(question))
-        d = self.visible(self.table("procedure").where(P.in_scope(scope)), "procedure", "procedure_id").withColumn("x", X.lexemes(F.concat_ws(" ", "title", "summary")))
-        d = d.where(X.matches_all(F.col("x"), q) | P.any_ilike(question, "title", "summary")).withColumn("rank", X.term_rank(F.col("x"), q)).drop("x")
+        text = F.concat(F.col("title"), F.lit(" "), F.coalesce("summary", F.lit("")))
+        d = self.visible(self.table("procedure").where(P.in_scope(scope)), "procedure", "procedure_id")
+        d = d.withColumn("rank", fulltext.text_rank(text, fulltext.query_lexemes(question), fulltext.proximity))
+        d = d.where(F.col("rank").isNotNull() | P.any_ilike(question, "title", "summary")).withColumn("rank", F.coalesce("rank", F.lit(0.0)))
         d = ranking.top(d, [F.desc("rank"), F.desc_nulls_last("confidence"), F.asc("procedure_id")], limit)
         steps = self.catalog.read("procedure_step").groupBy("procedure_id").agg(F.array_sort(F.collect_list(F.struct("step_index", "step_id", "action", "expected_result"))).alias("steps"))
         return d.join(steps, "procedure_id", "left")
@@ -269,10 +270,9 @@ class Engine:
     # ------------------------------------------------------------------ recall
 
     def prompt_search(self, question: str, scope: str | None = None, limit: int = 20) -> DataFrame:
-        q = X.lexemes(F.lit(question))
         d = self.visible(self.table("memory").where(P.in_scope(scope) & P.governed()), "memory", "memory_id")
-        d = d.withColumn("x", X.lexemes(F.concat_ws(" ", "title", "narrative"))).where(X.matches_all(F.col("x"), q) | P.any_ilike(question, "title", "narrative"))
-        d = d.withColumn("text_rank", X.term_rank(F.col("x"), q)).drop("x")
+        d = d.withColumn("text_rank", fulltext.text_rank(F.concat("title", F.lit(" "), "narrative"), fulltext.query_lexemes(question)))
+        d = d.where(F.col("text_rank").isNotNull() | P.any_ilike(question, "title", "narrative")).withColumn("text_rank", F.coalesce("text_rank", F.lit(0.0)))
         rank = S.prompt_rank(F.col("text_rank"), F.coalesce("quality_score", "confidence"), F.coalesce(F.col("source_class") == "corrected_by_user", F.lit(False)), F.coalesce(F.col("governance_status") == "validated", F.lit(False)), F.col("strength"), F.col("priority"))
         return ranking.top(d.withColumn("prompt_rank", rank), [F.desc("text_rank"), F.desc_nulls_last("quality_score"), F.asc_nulls_last("priority"), F.desc_nulls_last("updated_at"), F.asc("memory_id")], limit)
 

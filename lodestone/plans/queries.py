@@ -45,7 +45,7 @@ def ts(text: str) -> F.Column:  # type: ignore[name-defined]
 
 
 NOW = "2024-01-20 00:00:00"
-LEX = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
+LEX = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 # ------------------------------------------------------------------ filters and scans
 
@@ -98,7 +98,7 @@ def f08_tainted_exclusion(t: Tables) -> DataFrame:
 
 @query(f"SELECT doc_id FROM documents WHERE list_has_all({LEX}, ['the', 'and', 'tion'])")
 def f14_text_match(t: Tables) -> DataFrame:
-    return t.documents.where(X.matches_all(X.tokens("text"), F.array(*map(F.lit, ("the", "and", "tion"))))).select("doc_id")
+    return t.documents.where(X.matches_all(X.words("text"), F.array(*map(F.lit, ("the", "and", "tion"))))).select("doc_id")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.missing'), event_type) AS label FROM events")
@@ -431,7 +431,7 @@ LAB_SQL = "lab AS (SELECT doc_id, row_number() OVER (ORDER BY quality DESC, toxi
 
 
 def text_stream(t: Tables, limit: int = 60) -> DataFrame:
-    d = t.documents.select(F.col("doc_id").alias("object_id"), X.tokens("text").alias("x"))
+    d = t.documents.select(F.col("doc_id").alias("object_id"), X.words("text").alias("x"))
     q = F.array(*map(F.lit, TERMS))
     d = d.where(X.matches_all(F.col("x"), q)).withColumn("v", F.round(X.term_rank(F.col("x"), q), 9)).drop("x")
     return ranking.stream(d, "fts", [F.desc("v"), F.asc("object_id")], limit).drop("v")
