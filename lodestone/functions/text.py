@@ -82,6 +82,12 @@ def token_estimate(text: Column | str) -> Column:
     return F.when(F.length(t) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(F.greatest(F.length(col(text)) / 4, words * F.lit(1.3))))).cast("long")
 
 
+def json_text(text: Column) -> Column:
+    """A string as JSON text, quotes included; null stays null."""
+    listed = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
+
+
 def budget_cut(text: Column | str, budget: Column | int) -> Column:
     """The text cut to four characters per token where its estimate exceeds the budget."""
     b = F.lit(budget) if isinstance(budget, int) else budget
