@@ -33,11 +33,17 @@ def path_text() -> F.Column:  # type: ignore[name-defined]
 
 
 def walk(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(node_type, node_id, hops): nodes reached from the seeds in at most ``hops`` steps, either direction."""
+    """(node_type, node_id, hops): nodes reached from the seeds in at most ``hops`` steps, either direction.
+
+    Both directions of an edge come from one pass over the edges, one pass for each hop.
+    """
+    end = lambda side: F.struct(F.col(f"{side}_type").alias("t"), F.col(f"{side}_id").alias("i"))
+    ways = edges.select(F.explode(F.array(F.struct(end("source").alias("near"), end("target").alias("far")), F.struct(end("target").alias("near"), end("source").alias("far")))).alias("w"))
+    ways = ways.select(F.col("w.near.t").alias("node_type"), F.col("w.near.i").alias("node_id"), F.col("w.far.t").alias("far_type"), F.col("w.far.i").alias("far_id"))
     reached = seeds.select("node_type", "node_id").distinct().withColumn("hops", F.lit(0))
     front = reached
     for h in range(1, hops + 1):
-        far = touching(edges, front, trusted=False).select(F.col("far_type").alias("node_type"), F.col("far_id").alias("node_id")).distinct()
+        far = ways.join(front.select("node_type", "node_id"), ["node_type", "node_id"], "left_semi").select(F.col("far_type").alias("node_type"), F.col("far_id").alias("node_id")).distinct()
         front = far.join(reached.select("node_type", "node_id"), ["node_type", "node_id"], "left_anti").withColumn("hops", F.lit(h))
         reached = reached.unionByName(front)
     return reached

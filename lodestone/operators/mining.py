@@ -12,17 +12,23 @@ from ..functions.fulltext import stemmed
 from ..functions.text import matches_all, tokens
 
 
-def patterns(facts: DataFrame, keys: Sequence[str], episode: str, value: str, fact_id: str, scope: str | None = None, least: int = 2) -> DataFrame:
-    """Groups of facts seen in at least ``least`` episodes: support, usual value (lowest on ties), ids, confidence, fingerprint."""
-    aggs = [
-        F.count_distinct(episode).alias("support"),
-        F.mode(value, True).alias("usual_value"),
-        F.array_sort(F.collect_set(fact_id)).alias("fact_ids"),
-        F.array_sort(F.collect_set(episode)).alias("episode_ids"),
-    ]
-    if scope:
-        aggs.append(F.min(scope).alias("scope_path"))
-    out = facts.groupBy(*keys).agg(*aggs).where(F.col("support") >= least)
+def patterns(facts: DataFrame, keys: Sequence[str], episode: str, value: str, fact_id: str, scope: str | None = None, least: int = 2, ids: bool = True) -> DataFrame:
+    """Groups of facts seen in at least ``least`` episodes: support, usual value (lowest on ties), confidence, fingerprint, and with ``ids`` the lists of facts and episodes.
+
+    Values are counted by (keys, value) and episodes by (keys, episode), both combined in the map task; what meets in
+    a group is one row of each kind, not its facts.
+    """
+    said = facts.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    usual = said.groupBy(*keys).agg(F.min_by("_v", F.struct(-F.col("_n"), "_v")).alias("usual_value"))
+    seen = facts.where(F.col(episode).isNotNull()).select(*keys, episode).distinct().groupBy(*keys).agg(F.count("*").alias("support"))
+    parts = seen.unionByName(usual, allowMissingColumns=True)
+    lists = ["fact_ids", "episode_ids"] if ids else []
+    if ids or scope:
+        aggs = [F.array_sort(F.collect_set(fact_id)).alias("fact_ids"), F.array_sort(F.collect_set(episode)).alias("episode_ids")] if ids else []
+        parts = parts.unionByName(facts.groupBy(*keys).agg(*aggs, *([F.min(scope).alias("scope_path")] if scope else [])), allowMissingColumns=True)
+    columns = ["support", "usual_value", *lists, *(["scope_path"] if scope else [])]
+    # One row of each kind has the value, the others null.
+    out = parts.groupBy(*keys).agg(*[F.max(c).alias(c) for c in columns]).where(F.col("support") >= least)
     return out.withColumns({"confidence": pattern_confidence(F.col("support")), "state": F.when(F.col("support") >= 2, "published").otherwise("draft"), "fingerprint": F.sha2(F.concat(F.lit("pattern:"), F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in keys])), 256)})
 
 
@@ -46,6 +52,21 @@ def duplicate_titles(memories: DataFrame, title: str, scope: Sequence[str], orde
     return memories.withColumns({"place": F.row_number().over(ordered), "keeper": F.first(key).over(ordered), "copies": F.count("*").over(w)}).where("copies > 1")
 
 
+def conflict_counts(memories: DataFrame, key: str, block: Sequence[str], title: str, narrative: str) -> DataFrame:
+    """(key, class_id, n_conflicts): memories with one block, title (in any case) and narrative are a class, named by its
+    least key; a memory conflicts with those of its block and title in other classes. Nulls count as empty.
+
+    Classes are counted first, so a title that a third of all rows share is a few counts and not its pairs.
+    """
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    m = memories.select(F.col(key), *[empty(c).alias(f"_b{i}") for i, c in enumerate(block)], F.lower(empty(title)).alias("_t"), F.sha2(empty(narrative), 256).alias("_h"))
+    group = [*[f"_b{i}" for i in range(len(block))], "_t"]
+    classes = m.groupBy(*group, "_h").agg(F.min(key).alias("class_id"), F.count("*").alias("_n"))
+    total = classes.groupBy(*group).agg(F.sum("_n").alias("_total"))
+    links = classes.join(total, group).select(*group, "_h", "class_id", (F.col("_total") - F.col("_n")).alias("n_conflicts"))
+    return m.join(links, [*group, "_h"]).select(key, "class_id", "n_conflicts")
+
+
 def conflicts(memories: DataFrame, cues: DataFrame, key: str = "memory_id", block: Sequence[str] = ("tenant", "scope_path"), title: str = "title", narrative: str = "narrative", full_text: bool = False) -> DataFrame:
     """Pairs (a, b), a < b, in one block with different narratives that share a title or a cue; with the number of shared cues.
 

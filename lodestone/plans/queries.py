@@ -222,11 +222,11 @@ def j16_points_in_intervals(t: Tables) -> DataFrame:
     return temporal.points_in_intervals(t.events.select("event_id", "ts"), i, "ts", "s", "e", 600).select("w", "event_id")
 
 
-@query("""WITH d AS (SELECT doc_id, source, split_part(text, chr(10), 1) AS title, text FROM documents) SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.source = b.source AND lower(a.title) = lower(b.title) AND a.doc_id < b.doc_id AND a.text <> b.text""")
-def j17_conflicting_pairs(t: Tables) -> DataFrame:
-    d = t.documents.select(F.col("doc_id").alias("memory_id"), "source", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("narrative"))
-    cues = t.spark.createDataFrame([], "memory_id long, cue_hash string")
-    return mining.conflicts(d, cues, block=("source",)).select("a", "b")
+@query("""WITH d AS (SELECT doc_id, coalesce(source, '') AS source, lower(coalesce(split_part(text, chr(10), 1), '')) AS title, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY source, title, text) AS class_id, count(*) OVER (PARTITION BY source, title) - count(*) OVER (PARTITION BY source, title, text) AS n_conflicts FROM d""")
+def j17_conflicts(t: Tables) -> DataFrame:
+    d = t.documents.select("doc_id", "source", F.substring_index("text", "\n", 1).alias("title"), "text")
+    return mining.conflict_counts(d, "doc_id", ["source"], "title", "text")
 
 
 @query("""WITH f AS (SELECT user_id, event_type, ts, event_id, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -277,7 +277,7 @@ SELECT l_suppkey, l_returnflag, l_linestatus, support, v AS usual_value, round(C
 FROM s JOIN m USING (l_suppkey, l_returnflag, l_linestatus) WHERE r = 1 AND support >= 2""")
 def a01_pattern_mining(t: Tables) -> DataFrame:
     f = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("fact_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-    d = mining.patterns(f, ["l_suppkey", "l_returnflag", "l_linestatus"], "l_orderkey", "o_orderpriority", "fact_id")
+    d = mining.patterns(f, ["l_suppkey", "l_returnflag", "l_linestatus"], "l_orderkey", "o_orderpriority", "fact_id", ids=False)
     return d.select("l_suppkey", "l_returnflag", "l_linestatus", "support", "usual_value", F.round("confidence", 6).alias("confidence"), "fingerprint")
 
 
@@ -431,10 +431,12 @@ LAB_SQL = "lab AS (SELECT doc_id, row_number() OVER (ORDER BY quality DESC, toxi
 
 
 def text_stream(t: Tables, limit: int = 60) -> DataFrame:
-    d = t.documents.select(F.col("doc_id").alias("object_id"), X.words("text").alias("x"))
-    q = F.array(*map(F.lit, TERMS))
-    d = d.where(X.matches_all(F.col("x"), q)).withColumn("v", F.round(X.term_rank(F.col("x"), q), 9)).drop("x")
-    return ranking.stream(d, "fts", [F.desc("v"), F.asc("object_id")], limit).drop("v")
+    low, q = F.lower("text"), F.array(*map(F.lit, TERMS))
+    d = t.documents.where(F.contains(low, F.lit(TERMS[0])) & F.contains(low, F.lit(TERMS[1])))
+    # Words are split once: the rank is null without a match, nulls come last and go after the limit.
+    ranked = F.transform(F.array(X.words("text")), lambda x: F.when(X.matches_all(x, q), F.round(X.term_rank(x, q), 9)))
+    d = d.select(F.col("doc_id").alias("object_id"), F.get(ranked, F.lit(0)).alias("v"))
+    return ranking.stream(d, "fts", [F.desc_nulls_last("v"), F.asc("object_id")], limit).where("v is not null").drop("v")
 
 
 def vector_stream(t: Tables, limit: int = 60) -> DataFrame:
