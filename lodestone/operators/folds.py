@@ -33,12 +33,41 @@ def pack(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], size: st
     return folded.select(*keys, F.col("f.taken").alias("items"), (F.lit(budget).cast("long") - F.col("f.left")).alias("used"))
 
 
-def clamped_sum(events: DataFrame, keys: Sequence[str], order: Sequence[str], delta: str, start: float = 0.5, low: float = 0.0, high: float = 1.0) -> DataFrame:
+def clamped_sums(events: DataFrame, keys: Sequence[str], order: Sequence[str], deltas: dict[str, str], bucket: Column | None = None, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """(keys, steps, and for each name a struct (low, high, shift)): what a sequence of clamped steps does to a score.
+
+    Clamped steps compose: any run of them maps x to min(high, max(low, x + shift)). With ``bucket``, a column that never
+    falls along the order, runs are folded by (keys, bucket) and their maps after that, so a key with very many
+    events is never one array. ``apply_clamped`` gives the score.
+    """
+    bucket = F.lit(0) if bucket is None else bucket
+    d = events.withColumn("_b", bucket)
+    run = F.array_sort(F.collect_list(F.struct(*order, *[F.col(c).cast("double").alias(f"_d{i}") for i, c in enumerate(deltas.values())])))
+    clamp = lambda x, a, b: F.greatest(a, F.least(b, x))
+    none = F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0.0).alias("shift"))
+
+    def then(acc: Column, a: Column, b: Column, c: Column) -> Column:
+        return F.struct(clamp(acc["low"] + c, a, b).alias("low"), clamp(acc["high"] + c, a, b).alias("high"), (acc["shift"] + c).alias("shift"))
+
+    lo, hi = F.lit(float(low)), F.lit(float(high))
+    step = lambda i: lambda acc, x: then(acc, lo, hi, x[f"_d{i}"])
+    join = lambda i: lambda acc, x: then(acc, x[f"_m{i}"]["low"], x[f"_m{i}"]["high"], x[f"_m{i}"]["shift"])
+    runs = d.groupBy(*keys, "_b").agg(run.alias("_r"), F.count("*").alias("_n"))
+    runs = runs.select(*keys, "_b", "_n", *[F.aggregate("_r", none, step(i)).alias(f"_m{i}") for i in range(len(deltas))])
+    maps = runs.groupBy(*keys).agg(F.sum("_n").alias("steps"), F.array_sort(F.collect_list(F.struct("_b", *[f"_m{i}" for i in range(len(deltas))]))).alias("_r"))
+    whole = [F.aggregate("_r", none, join(i)).alias(name) for i, name in enumerate(deltas)]
+    return maps.select(*keys, "steps", *whole)
+
+
+def apply_clamped(effect: Column, start: Column) -> Column:
+    """The score after the steps, from a start."""
+    return F.greatest(effect["low"], F.least(effect["high"], start + effect["shift"]))
+
+
+def clamped_sum(events: DataFrame, keys: Sequence[str], order: Sequence[str], delta: str, start: float = 0.5, low: float = 0.0, high: float = 1.0, bucket: Column | None = None) -> DataFrame:
     """A running value clamped to [low, high] after every step; a plain sum gives other results."""
-    sequence = F.array_sort(F.collect_list(F.struct(*order, F.col(delta).cast("double").alias("_d"))))
-    grouped = events.groupBy(*keys).agg(sequence.alias("_s"), F.count("*").alias("steps"))
-    fold = F.aggregate("_s", F.lit(float(start)), lambda acc, x: F.greatest(F.lit(low), F.least(F.lit(high), acc + x["_d"])))
-    return grouped.select(*keys, fold.alias("score"), "steps")
+    d = clamped_sums(events, keys, order, {"_e": delta}, bucket, low, high)
+    return d.select(*keys, apply_clamped(F.col("_e"), F.lit(float(start))).alias("score"), "steps")
 
 
 def contains_in_order(actual: Column, expected: Column) -> Column:

@@ -575,7 +575,7 @@ SELECT user_id, round(arg_max(score, n), 6) AS score, max(n) AS steps FROM f GRO
 def x06_feedback_fold(t: Tables) -> DataFrame:
     k = F.col("event_type")
     d = t.events.withColumn("d", F.when(k == "purchase", 0.25).when(k == "error", -0.375).when(k == "signup", 0.125).otherwise(0.0))
-    return folds.clamped_sum(d, ["user_id"], ["ts", "event_id"], "d").select("user_id", F.round("score", 6).alias("score"), "steps")
+    return folds.clamped_sum(d, ["user_id"], ["ts", "event_id"], "d", bucket=F.to_date("ts")).select("user_id", F.round("score", 6).alias("score"), "steps")
 
 
 @query("""WITH RECURSIVE o AS (SELECT source, doc_id, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS r FROM documents),

@@ -21,11 +21,11 @@ def s03_duplicate_keys(t: Tables) -> DataFrame:
     return a.union(b)
 
 
-@query("SELECT vec_id, d.text IS NULL AS orphan FROM embeddings LEFT JOIN documents d ON d.doc_id = vec_id WHERE vec_id NOT IN (SELECT doc_id FROM labels) ORDER BY vec_id LIMIT 100")
+@query("SELECT vec_id, d.text IS NULL AS orphan FROM embeddings LEFT JOIN documents d ON d.doc_id = vec_id WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
 def s21_embedding_candidates(t: Tables) -> DataFrame:
     d = t.embeddings.select("vec_id").join(t.labels.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_anti")
-    d = d.join(t.documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left").select("vec_id", F.col("text").isNull().alias("orphan"))
-    return ranking.top(d, [F.asc("vec_id")], 100)
+    d = d.join(t.documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
+    return d.select("vec_id", F.col("text").isNull().alias("orphan"))
 
 
 @query("""SELECT c_custkey, coalesce(s.s_name, n.n_name, 'none') AS project FROM customer LEFT JOIN (SELECT s_nationkey, min(s_name) AS s_name FROM supplier WHERE s_acctbal > 8000 GROUP BY 1) s ON s.s_nationkey = c_nationkey LEFT JOIN nation n ON n.n_nationkey = c_nationkey""")
@@ -246,6 +246,8 @@ def x13_stream_windows(t: Tables) -> DataFrame:
 
     base = t.spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="lodestone-stream-")
