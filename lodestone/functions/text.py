@@ -65,6 +65,13 @@ def matches_all(document: Column, query: Column) -> Column:
     return (F.size(query) > 0) & (F.size(F.array_except(query, document)) == 0)
 
 
+def has_words(text: Column | str, wanted: tuple[str, ...]) -> Column:
+    """Whether a text has all of some lower-case words; texts without them as substrings are not split."""
+    low = F.lower(col(text))
+    inside = reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in wanted])
+    return inside & matches_all(words(text), F.array(*map(F.lit, wanted)))
+
+
 def term_rank(document: Column, query: Column) -> Column:
     """Occurrences of query lexemes per lexeme of the document."""
     hits = F.size(F.filter(document, lambda x: F.array_contains(query, x)))

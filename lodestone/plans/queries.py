@@ -98,7 +98,7 @@ def f08_tainted_exclusion(t: Tables) -> DataFrame:
 
 @query(f"SELECT doc_id FROM documents WHERE list_has_all({LEX}, ['the', 'and', 'tion'])")
 def f14_text_match(t: Tables) -> DataFrame:
-    return t.documents.where(X.matches_all(X.words("text"), F.array(*map(F.lit, ("the", "and", "tion"))))).select("doc_id")
+    return t.documents.where(X.has_words("text", ("the", "and", "tion"))).select("doc_id")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.missing'), event_type) AS label FROM events")
