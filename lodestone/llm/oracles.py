@@ -52,4 +52,45 @@ words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS k, count(*) AS n FROM words ANTI JOIN cov USING (doc_id, j) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"op2_quality_rules": QUALITY, "op3_decontamination": DECONTAMINATION, "op4_near_dedup": NEAR_DEDUP, "op9_substring_dedup": SUBSTRINGS}
+TERMS = r"regexp_extract_all(" + LOWER + r", '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+
+DIVERGENCE = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r, {TERMS.format("text")} AS w FROM documents),
+o AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM o GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+t AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (t.total + v) AS p FROM t JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + 1000000000 * (n + 1) // (total + v) AS q FROM kept JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+allpairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+x AS (SELECT lang, source, 'pair' AS part, item, value FROM allpairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER w AS INTEGER) AS rank FROM x
+WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER w <= 200"""
+
+
+#: crc32 as in zlib: the table of remainders by its rule, then one step for each UTF-8 byte of a distinct feature.
+RESAMPLING = rf"""
+WITH tab AS (SELECT list(r ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda s, x: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END) AS r FROM (SELECT unnest(range(256)) AS b))),
+d AS (SELECT doc_id, row_number() OVER () AS r, {WORD3.format("text")} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS r, {WORD3.format("text")} AS w FROM benchmark),
+df AS (SELECT r, w[k] AS x FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d) UNION ALL SELECT r, w[k] || ' ' || w[k + 1] FROM (SELECT r, w, unnest(range(1, len(w))) AS k FROM d)),
+bf AS (SELECT w[k] AS x FROM (SELECT w, unnest(range(1, len(w) + 1)) AS k FROM i) UNION ALL SELECT w[k] || ' ' || w[k + 1] FROM (SELECT w, unnest(range(1, len(w))) AS k FROM i)),
+h AS (SELECT x, hex(encode(x)) AS h FROM (SELECT x FROM df UNION SELECT x FROM bf)),
+b AS (SELECT x, list_transform(range(1, length(h) // 2 + 1), lambda k: CAST('0x' || substr(h, 2 * k - 1, 2) AS BIGINT)) AS b FROM h),
+c AS (SELECT x, xor(list_reduce(list_prepend(4294967295, b), lambda s, y: xor(s // 256, tab[xor(s % 256, y) + 1])), 4294967295) % 10000 AS bucket FROM b, tab),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN c USING (x) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN c USING (x) GROUP BY 1),
+n AS (SELECT (SELECT count(*) FROM df) AS ns, (SELECT count(*) FROM bf) AS nt),
+g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(ns + 10000 AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST(nt + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), n),
+m AS (SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM df JOIN c USING (x) JOIN g USING (bucket) GROUP BY 1),
+f AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce((total - (total % n_features + n_features) % n_features) // n_features, 0) AS weight, CAST('0x' || substr(sha256('7:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (r)),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM f),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 25 * count(*) // 100 FROM k) THEN rank END AS rank FROM z LEFT JOIN k USING (doc_id)"""
+
+
+ORACLE: dict[str, str] = {"op2_quality_rules": QUALITY, "op3_decontamination": DECONTAMINATION, "op4_near_dedup": NEAR_DEDUP, "op9_substring_dedup": SUBSTRINGS, "op12_source_divergence": DIVERGENCE, "op13_importance_resampling": RESAMPLING}

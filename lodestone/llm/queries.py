@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_text, langid, minhash, oracles, quality, sharding, substring, suffix, warc
+from . import bpe, decontam, divergence, html_text, langid, minhash, oracles, quality, resample, sharding, substring, suffix, tokens, warc
 from .common import work_dir
 
 
@@ -77,6 +77,22 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.dedup_bytes(_table(spark, sf_dir, "documents").select("doc_id", "text"), per_text=digests)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_decontamination, op4_near_dedup, op5_sharding, op6_warc, op7_html_text, op8_bpe, op9_substring_dedup, op10_suffix_array_dedup)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OPERATORS = (
+    op1_language_id, op2_quality_rules, op3_decontamination, op4_near_dedup, op5_sharding, op6_warc, op7_html_text, op8_bpe, op9_substring_dedup, op10_suffix_array_dedup,
+    op11_token_counts, op12_source_divergence, op13_importance_resampling,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 
 ORACLE: dict[str, str] = dict(oracles.ORACLE)
