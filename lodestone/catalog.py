@@ -60,7 +60,7 @@ DDL: dict[str, str] = {
     "task_session": f"session_id string, session_key string, agent_name string, task_title string, status string, started_at timestamp, last_seen_at timestamp, ended_at timestamp, scope_path string, expires_at timestamp, closed_at timestamp, session_meta map<string,string>, {_META}",
     "working_memory": f"working_memory_id string, session_id string, working_memory_fingerprint string, memory_kind string, content string, status string, promotion_status string, promotion_reason string, promotion_target_kind string, promotion_marked_at timestamp, source_segment_id string, source_fact_id string, evidence_segment_id string, promotion_target_type string, promotion_target_id string, expires_at timestamp, {_META}",
     "media_artifact": f"media_id string, artifact_id string, media_type string, mime_type string, sha256 string, caption string, scope_path string, media_meta map<string,string>, {_META}",
-    "visual_region": f"region_id string, media_id string, region_type string, x_min double, y_min double, x_max double, y_max double, label string, ocr_text string, linked_fact_id string, confidence double, {_META}",
+    "visual_region": f"region_id string, media_id string, region_type string, x_min double, y_min double, x_max double, y_max double, label string, ocr_text string, linked_fact_id string, confidence double, region_meta map<string,string>, {_META}",
     "embedding_index": f"embedding_id string, role string, fact_id string, segment_id string, memory_id string, procedure_id string, media_id string, region_id string, embedding array<float>, source_hash string, {_META}",
     "lifecycle_outbox": f"outbox_id string, event_id string, event_type string, source_service string, idempotency_key string, payload string, status string, attempt_count int, claimed_at timestamp, next_retry_at timestamp, target_kind string, target_id string, evidence_refs array<string>, received_at timestamp, {_META}",
     "lifecycle_target_intelligence": f"target_kind string, target_id string, lifecycle_status string, salience double, strength double, stability double, quality double, support_count int, contradiction_count int, lock_version int, {_META}",

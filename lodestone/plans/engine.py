@@ -6,10 +6,11 @@ lifecycle filters are anti joins on small sets of tainted ids. Nothing is collec
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
@@ -17,10 +18,16 @@ from ..functions import fulltext
 from ..functions import predicates as P
 from ..functions import scores as S
 from ..functions import text as X
-from ..operators import folds, graph, merge, mining, ranking, temporal
+from ..operators import folds, graph, merge, mining, ranking, temporal, vectors
 
 #: Columns of a candidate; streams pad what they lack with nulls.
 CANDIDATE = "object_id string, object_type string, title string, summary string, confidence double, valid_from timestamp, valid_to timestamp, scope_path string, priority int"
+#: The role of a vector, the kind of object it leads to and the column that holds the object's id.
+ROLES = {
+    "evidence": ("fact", "fact_id"), "text": ("segment", "segment_id"), "procedure": ("procedure", "procedure_id"), "media_caption": ("media_artifact", "media_id"),
+    "visual_ocr": ("visual_region", "region_id"), "visual_caption": ("visual_region", "region_id"),
+}
+ROLE_KINDS = ("fact", "segment", "procedure", "media_artifact", "visual_region")
 STOP_ENTITIES = frozenset("what when where which that this with from have does about were been into your their there will would could should happened caused fixed".split())
 
 
@@ -124,6 +131,55 @@ class Engine:
         d = ranking.first_per_key(d.where("v is not null"), ["part"], [F.desc("v"), F.asc("object_id")], 3 * limit)
         return ranking.stream(d.drop("document", "embedding"), "vector", [F.asc("part"), F.desc("v"), F.asc("object_id")], 12 * limit).drop("v", "part")
 
+    def role_owners(self, kinds: Sequence[str], scope: str | None, at: Column | None, include_excluded: bool) -> DataFrame:
+        """The objects that vectors of a role lead to, as candidates with the roles' part number."""
+        none = lambda t: F.lit(None).cast(t)
+        keep = lambda d, kind, key: d if include_excluded else d.join(self.tainted(kind), key, "left_anti")
+        times = [none("timestamp").alias("valid_from"), none("timestamp").alias("valid_to")]
+        parts = []
+        if "fact" in kinds:
+            f = self.table("fact").where(P.in_scope(scope) & (P.valid_at(at) if at is not None else F.lit(True)) & (F.col("current_status") == "active"))
+            parts.append(keep(f, "fact", "fact_id").select(F.col("fact_id").alias("object_id"), F.lit("fact").alias("object_type"), F.col("predicate").alias("title"), F.coalesce("object_value", F.lit("")).alias("summary"), "confidence", "valid_from", "valid_to", "scope_path", "priority"))
+        if "segment" in kinds:
+            g = keep(self.table("segment").where(P.in_scope(scope)), "segment", "segment_id")
+            parts.append(g.select(F.col("segment_id").alias("object_id"), F.lit("segment").alias("object_type"), F.col("section_label").alias("title"), F.substring("content", 1, 500).alias("summary"), none("double").alias("confidence"), *times, "scope_path", none("int").alias("priority")))
+        if "procedure" in kinds:
+            d = self.visible(self.table("procedure").where(P.in_scope(scope) & (F.coalesce("lifecycle_state", F.lit("draft")) != "retired")), "procedure", "procedure_id")
+            parts.append(d.select(F.col("procedure_id").alias("object_id"), F.lit("procedure").alias("object_type"), "title", "summary", "confidence", *times, "scope_path", none("int").alias("priority")))
+        meta = lambda column, names: [F.try_element_at(F.col(column), F.lit(n)) for n in names]
+        if "media_artifact" in kinds:
+            m = self.table("media_artifact").where(P.in_scope(scope))
+            title = F.coalesce(*meta("media_meta", ("title", "caption", "description")), "media_type")
+            summary = F.coalesce(F.try_element_at("media_meta", F.lit("caption")), "caption", *meta("media_meta", ("description", "alt_text", "title")), F.lit(""))
+            parts.append(m.select(F.col("media_id").alias("object_id"), F.lit("media_artifact").alias("object_type"), title.alias("title"), summary.alias("summary"), none("double").alias("confidence"), *times, "scope_path", none("int").alias("priority")))
+        if "visual_region" in kinds:
+            media = self.table("media_artifact").select("media_id", F.col("scope_path").alias("_scope"))
+            r = self.table("visual_region").join(media, "media_id").withColumn("scope_path", F.coalesce(F.try_element_at("region_meta", F.lit("scope_path")), "_scope"))
+            r = r.where(P.in_scope(scope))
+            summary = F.coalesce(F.try_element_at("region_meta", F.lit("ocr_text")), "ocr_text", *meta("region_meta", ("text", "caption")), "label", F.lit(""))
+            parts.append(r.select(F.col("region_id").alias("object_id"), F.lit("visual_region").alias("object_type"), F.coalesce("label", "region_type").alias("title"), summary.alias("summary"), "confidence", *times, "scope_path", none("int").alias("priority")))
+        return reduce(lambda a, b: a.unionByName(b), parts)
+
+    def by_role(self, questions: DataFrame, *, limit: int = 10, scope: str | None = None, at: Column | None = None, kinds: Sequence[str] = ROLE_KINDS, include_excluded: bool = False) -> DataFrame:
+        """The vector stream of many questions (question_id, vector) over the typed embeddings, one pass over the index.
+
+        Each role leads to its owner: evidence to facts, text to segments, captions to media, text and captions of regions to
+        regions. Owners are filtered before the nearest are taken, ``3 * limit`` of each kind, kinds one after the other; an
+        owner with several vectors counts once, with its best.
+        """
+        unknown = [k for k in kinds if k not in ROLE_KINDS]
+        if unknown:
+            raise ValueError(f"no vectors lead to {', '.join(unknown)}")
+        limit = P.bounded(limit, 1, 200)
+        owners = self.role_owners(kinds, scope, at, include_excluded)
+        owner = F.coalesce(*[F.when(F.col("role") == role, F.struct(F.lit(kind).alias("object_type"), F.col(key).alias("object_id"))) for role, (kind, key) in ROLES.items()])
+        rows = self.table("embedding_index").select(owner.alias("_o"), "embedding").where("_o is not null").select("_o.object_type", "_o.object_id", "embedding")
+        rows = rows.join(owners.select("object_type", "object_id"), ["object_type", "object_id"], "left_semi")
+        hits = vectors.nearest(rows, questions, 3 * limit, part="object_type")
+        number = F.array_position(F.array(*map(F.lit, ROLE_KINDS)), F.col("object_type"))
+        hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(number, "rank")))
+        return hits.join(owners, ["object_type", "object_id"]).withColumn("stream", F.lit("vector"))
+
     def expansion(self, seen: DataFrame, scope: str | None, limit: int) -> DataFrame:
         """Facts that share a subject with found facts, then facts of found episodes; none that was seen."""
         facts = self.table("fact").where(P.in_scope(scope) & (F.col("current_status") == "active"))
