@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pack(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], size: str, item: str, budget: int, truncate_first: bool = False) -> DataFrame:
+def pack(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], size: str, item: str, budget: int | str, truncate_first: bool = False) -> DataFrame:
     """Greedy packing: in order, each item that still fits the remaining budget is taken, others are skipped.
 
     With ``truncate_first`` an oversized first item is cut to the budget and ends the package. A request's
-    items form one array; requests are bounded by the retrieval limit before they get here.
+    items form one array; requests are bounded by the retrieval limit before they get here. ``budget`` may name a column.
     """
+    whole = F.max(budget) if isinstance(budget, str) else F.lit(budget)
     listed = rows.withColumn("_o", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    grouped = listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_o", F.col(size).cast("long").alias("n"), F.col(item).alias("i")))).alias("all"))
+    grouped = listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_o", F.col(size).cast("long").alias("n"), F.col(item).alias("i")))).alias("all"), whole.cast("long").alias("_whole"))
     kind = f"array<{listed.schema[item].dataType.simpleString()}>"
-    start = F.struct(F.array().cast(kind).alias("taken"), F.lit(budget).cast("long").alias("left"), F.lit(False).alias("over"))
+    start = F.struct(F.array().cast(kind).alias("taken"), F.col("_whole").alias("left"), F.lit(False).alias("over"))
 
     def step(acc: Column, x: Column) -> Column:
         fits = ~acc["over"] & (x["n"] <= acc["left"])
@@ -30,7 +31,7 @@ def pack(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], size: st
         )
 
     folded = grouped.withColumn("f", F.aggregate("all", start, step))
-    return folded.select(*keys, F.col("f.taken").alias("items"), (F.lit(budget).cast("long") - F.col("f.left")).alias("used"))
+    return folded.select(*keys, F.col("f.taken").alias("items"), (F.col("_whole") - F.col("f.left")).alias("used"))
 
 
 def clamped_sums(events: DataFrame, keys: Sequence[str], order: Sequence[str], deltas: dict[str, str], bucket: Column | None = None, low: float = 0.0, high: float = 1.0) -> DataFrame:
