@@ -94,6 +94,35 @@ def conflicts(memories: DataFrame, cues: DataFrame, key: str = "memory_id", bloc
     return out.where(F.col("na") != F.col("nb")).drop("na", "nb")
 
 
+def conflict_edges(memories: DataFrame, cues: DataFrame, known: DataFrame, tenant: str, key: str = "memory_id", block: Sequence[str] = ("tenant", "scope_path"), title: str = "title", narrative: str = "narrative") -> tuple[DataFrame, DataFrame]:
+    """(new edges, bumps): contradiction edges for memories of one block that share a title or a cue but not their narrative.
+
+    A class (block and title, or block and cue) is no set of pairs: its representative is its smallest key, and each member with
+    another narrative gets one edge to it; members with the representative's narrative get one to the smallest key with another.
+    So every member that contradicts some other has an edge, and edges grow with the rows. ``bumps`` (key, n) has each
+    memory at an end of an edge that was not ``known`` by its fingerprint, once.
+    """
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    m = memories.select(F.col(key), *[empty(c).alias(f"_b{i}") for i, c in enumerate(block)], F.col("scope_path"), F.lower(empty(title)).alias("_t"), F.sha2(empty(narrative), 256).alias("_h"))
+    by_title = m.select(key, *[f"_b{i}" for i in range(len(block))], "scope_path", F.concat(F.lit("t:"), "_t").alias("_k"), "_h")
+    by_cue = m.join(cues.select(key, "cue_hash").distinct(), key).select(key, *[f"_b{i}" for i in range(len(block))], "scope_path", F.concat(F.lit("c:"), "cue_hash").alias("_k"), "_h")
+    rows = by_title.unionByName(by_cue)
+    group = [*[f"_b{i}" for i in range(len(block))], "_k"]
+    heads = rows.groupBy(*group, "_h").agg(F.min(key).alias("_head"))  # a row for each narrative of a class
+    best = F.array_sort(F.collect_list(F.struct("_head", "_h")))
+    two = heads.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("_head"))).where("_n <= 2").groupBy(*group).agg(best.alias("_two")).where(F.size("_two") > 1)
+    d = rows.join(two, group)
+    first, second = F.get("_two", F.lit(0)), F.get("_two", F.lit(1))
+    other = F.when(F.col("_h") != first["_h"], first["_head"]).otherwise(second["_head"])
+    ends = d.select(F.least(key, other).alias("source_id"), F.greatest(key, other).alias("target_id"), "scope_path").dropDuplicates(["source_id", "target_id"])
+    print_ = F.sha2(F.concat_ws("|", F.lit(tenant), F.lit("memory"), F.col("source_id").cast("string"), F.lit("contradicts"), F.lit("memory"), F.col("target_id").cast("string")), 256)
+    kind = F.lit("memory")
+    edges = ends.select(F.lit(tenant).alias("tenant"), kind.alias("source_type"), "source_id", kind.alias("target_type"), "target_id", F.lit("contradicts").alias("edge_type"), print_.alias("edge_fingerprint"), F.lit(0.6).alias("confidence"), F.lit("deterministic").alias("assertion_class"), "scope_path")
+    new = edges.join(known.select("tenant", "edge_fingerprint"), ["tenant", "edge_fingerprint"], "left_anti").select(*edges.columns)
+    bumps = new.select(F.explode(F.array("source_id", "target_id")).alias(key)).distinct().withColumn("n", F.lit(1))
+    return new, bumps
+
+
 def _title_in_text(m: DataFrame, key: str, block: Sequence[str], title: str, narrative: str) -> DataFrame:
     """Pairs (a, b), a < b, in one block where the text of one has all lexemes of the title of the other."""
     texts = m.select(*block, F.col(key).alias("t"), stemmed(F.concat_ws(" ", title, narrative)).alias("x"))

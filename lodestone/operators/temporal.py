@@ -70,3 +70,42 @@ def chains(events: DataFrame, episode: str, ts: str, key: str, types: Sequence[s
     steps = events.where(F.col(kind).isin(*types)).join(chosen, episode)
     ordered = F.array_sort(F.collect_list(F.struct(F.col(ts), F.col(key), *[F.col(c) for c in fields if c not in (ts, key)])))
     return steps.groupBy(episode, "started").agg(ordered.alias("steps"))
+
+
+#: What ends with its episode, and which outcomes end an episode. Fixed values.
+ENDING_KINDS, ENDED = ("cause", "impact"), ("resolved", "closed")
+
+
+def backfill(facts: DataFrame, episodes: DataFrame, keys: Sequence[str] = ("subject_entity_id", "predicate", "fact_kind"), value: str = "object_value") -> DataFrame:
+    """``facts`` with times from their episodes and supersession, and ``filled`` (the rules that changed a row).
+
+    Starts come from the episode's start; causes and impacts end with an episode that was resolved or closed; an active fact
+    ends, and is superseded, where the first active fact of its key with another value starts later and before it ends. Starts
+    of a key are visited once, in order: runs of one value are passed over, so no fact meets all others of its key.
+    """
+    e = episodes.select("episode_id", F.col("start_at").alias("_start"), F.col("end_at").alias("_end"), F.col("outcome").alias("_outcome"))
+    d = facts.join(e, "episode_id", "left")
+    began = F.col("valid_from").isNull() & F.col("_start").isNotNull()
+    ended = F.col("valid_to").isNull() & F.col("_end").isNotNull() & F.col("_outcome").isin(*ENDED) & F.col("fact_kind").isin(*ENDING_KINDS)
+    d = d.withColumns({"_began": began, "_ended": F.coalesce(ended, F.lit(False)), "valid_from": F.coalesce("valid_from", "_start"), "valid_to": F.when(ended, F.col("_end")).otherwise(F.col("valid_to"))})
+
+    said = F.coalesce(F.col(value).cast("string"), F.lit(""))
+    active = d.where((F.col("current_status") == "active") & F.col("valid_from").isNotNull())
+    for k in keys:
+        active = active.where(F.col(k).isNotNull())
+    starts = active.groupBy(*keys, F.col("valid_from").alias("_t")).agg(F.min(said).alias("_low"), F.max(said).alias("_high"))
+    w = Window.partitionBy(*keys).orderBy("_t")
+    one = F.when(F.col("_low") == F.col("_high"), F.col("_low"))  # null where a start has several values
+    new = ~F.coalesce((one == F.lag(one).over(w)), F.lit(False))
+    starts = starts.withColumn("_one", one).withColumn("_run", F.sum(F.when(new, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = starts.groupBy(*keys, "_run").agg(F.min("_t").alias("_from"))
+    runs = runs.withColumn("_after", F.lead("_from").over(Window.partitionBy(*keys).orderBy("_run"))).drop("_from")
+    starts = starts.join(runs, [*keys, "_run"])
+    follow = lambda c: F.lead(c).over(w)
+    starts = starts.select(*keys, F.col("_t").alias("valid_from"), follow("_t").alias("_next"), follow("_one").alias("_next_one"), follow("_after").alias("_next_after"))
+    d = d.join(starts, [*keys, "valid_from"], "left")
+    other = F.when(F.col("_next_one") == said, F.col("_next_after")).otherwise(F.col("_next"))
+    over = F.coalesce((F.col("current_status") == "active") & other.isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > other)), F.lit(False))
+    rules = F.array_compact(F.array(F.when(F.col("_began"), "start"), F.when(F.col("_ended"), "end"), F.when(over, "superseded")))
+    d = d.withColumns({"filled": rules, "valid_to": F.when(over, other).otherwise(F.col("valid_to")), "current_status": F.when(over, "superseded").otherwise(F.col("current_status"))})
+    return d.select(*facts.columns, "filled")

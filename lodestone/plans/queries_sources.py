@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.written import folder as scratch
 from ..sources import agent_exports, readers
 from ..streaming import intake, streams
 from .queries import Tables, query
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a local one only where that is unset on a local master."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/exports-{uuid.uuid4().hex}"
-
-
 PARTS = 5
 
 
