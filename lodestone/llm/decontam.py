@@ -105,12 +105,14 @@ def remove(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
     keyed = _keyed(named, "key", "text")
     d = keyed.join(hits(keyed, items, text="text", **options), ["_k1", "_k2"], "left")  # type: ignore[arg-type]
-    d = d.withColumn("_m", F.expr(f"if(spans is null, null, {_MARKED})"))
+    d = d.withColumn("_m", F.expr(f"if(spans is null, null, array_sort({_MARKED}))"))
     n = F.size(words("text"))
     d = d.where(F.col("_m").isNull() | (F.size("_m") < max_share * n))
-    # words and what stands between them, in turn; sorted spans keep the look-up short
+    # A flag for each word, from the sorted marked positions in one pass; then words and what stands between them, in turn.
+    flags = "flatten(transform(_m, (x, i) -> concat(array_repeat(false, x - if(i = 0, 0, _m[i - 1] + 1)), array(true))))"
+    d = d.withColumn("_f", F.expr(f"if(_m is null, null, {flags})"))
     word, gap = f"regexp_extract_all(text, '{_sql(RAW_WORD)}', 0)", f"split(text, '{_sql(RAW_WORD)}')"
-    rebuilt = f"array_join(zip_with({gap}, transform({word}, (x, i) -> if(exists(spans, s -> i >= s.start and i < s.start + s.span), '', x)), (g, x) -> concat(g, coalesce(x, ''))), '')"
+    rebuilt = f"array_join(zip_with({gap}, zip_with({word}, _f, (x, f) -> if(coalesce(f, false), '', x)), (g, x) -> concat(g, coalesce(x, ''))), '')"
     d = d.withColumn("text", F.when(F.col("_m").isNull(), F.col("text")).otherwise(F.expr(rebuilt)))
     new = {c: F.col(f"row.c{i}") for i, c in enumerate(docs.columns)} | {text: F.col("text")}
     if chars in docs.columns:

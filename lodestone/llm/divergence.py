@@ -132,25 +132,36 @@ def _alone(i: np.ndarray, p: np.ndarray, m: np.ndarray, p0: np.ndarray) -> Itera
 
 
 def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """PARTIAL of each tile: kind, lang, p0 of the language's groups, and entries (i, p, x)."""
+    """PARTIAL of each tile: kind, lang, p0 of the language's groups, and entries (i, p, term, m)."""
     work = {"dense": _dense, "pairs": _pairs, "alone": _alone}
     for batch in batches:
         for k in range(batch.num_rows):
             entries = batch["entries"][k].values
-            i, p, x = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("i", "p", "x"))
+            kind = batch["kind"][k].as_py()
+            i, p = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("i", "p"))
+            x = entries.field("m").to_numpy(zero_copy_only=False) if kind == "alone" else entries.field("term").dictionary_encode().indices.to_numpy(zero_copy_only=False)
             p0 = batch["p0"][k].values.to_numpy(zero_copy_only=False)
             lang = batch["lang"][k].as_py()
-            for a, b, v in work[batch["kind"][k].as_py()](i, p, x, p0):
+            for a, b, v in work[kind](i, p, x, p0):
                 use = (a != b) & (v != 0)
                 a, b, v = a[use], b[use], v[use]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(v, pa.int64())], names=["lang", "a", "b", "v"])
 
 
-def _tiled(rows: DataFrame, kind: str, by: str) -> DataFrame:
-    """Tiles (kind, lang, entries) of rows (lang, i, p, x); rows of one ``by`` stay together."""
-    sizes = rows.groupBy("lang").agg(F.expr(f"int(ceil(count(*) / {TILE}))").alias("tiles"))
-    rows = rows.join(sizes, "lang").withColumn("tile", F.pmod(F.xxhash64(by), F.col("tiles")))
-    return rows.groupBy("lang", "tile").agg(F.collect_list(F.struct("i", "p", "x")).alias("entries")).select(F.lit(kind).alias("kind"), "lang", "entries")
+#: A language's rows are dealt to so many parts where they meet a table by language.
+SALTS = 32
+
+
+def _salted(table: DataFrame) -> DataFrame:
+    return table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _tiled(rows: DataFrame, kind: str, by: str, sizes: DataFrame) -> DataFrame:
+    """Tiles (kind, lang, tile, entries) of rows (lang, i, p, term, m); rows of one ``by`` stay together. sizes: (lang, salt, n)."""
+    h = F.xxhash64(by)
+    rows = rows.withColumn("salt", F.pmod(F.shiftright(h, 32), F.lit(SALTS)).cast("int")).join(sizes, ["lang", "salt"])
+    rows = rows.withColumn("tile", F.pmod(h, F.ceil(F.col("n") / TILE)))
+    return rows.groupBy("lang", "tile").agg(F.collect_list(F.struct("i", "p", "term", "m")).alias("entries")).select(F.lit(kind).alias("kind"), "lang", "tile", "entries")
 
 
 def audit(docs: DataFrame, min_docs: int = 3, term_ranks: int = 200, dense_share: float = 0.25) -> DataFrame:
@@ -167,7 +178,8 @@ def audit(docs: DataFrame, min_docs: int = 3, term_ranks: int = 200, dense_share
     groups = groups.withColumn("p0", F.when(F.col("v") > 0, _p("0", "total")))
     groups = materialize(groups)
 
-    used = kept.join(groups, ["lang", "source"]).withColumns({"p": _p("n", "total"), "q": _p("n_lang", "total_lang")})
+    dealt = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int"))
+    used = dealt.join(_salted(groups), ["lang", "source", "salt"]).withColumns({"p": _p("n", "total"), "q": _p("n_lang", "total_lang")})
     used = materialize(used.select("lang", "source", "term", "i", "p", "q", (F.col("k") > dense_share * F.col("g")).alias("heavy")))
     terms = used.where("p > q").select("lang", "source", F.col("term").alias("item"), _f("p", "q").alias("value"))
     best = [F.desc("value"), F.asc("item")]
@@ -176,12 +188,16 @@ def audit(docs: DataFrame, min_docs: int = 3, term_ranks: int = 200, dense_share
     by_group = Window.partitionBy("lang", "source").orderBy(*best)
     terms = terms.withColumn("rank", F.row_number().over(by_group)).where(F.col("rank") <= term_ranks)
 
-    entry = used.select("lang", "i", "p", F.xxhash64("term").alias("x"), "heavy")
+    entry = used.select("lang", "i", "p", "term", F.lit(None).cast("long").alias("m"), "heavy")
     light = entry.where("not heavy")
-    alone = light.groupBy("lang", "i", "p").agg(F.count("*").alias("x"))
-    tiles = _tiled(entry.where("heavy"), "dense", "x").unionByName(_tiled(light, "pairs", "x")).unionByName(_tiled(alone, "alone", "i"))
-    p0 = groups.where("v > 0").groupBy("lang").agg(F.expr("transform(array_sort(collect_list(struct(i, p0))), s -> s.p0)").alias("p0"))
-    sums = tiles.join(p0, "lang").mapInArrow(_partial_sums, PARTIAL).groupBy("lang", "a", "b").agg(F.sum("v").alias("v"))
+    alone = light.groupBy("lang", "i", "p").agg(F.lit(None).cast("string").alias("term"), F.count("*").alias("m"))
+    # Written first, so that their size is known when they are joined.
+    sizes = materialize(entry.groupBy("lang").agg(F.count_if("heavy").alias("dense"), F.count_if(~F.col("heavy")).alias("pairs")))
+    of = lambda kind: _salted(sizes.select("lang", F.greatest(kind, F.lit(1)).alias("n")))
+    tiles = _tiled(entry.where("heavy"), "dense", "term", of("dense")).unionByName(_tiled(light, "pairs", "term", of("pairs"))).unionByName(_tiled(alone, "alone", "i", of("pairs")))
+    p0 = materialize(groups.where("v > 0").groupBy("lang").agg(F.expr("transform(array_sort(collect_list(struct(i, p0))), s -> s.p0)").alias("p0")))
+    tiles = tiles.withColumn("salt", F.pmod("tile", F.lit(SALTS)).cast("int")).join(_salted(p0), ["lang", "salt"])
+    sums = tiles.mapInArrow(_partial_sums, PARTIAL).groupBy("lang", "a", "b").agg(F.sum("v").alias("v"))
 
     n_light = used.where("not heavy").select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("light"))
     a = groups.select("lang", F.col("source"), F.col("i").alias("a"), F.col("p0").alias("pa")).join(n_light, "lang", "left")

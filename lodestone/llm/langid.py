@@ -160,10 +160,11 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     keep = [c for c in docs.columns if c not in out and c != text]
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, t) for c, t in out.items())])
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: a worker makes the model of them, so it needs no copy of the package.
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model.langs, model.table, model.layer, model.bias, model.temperature, model.threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared.value and Model(*shared.value)
         for batch in batches:
             texts = batch[text].to_pylist()
             langs, scores, accepted = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)

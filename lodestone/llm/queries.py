@@ -55,8 +55,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     # Ranges smaller than the archives, so that records are found from the middle of a file at every size.
     d = warc.read_warc(warc.write_warc(pages, path), path, split_bytes=1 << 20, payload=False)
-    page_id = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(pages.schema["page_id"].dataType)
-    return d.select(page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id("refers_to").alias("refers_to"))
+    page_id = lambda c, null: F.when(~F.col(null), F.col(c)).cast(pages.schema["page_id"].dataType).alias(c)
+    return d.select(page_id("record_id", "null_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id("refers_to", "null_refers"))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ none, scanning goes on. Only positions are kept in memory besides one record.
 Paths may be of any file system that pyarrow.fs knows (file, hdfs, s3, gs).
 
 Defined cases: null html is an empty payload; payloads of less than ``min_bytes`` are always responses; a null
-id comes after all others and is written as ``null``; of rows that repeat the response's id and payload one is the
+id comes after all others, is written as ``null`` (the word as ``%6Eull``) and marked by ``null_id`` and ``null_refers`` when read; of rows that repeat the response's id and payload one is the
 response, the others revisit it; ids of any type are percent-encoded in record ids and read as strings; an empty table
 gives no files and an empty result; other columns are ignored. Copies of one payload meet as narrow rows only, in a
 join on its digest that adaptive execution splits.
@@ -47,9 +47,13 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+#: Stands for a null id; the same word as an id is written with an escape.
+NO_ID = "null"
+
+
 def named(page_id: object) -> str:
     """An id as it stands in a record id."""
-    return "null" if page_id is None else quote(str(page_id), safe="")
+    return NO_ID if page_id is None else "%6Eull" if str(page_id) == NO_ID else quote(str(page_id), safe="")
 
 
 def record(page_id: object, url: str | None, payload: bytes, refers_to: object, revisit: bool, date: str) -> bytes:
@@ -197,7 +201,8 @@ def parse(content: bytes) -> dict[str, object]:
     inner = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
     kind = fields.get("warc-type")
     claimed = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    bare = lambda x: unquote(x.strip("<>").removeprefix(URN)) if x else None
+    name = lambda x: x.strip("<>").removeprefix(URN) if x else None
+    bare = lambda x: unquote(name(x)) if x else None
     full = kind == "response"
     return {
         "record_id": bare(fields.get("warc-record-id")),
@@ -208,11 +213,13 @@ def parse(content: bytes) -> dict[str, object]:
         "payload_bytes": len(payload) if full else int(inner.get("content-length", 0)),
         "payload_digest": digest32(payload) if full else claimed,
         "intact": not full or digest32(payload) == claimed,
+        "null_id": name(fields.get("warc-record-id")) == NO_ID,
+        "null_refers": name(fields.get("warc-refers-to")) == NO_ID,
     }
 
 
-_FIELDS = {"record_id": pa.string(), "record_type": pa.string(), "url": pa.string(), "refers_to": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "intact": pa.bool_(), "path": pa.string(), "position": pa.int64()}
-RECORDS = "record_id string, record_type string, url string, refers_to string, payload binary, payload_bytes long, payload_digest string, intact boolean, path string, position long"
+_FIELDS = {"record_id": pa.string(), "record_type": pa.string(), "url": pa.string(), "refers_to": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "intact": pa.bool_(), "path": pa.string(), "position": pa.int64(), "null_id": pa.bool_(), "null_refers": pa.bool_()}
+RECORDS = "record_id string, record_type string, url string, refers_to string, payload binary, payload_bytes long, payload_digest string, intact boolean, path string, position long, null_id boolean, null_refers boolean"
 
 
 def read_warc(manifest: DataFrame, root: str, split_bytes: int = 64 << 20, payload: bool = True) -> DataFrame:
