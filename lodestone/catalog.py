@@ -1,15 +1,20 @@
 """Tables of the evidence memory: schemas, tenant-filtered reads, versioned writes.
 
 A missing table reads as an empty DataFrame of its schema, so optional features degrade to empty results.
-A table is a folder of data folders and a log of numbered versions. A write creates a data folder, then the next entry
-of the log, which lists the version's data folders; entries are created once and never change, so a reader sees a
-version as a whole and of two writers one loses: an append is tried again, a replacement fails. An append adds
-a folder and leaves the others as they are. Errors in reading are raised; only a table without a log is empty.
+A table is a folder of data folders and a log of numbered versions. A write creates a data folder, then an entry of the
+log, which lists the version's data folders. An entry is written under a name of its own and then renamed to its number, which
+fails if the number is taken; so an entry is whole as soon as it can be seen, a reader sees a version as a whole, and of
+two writers one loses: an append is tried again, a replacement fails. An entry without its end belongs to a writer at work
+while it is younger than ``patience`` seconds; then its writer is taken for dead, and the next version takes a later number.
+This holds where a rename to a name that exists fails, as in HDFS; on a local disk up to the moment between look and move. Object stores without such
+a rename need one writer for each table. An append adds a folder and leaves the others as they are. Errors in reading
+are raised; only a table without a log is empty.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -115,8 +120,8 @@ def rules(name: str) -> dict[str, Column]:
 class Catalog:
     """Tables below ``root``; registered DataFrames (``tables``) take precedence, for tests and views."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, tables: dict[str, DataFrame] | None = None):
-        self.spark, self.root, self.tables = spark, root.rstrip("/") if root else None, dict(tables or {})
+    def __init__(self, spark: SparkSession, root: str | None = None, tables: dict[str, DataFrame] | None = None, patience: float = 600):
+        self.spark, self.root, self.tables, self.patience = spark, root.rstrip("/") if root else None, dict(tables or {}), patience
 
     def _log(self, name: str):
         """The file system and the folder of the table's log."""
@@ -124,30 +129,54 @@ class Catalog:
         folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/_log")
         return folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), folder  # type: ignore[attr-defined]
 
-    def version(self, name: str) -> tuple[int, list[str]]:
-        """The number of the table's version, 0 for none, and its data folders."""
+    def _entries(self, name: str) -> list[int]:
         fs, folder = self._log(name)
         if not fs.exists(folder):
-            return 0, []
-        for number in sorted((int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()), reverse=True):
+            return []
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit())
+
+    def version(self, name: str) -> tuple[int, list[str]]:
+        """The number of the table's version, 0 for none, and its data folders."""
+        _, folder = self._log(name)
+        for number in reversed(self._entries(name)):
             text = self.spark.read.text(f"{folder.toString()}/{number:020d}", wholetext=True).first()
-            if text and text[0].endswith("\n"):  # else it is being written
+            if text and text[0].endswith("\n"):  # else its writer died
                 return number, json.loads(text[0])
         return 0, []
 
-    def _commit(self, name: str, number: int, folders: list[str]) -> bool:
-        """Create the log's entry; False if there is one already."""
+    def _commit(self, name: str, after: int, folders: list[str]) -> bool:
+        """Add the log's entry that follows version ``after``; False if there is a newer version by now, or a writer at work.
+
+        The entry takes the number after the last one, finished or not. Of two writers with one number only one can
+        rename its file to it; the other then finds a newer version.
+        """
         fs, folder = self._log(name)
         fs.mkdirs(folder)
-        try:
-            out = fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:020d}"), False)  # type: ignore[attr-defined]
-        except Py4JJavaError as e:
-            if "AlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
-                return False
-            raise
+        path = self.spark._jvm.org.apache.hadoop.fs.Path  # type: ignore[attr-defined]
+        open_ = [n for n in self._entries(name) if n > after]
+        age = lambda n: time.time() - fs.getFileStatus(path(folder, f"{n:020d}")).getModificationTime() / 1000
+        if self.version(name)[0] != after or any(age(n) < self.patience for n in open_):
+            return False
+        number = max([after, *open_]) + 1
+        temp, entry = path(folder, f"_{uuid.uuid4().hex}"), path(folder, f"{number:020d}")
+        out = fs.create(temp, False)
         out.write(bytearray((json.dumps(folders) + "\n").encode()))
         out.close()
-        return True
+        taken = fs.exists(entry)
+        if not taken:
+            files = self.spark._jvm.org.apache.hadoop.fs  # type: ignore[attr-defined]
+            rename = getattr(files, "Options$Rename")
+            never = self.spark.sparkContext._gateway.new_array(rename, 1)  # type: ignore[union-attr]
+            never[0] = rename.NONE
+            try:  # fails where the number is taken, unlike FileSystem.rename
+                files.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(temp, entry, never)
+            except Py4JJavaError as e:
+                if "AlreadyExists" not in str(e.java_exception):
+                    raise
+                taken = True
+        if taken:
+            fs.delete(temp, False)
+        return not taken
 
     def read(self, name: str, tenant: str | None = None) -> DataFrame:
         df = self.tables.get(name)
@@ -172,7 +201,7 @@ class Catalog:
             self.tables[name] = df
             return
         number, _ = self.version(name)
-        if not self._commit(name, number + 1, [self._write(name, df.select(*schema(name).names))]):
+        if not self._commit(name, number, [self._write(name, df.select(*schema(name).names))]):
             raise RuntimeError(f"{name} was changed meanwhile; read it again")
 
     def append(self, name: str, rows: DataFrame) -> None:
@@ -182,11 +211,14 @@ class Catalog:
         if not self.root:
             self.tables[name] = self.read(name).unionByName(new)
             return
-        folder = self._write(name, new)
+        folder, last = self._write(name, new), time.time() + 2 * self.patience + 60
         while True:
             number, folders = self.version(name)
-            if self._commit(name, number + 1, [*folders, folder]):
+            if self._commit(name, number, [*folders, folder]):
                 return
+            if time.time() > last:
+                raise RuntimeError(f"other writers kept {name} from taking an entry after {number}")
+            time.sleep(0.2)
 
     def check(self, name: str) -> DataFrame:
         """Rows of a table that break its rules, with the names of the rules."""

@@ -66,14 +66,14 @@ def load(tables: Mapping[str, DataFrame], items: DataFrame, now: Column, max_byt
     """The next versions of TABLES, and ``rejected``: the facts that the gate let not pass, with the reason.
 
     ``keep`` may write what several tables are made of (the items with their ids, the facts, the entities) and read it
-    back, so that it is not computed for each table again. An item without facts, segments or episode is an artifact and a run. Of items with one key in a batch one is loaded.
+    back, so that it is not computed for each table again. An item without facts, segments or episode is an artifact and a run. Of items with one key in a batch the same one is loaded into every table.
     """
     large = None
     if max_bytes is not None:
         items, large = oversized(items, max_bytes)
     out = dict(tables)
     ids, artifacts = ensure_artifacts(tables["artifact"], items.unionByName(large, allowMissingColumns=True) if large is not None else items)
-    d = items.dropDuplicates(["tenant", "source_key"]).join(ids, ["tenant", "source_key"])
+    d = merge.one_per_key(items, ["tenant", "source_key"]).join(ids, ["tenant", "source_key"])
     d = d.withColumns({"run_id": digest("artifact_id", F.lit("run")), "episode_id": F.when(F.col("episode").isNotNull(), digest("artifact_id", F.lit("episode"))), "severity": F.col("episode.severity")})
     d = keep(d)
     if large is not None:

@@ -8,13 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def one_per_key(rows: DataFrame, keys: Sequence[str], among: Sequence[str] | None = None) -> DataFrame:
+    """One row of each key, the same at every call: the one whose other columns (or ``among``) have the least digest.
+
+    ``dropDuplicates`` takes whichever row comes first, another one each time it is computed.
+    """
+    others = [c for c in (among or rows.columns) if c not in keys]
+    text = [F.to_json(F.struct(F.col(c))) for c in others]
+    mark = F.sha2(F.concat_ws("\x1f", *text), 256) if others else F.lit("")
+    w = Window.partitionBy(*keys).orderBy("_mark")
+    return rows.withColumn("_mark", mark).withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_mark", "_place")
+
+
 def insert_if_absent(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows of ``rows`` whose key is not in ``table``, one for each key."""
-    return rows.dropDuplicates(list(keys)).join(table.select(*keys), list(keys), "left_anti")
+    return one_per_key(rows, keys).join(table.select(*keys), list(keys), "left_anti")
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str], rules: dict[str, str] | None = None) -> DataFrame:

@@ -45,7 +45,8 @@ def start(sessions: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
             "expires_at": _in_days(now, ttl("ttl_days")),
             **{c: now.cast("timestamp") for c in ("started_at", "last_seen_at", "created_at", "updated_at")},
         }
-    ).dropDuplicates(KEY)
+    )
+    fresh = merge.one_per_key(fresh, KEY)
     return merge.upsert(sessions, fresh, KEY, {c: "keep" for c in ("session_id", "started_at", "created_at")})
 
 
@@ -62,7 +63,7 @@ def close(sessions: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
 
 
 def _changed(sessions: DataFrame, requests: DataFrame, now: Column, taken: tuple[str, ...], also: dict[str, Column]) -> DataFrame:
-    asked = requests.dropDuplicates(KEY).select(*KEY, *[F.col(c).alias(f"_{c}") for c in taken], F.lit(True).alias("_asked"))
+    asked = merge.one_per_key(requests, KEY).select(*KEY, *[F.col(c).alias(f"_{c}") for c in taken], F.lit(True).alias("_asked"))
     d = sessions.join(asked, KEY, "left")
     values = {c: F.coalesce(f"_{c}", c) for c in taken} | also | {c: now.cast("timestamp") for c in ("last_seen_at", "updated_at")}
     kept = [F.when(F.col("_asked"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in sessions.columns]
@@ -108,7 +109,7 @@ def mark_candidates(items: DataFrame, sessions: DataFrame, requests: DataFrame,
     Only unexpired items of closed sessions that point to some evidence become candidates; ``touched`` tells which.
     """
     taken = ("promotion_reason", "promotion_target_kind", "promotion_target_id")
-    asked = requests.dropDuplicates(["tenant", "working_memory_id"]).select("tenant", "working_memory_id", *[F.col(c).alias(f"_{c}") for c in taken], F.lit(True).alias("_asked"))
+    asked = merge.one_per_key(requests, ["tenant", "working_memory_id"]).select("tenant", "working_memory_id", *[F.col(c).alias(f"_{c}") for c in taken], F.lit(True).alias("_asked"))
     done = sessions.where(F.col("status").isin(*CLOSED)).select("tenant", "session_id", F.lit(True).alias("_closed"))
     d = items.join(asked, ["tenant", "working_memory_id"], "left").join(done, ["tenant", "session_id"], "left")
     proof = F.coalesce("evidence_segment_id", "source_segment_id", "source_fact_id").isNotNull()

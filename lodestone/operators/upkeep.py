@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import merge
+
 #: A published memory is stale after so many days; reasons of retention reviews with their least risk. Fixed values.
 STALE_DAYS = 180
 PROPOSALS = {
@@ -22,7 +24,7 @@ NO_DATE = ("null", "n/a", "na", "tbd", "none", "unknown", "-", "")
 def ensure_artifacts(artifacts: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ids, new rows): the artifact of every item (tenant, source_key, source_type, original_path, content, scope_path), and what is to be added."""
     known = artifacts.select("tenant", "source_key", "artifact_id")
-    one = items.dropDuplicates(["tenant", "source_key"]).join(known, ["tenant", "source_key"], "left")
+    one = merge.one_per_key(items, ["tenant", "source_key"]).join(known, ["tenant", "source_key"], "left")
     fresh_id = F.substring(F.sha2(F.concat_ws("\x1f", "tenant", "source_key"), 256), 1, 32)
     ids = one.select("tenant", "source_key", F.coalesce("artifact_id", fresh_id).alias("artifact_id"), F.col("artifact_id").isNull().alias("created"))
     content = F.coalesce("content", F.lit(""))
