@@ -15,6 +15,10 @@ No group is ever expanded into all its pairs:
    members that are not linked with p are looked up by those differences: near copies differ from p in
    places of their own, so the rarest elements of a difference, as many as the exact threshold
    asks for (prefix and position filter), meet few others. Only pairs found so are compared.
+   A group may hold crowds of its own, such as copies of another edition: of the members that are not linked with the pivot,
+   those of bands that ``CROWD`` of them share get pivots of their own, again and again until no such crowd is linked any further. What
+   one pivot links is connected, so the look-up is for pairs of different crowds only, and elements that one crowd alone
+   holds are not looked up at all.
 4. Members farther than ``NEAR`` from the pivot get a pivot of their own group in a next turn; after ``TURNS``
    turns the rest are looked up by the rarest elements of the sets themselves. All steps are exact: a pair
    that links is near a pivot together or in the rest together. No bucket is capped.
@@ -44,6 +48,8 @@ ship(__name__)
 PERMUTATIONS, ROWS, PARTNERS = 65, 5, 128
 #: Turns with a pivot, and the distance (per cent) within which a node is settled by one.
 TURNS, NEAR = 2, 50
+#: Members of a band from which on they get a pivot of their own.
+CROWD = 16
 _RNG = np.random.Generator(np.random.PCG64(42))
 #: Odd multipliers and offsets of the permutations of 32 bit values.
 A = (_RNG.integers(0, 1 << 31, PERMUTATIONS, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -165,23 +171,59 @@ def _placed(members: DataFrame) -> DataFrame:
     return materialize(nodes.join(pivots, "g").select("id", "v", "n", "g", F.col("p.id").alias("p"), F.col("p.v").alias("pv"), F.col("p.n").alias("pn"), "salts"))
 
 
+def _met(placed: DataFrame, sets: DataFrame, heads: DataFrame) -> DataFrame:
+    """Nodes with their pivot's set compared: (g, id, v, n, pn, p, common, d). Pivots' sets are salted. heads: all nodes of the groups."""
+    kind = _kind(placed, "id")
+    left = placed.join(sets, ["id", "v"]).withColumn("salt", F.pmod(F.xxhash64("id", "v"), "salts")).drop("salts")
+    pivots = heads.where("id = p and v = pv").join(sets, ["id", "v"]).dropDuplicates(["g"]).select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("hashes").alias("p_hashes"))
+    return left.join(pivots, ["g", "salt"]).select("g", "id", "v", "n", "pn", "p", "hashes", "p_hashes").mapInArrow(_difference, f"g {kind}, id {kind}, v long, n long, pn long, p {kind}, common long, d array<long>")
+
+
+def _crowds(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(id, v, label): the nodes of crowded bands that link with the pivot of their crowd, which is the label. rows: (band, id, v, n).
+
+    A round takes the pivots and what they link out of the rows; it is the last one if it linked nothing.
+    """
+    found = None
+    while True:
+        crowd = _shared(rows, CROWD)
+        if crowd.isEmpty():
+            return found
+        placed = _placed(crowd)
+        linked = _met(placed, sets, placed).where(f"100 * common >= {percent} * (n + pn - common)")
+        linked = materialize(linked.select("id", "v", F.col("p").alias("label")))
+        if linked.where("id <> label").isEmpty():
+            return found
+        found = linked if found is None else found.union(linked)
+        rows = materialize(rows.join(linked.select("id", "v"), ["id", "v"], "left_anti"))
+
+
+def _labelled(nodes: DataFrame, crowds: DataFrame | None) -> DataFrame:
+    """``nodes`` (id, v, linked, p) with the label of their crowd, of the pivot they are linked with, or their own."""
+    own = F.when(F.col("linked"), F.col("p")).otherwise(F.col("id"))
+    if crowds is None:
+        return nodes.withColumn("label", own)
+    c = crowds.withColumnRenamed("label", "_crowd")
+    return nodes.join(c, ["id", "v"], "left").withColumn("label", F.coalesce("_crowd", own)).drop("_crowd")
+
+
 def _need(percent: int, a: str, b: str, n: str) -> str:
     """SQL: 2 * (100 + percent) times the least overlap of two difference sets of sizes a and b, given both sets' sizes' sum n."""
     return f"({100 + percent} * ({a} + {b}) - {100 - percent} * ({n}))"
 
 
 def _late_pairs(near: DataFrame, percent: int, pivoted: bool) -> DataFrame:
-    """Links between nodes of a group: near has (g, id, v, n, pn, linked, d), d being the set, or its difference from the pivot's.
+    """Links between nodes of a group with different labels: near has (g, id, v, n, pn, linked, label, d), d being the set, or its difference from the pivot's.
 
     Two sets link if their differences overlap by what ``_need`` says. Elements are ordered by how many of the
-    group have them, the rare first; sets that overlap by o share one of the first size - o + 1 elements
+    group have them, the rare first, those that one label alone has before all; sets that overlap by o share one of the first size - o + 1 elements
     of each. So only those are posted, and a pair is made where the places of a shared element leave room for o.
     """
     near = near.withColumn("a", F.size("d"))
-    tokens = near.select("g", "id", "v", "n", "pn", "a", "linked", F.explode("d").alias("e"))
-    often = tokens.groupBy("g", "e").agg(F.count("*").alias("f")).where("f > 1")
-    ordered = tokens.join(often, ["g", "e"]).groupBy("g", "id", "v", "n", "pn", "a", "linked").agg(F.sort_array(F.collect_set(F.struct("f", "e"))).alias("s"))
-    posted = ordered.select("g", "id", "v", "n", "pn", "a", "linked", F.size("s").alias("z"), F.posexplode("s").alias("k", "s")).select("g", "id", "v", "n", "a", "linked", "pn", F.col("s.e").alias("e"), F.expr("a - z + k + 1").alias("at"))
+    tokens = near.select("g", "id", "v", "n", "pn", "a", "linked", "label", F.explode("d").alias("e"))
+    often = tokens.groupBy("g", "e").agg(F.count("*").alias("f"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    ordered = tokens.join(often, ["g", "e"]).groupBy("g", "id", "v", "n", "pn", "a", "linked", "label").agg(F.sort_array(F.collect_set(F.struct("f", "e"))).alias("s"))
+    posted = ordered.select("g", "id", "v", "n", "pn", "a", "linked", "label", F.size("s").alias("z"), F.posexplode("s").alias("k", "s")).select("g", "id", "v", "n", "a", "linked", "label", "pn", F.col("s.e").alias("e"), F.expr("a - z + k + 1").alias("at"))
     # The least that any partner can ask for, as the smaller and as the larger of two differences.
     most = f"(n + floor(100 * n / {percent}))"
     if pivoted:
@@ -193,11 +235,11 @@ def _late_pairs(near: DataFrame, percent: int, pivoted: bool) -> DataFrame:
         as_small, as_large = f"{4 * percent} * n", f"{2 * percent} * (n + {percent / 100} * n)"
     room = f"{2 * (100 + percent)} * (a - at + 1) + 1"  # one more, for rounding
     posted = materialize(posted.withColumns({"small": F.expr(f"{room} >= {as_small}"), "large": F.expr(f"{room} >= {as_large}")}).where("small or large").drop("pn"))
-    x = posted.where("small").select("g", "e", *[F.col(c).alias(f"x_{c}") for c in ("id", "v", "n", "a", "at", "linked")])
-    y = posted.where("large").select("g", "e", *[F.col(c).alias(f"y_{c}") for c in ("id", "v", "n", "a", "at", "linked")])
+    x = posted.where("small").select("g", "e", *[F.col(c).alias(f"x_{c}") for c in ("id", "v", "n", "a", "at", "label")])
+    y = posted.where("large").select("g", "e", *[F.col(c).alias(f"y_{c}") for c in ("id", "v", "n", "a", "at", "label")])
     asked = _need(percent, "x_a", "y_a", "x_n + y_n")
     rest = f"{2 * (100 + percent)} * (least(x_a - x_at, y_a - y_at) + 1) >= {asked}"
-    fits = f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and (x_a, x_id, x_v) < (y_a, y_id, y_v) and x_id <> y_id and not (x_linked and y_linked)"
+    fits = f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) and (x_a, x_id, x_v) < (y_a, y_id, y_v) and x_id <> y_id and x_label <> y_label"
     pairs = materialize(x.join(y, ["g", "e"]).where(f"{fits} and {rest}").select("g", "x_id", "x_v", "x_n", "x_a", "y_id", "y_v", "y_n", "y_a").distinct())
     own = lambda s: near.select("g", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "v", "d")])
     met = pairs.join(own("x"), ["g", "x_id", "x_v"]).join(own("y"), ["g", "y_id", "y_v"])
@@ -215,15 +257,16 @@ def links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> list[
         if sets is None:
             sets = materialize(_sets(docs.join(placed.select("id").distinct(), "id", "left_semi"), size))
         if turn == TURNS:  # what no pivot is near to: the sets themselves are compared
-            rest = placed.select("id", "v", "n", "g").join(sets, ["id", "v"]).select("g", "id", "v", "n", F.lit(0).alias("pn"), F.lit(False).alias("linked"), F.col("hashes").alias("d"))
+            rest = placed.select("id", "v", "n", "g").join(sets, ["id", "v"]).select("g", "id", "v", "n", F.lit(0).alias("pn"), F.lit(False).alias("linked"), F.col("id").alias("p"), F.col("hashes").alias("d"))
+            crowds = _crowds(members.drop("m", "lead"), sets, percent)
+            if crowds is not None:
+                found.append(crowds.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")))
+            rest = _labelled(rest, crowds)
             return [*found, materialize(_late_pairs(rest, percent, False))]
         # A pair that links has its first member within NEAR of a pivot at a turn at which both are within NEAR + 100 - percent.
         wide = max(0, 100 - NEAR - (100 - percent))
         sized = placed.where(f"100 * least(n, pn) >= {wide} * greatest(n, pn)")
-        left = sized.join(sets, ["id", "v"]).withColumn("salt", F.pmod(F.xxhash64("id", "v"), "salts")).drop("salts")
-        heads = placed.where("id = p and v = pv").join(sets, ["id", "v"]).dropDuplicates(["g"]).select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("hashes").alias("p_hashes"))
-        kind = _kind(placed, "id")
-        compared = left.join(heads, ["g", "salt"]).select("g", "id", "v", "n", "pn", "p", "hashes", "p_hashes").mapInArrow(_difference, f"g {kind}, id {kind}, v long, n long, pn long, p {kind}, common long, d array<long>")
+        compared = _met(sized, sets, placed)
         compared = compared.where(f"100 * common >= {wide} * (n + pn - common)")
         compared = materialize(compared.withColumn("linked", F.expr(f"100 * common >= {percent} * (n + pn - common)")))
         found.append(compared.where("linked and id <> p").select(F.col("id").alias("a"), F.col("p").alias("b")))
@@ -235,16 +278,20 @@ def links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> list[
         # Differences so small together that they need no overlap: the far-reaching member links without a look.
         sure = f"not linked and id <> b and {100 - percent} * n - {100 + percent} * size(d) + reach >= 0"
         found.append(near.where(sure).select(F.col("id").alias("a"), "b"))
-        found.append(materialize(_late_pairs(near.drop("b", "reach", "p", "common"), percent, True)))
+        open_ = compared.where("not linked").select("id", "v")
+        crowds = _crowds(members.drop("m", "lead").join(open_, ["id", "v"], "left_semi"), sets, percent)
+        if crowds is not None:
+            found.append(crowds.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")))
+        found.append(materialize(_late_pairs(_labelled(near, crowds).drop("b", "reach", "p", "common"), percent, True)))
         done = compared.where(f"100 * common >= {100 - NEAR} * (n + pn - common)").select("id", "v")
         left_over = members.drop("m", "lead").join(placed.select("id", "v"), ["id", "v"], "left_semi").join(done, ["id", "v"], "left_anti")
         members = _shared(left_over)
     return found
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows (band, id, v, n) whose band has several, with its size and least id."""
-    shared = rows.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").drop("last")
+def _shared(rows: DataFrame, least: int = 2) -> DataFrame:
+    """The rows (band, id, v, n) whose band has several, ``least`` at least, with its size and least id."""
+    shared = rows.groupBy("band").agg(F.count("*").alias("m"), F.min("id").alias("lead"), F.max("id").alias("last")).where(F.col("m") >= least).where("lead <> last").drop("last")
     return materialize(rows.join(shared, "band"))
 
 
