@@ -10,13 +10,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import OVERLAY_DELTAS
+from ..functions import vocabulary as V
+from ..functions.scores import OVERLAY_DELTAS, clamp
 from . import folds
 
 KEY = ("tenant", "target_kind", "target_id")
 SCORES = ("salience", "strength", "stability", "quality")
 START = 0.5
-MAX_CUES = 25
+MAX_CUES, SURE = 25, 0.7
 #: Signals that count for or against a target, and those that ask for a review. Fixed values.
 FOR = ("injected_referenced", "led_to_success", "user_confirmed", "admin_promoted")
 AGAINST = ("injected_contradicted", "led_to_failure", "user_corrected")
@@ -67,10 +68,25 @@ def feedback(intelligence: DataFrame, events: DataFrame, order: Sequence[str] =
 
 
 def cues(events: DataFrame, stored: DataFrame) -> DataFrame:
-    """The cue table after events (KEY, cues array<struct<text,type>>): the first MAX_CUES of each event without blank ones,
-    one row per target and hash; a cue that is there keeps its usefulness."""
-    e = events.select(*KEY, F.explode(F.slice("cues", 1, MAX_CUES)).alias("c")).select(*KEY, F.trim("c.text").alias("cue_text"), F.coalesce("c.type", F.lit("goal")).alias("cue_type")).where("cue_text <> ''")
+    """The cue table after events (KEY, cues array<struct<text,type[,method,confidence]>>): the first MAX_CUES of each event without blank ones,
+    one row per target and hash.
+
+    Types outside the vocabulary count as goals, methods outside it as manual; a confidence is kept between 0 and 1 and is 0.7
+    where none is given. A cue that is there keeps its text, and the greater of its usefulness and that of a new one. Columns
+    that ``stored`` lacks are left out.
+    """
+    given = events.schema["cues"].dataType.elementType.fieldNames()  # type: ignore[attr-defined]
+    e = events.select(*KEY, F.explode(F.slice("cues", 1, MAX_CUES)).alias("c"))
+    method = F.col("c.method") if "method" in given else F.lit(None).cast("string")
+    sure = F.col("c.confidence").cast("double") if "confidence" in given else F.lit(None).cast("double")
+    e = e.select(*KEY, F.trim("c.text").alias("cue_text"), V.or_default(F.col("c.type"), V.CUE_TYPES, "goal").alias("cue_type"), V.or_default(method, V.CUE_METHODS, "manual").alias("extraction_method"), clamp(F.coalesce(sure, F.lit(SURE))).alias("confidence")).where("cue_text <> ''")
     e = e.withColumn("cue_hash", F.sha2(F.concat(F.lower(F.trim("cue_type")), F.lit("\x1f"), F.lower("cue_text")), 256))
-    new = e.groupBy(*KEY, "cue_hash").agg(F.min("cue_text").alias("cue_text"), F.min("cue_type").alias("cue_type"))
-    old = stored.select(*KEY, "cue_hash", "cue_text", "cue_type", "usefulness")
-    return old.unionByName(new.join(old, [*KEY, "cue_hash"], "left_anti").withColumn("usefulness", F.lit(START)))
+    least = F.struct("cue_text", "extraction_method", "confidence")
+    new = e.groupBy(*KEY, "cue_hash").agg(F.min(least).alias("x"), F.min("cue_type").alias("cue_type"))
+    more = [c for c in ("extraction_method", "confidence") if c in stored.columns]
+    new = new.select(*KEY, "cue_hash", "x.cue_text", "cue_type", *[F.col(f"x.{c}").alias(c) for c in more], F.lit(START).alias("_start"))
+    columns = [*KEY, "cue_hash", "cue_text", "cue_type", "usefulness", *more]
+    old = stored.select(*columns).join(new.select(*KEY, "cue_hash", "_start"), [*KEY, "cue_hash"], "left")
+    old = old.withColumn("usefulness", F.greatest("usefulness", "_start")).select(*columns)
+    added = new.join(stored.select(*KEY, "cue_hash"), [*KEY, "cue_hash"], "left_anti").withColumnRenamed("_start", "usefulness")
+    return old.unionByName(added.select(*columns))

@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import fulltext
 from ..functions import predicates as P
 from ..functions import scores as S
 from ..functions import text as X
 from ..operators import folds, graph, merge, mining, ranking, temporal
+from . import text_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,7 +47,7 @@ def ts(text: str) -> F.Column:  # type: ignore[name-defined]
 
 
 NOW = "2024-01-20 00:00:00"
-LEX = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+LEX = text_sql.LEX
 
 # ------------------------------------------------------------------ filters and scans
 
@@ -198,9 +200,9 @@ def j12_next_step(t: Tables) -> DataFrame:
     return t.lineitem.where("l_linenumber > 2").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("next_step"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def j14_not_materialized(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return t.customer.select("c_custkey").join(t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("""(SELECT event_id, ts, 'before' AS side FROM events WHERE ts < TIMESTAMP '2024-01-15' ORDER BY ts DESC, event_id DESC LIMIT 7) UNION ALL
@@ -302,9 +304,9 @@ def a04_conditional_counts(t: Tables) -> DataFrame:
     return t.events.agg(F.count("*").alias("total"), F.count_if(e == "error").alias("errors"), F.count_if(e == "purchase").alias("purchases"), F.min(F.when(e == "error", F.col("ts"))).alias("first_error"), F.round(F.avg("value"), 6).alias("mean_value"), F.sum(F.octet_length("props")).alias("bytes"))
 
 
-@query("SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
+@query("SELECT l_orderkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
 def a07_single_project(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"), F.count_distinct("l_suppkey").alias("n")).where("n = 1").drop("n")
+    return t.lineitem.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("l_suppkey"), F.count_distinct("l_suppkey").alias("n")).where("n = 1").drop("n")
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, grouping_id(o_orderstatus, o_orderpriority) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
@@ -409,9 +411,9 @@ def u01_union_kinds(t: Tables) -> DataFrame:
     return a.unionByName(t.supplier.select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")))
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'signup' AND value > 25")
+@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' EXCEPT SELECT user_id FROM events WHERE event_type = 'signup' AND value > 60")
 def u06_difference(t: Tables) -> DataFrame:
-    return t.events.where("event_type = 'purchase'").select("user_id").distinct().join(t.events.where("event_type = 'signup' and value > 25").select("user_id"), "user_id", "left_anti")
+    return t.events.where("event_type = 'purchase'").select("user_id").distinct().join(t.events.where("event_type = 'signup' and value > 60").select("user_id"), "user_id", "left_anti")
 
 
 @query("SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'")
@@ -421,22 +423,17 @@ def u06_intersection(t: Tables) -> DataFrame:
 
 # ------------------------------------------------------------------ retrieval
 
-TERMS = ("the", "of")
-TERM_SQL = f"""t AS (SELECT doc_id, len(list_filter({LEX}, lambda x: x IN ('the', 'of'))) / len({LEX}) AS rank_value FROM documents WHERE list_has_all({LEX}, ['the', 'of'])),
-fts AS (SELECT doc_id, row_number() OVER (ORDER BY round(rank_value, 9) DESC, doc_id) AS rank FROM t QUALIFY rank <= 60)"""
+TERM_SQL = text_sql.STREAM
 VEC_SQL = """q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
 s AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT e FROM q) AS DOUBLE[])), 6) AS sim FROM embeddings WHERE vec_id <> 0),
 vec AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY sim DESC, vec_id) AS rank FROM s QUALIFY rank <= 60)"""
 LAB_SQL = "lab AS (SELECT doc_id, row_number() OVER (ORDER BY quality DESC, toxic, doc_id) AS rank FROM labels QUALIFY rank <= 60)"
 
 
-def text_stream(t: Tables, limit: int = 60) -> DataFrame:
-    low, q = F.lower("text"), F.array(*map(F.lit, TERMS))
-    d = t.documents.where(F.contains(low, F.lit(TERMS[0])) & F.contains(low, F.lit(TERMS[1])))
-    # Words are split once: the rank is null without a match, nulls come last and go after the limit.
-    ranked = F.transform(F.array(X.words("text")), lambda x: F.when(X.matches_all(x, q), F.round(X.term_rank(x, q), 9)))
-    d = d.select(F.col("doc_id").alias("object_id"), F.get(ranked, F.lit(0)).alias("v"))
-    return ranking.stream(d, "fts", [F.desc_nulls_last("v"), F.asc("object_id")], limit).where("v is not null").drop("v")
+def text_stream(t: Tables, limit: int = 60, question: str = "rewhing edon") -> DataFrame:
+    """The documents that hold all lexemes of the question, by cover density."""
+    d = fulltext.matching(t.documents.select(F.col("doc_id").alias("object_id"), "text"), "text", question)
+    return ranking.stream(d.select("object_id", F.round("v", 9).alias("v")), "fts", [F.desc("v"), F.asc("object_id")], limit).drop("v")
 
 
 def vector_stream(t: Tables, limit: int = 60) -> DataFrame:

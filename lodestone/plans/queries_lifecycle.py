@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import OVERLAY_DELTAS
+from ..functions import vocabulary as V
 from ..operators import lifecycle
 from .queries import Tables, query
 
@@ -70,3 +71,41 @@ def x03_cues(t: Tables) -> DataFrame:
     e = t.conversations.select(F.lit("default").alias("tenant"), F.lit("episode").alias("target_kind"), F.col("conv_id").cast("string").alias("target_id"), parts.alias("cues"))
     stored = t.spark.createDataFrame([], "tenant string, target_kind string, target_id string, cue_hash string, cue_text string, cue_type string, usefulness double")
     return lifecycle.cues(e, stored).select("target_id", "cue_hash", "cue_text")
+
+
+_CUE = "SELECT event_id, user_id, event_type || ' ' || (event_id % 40) AS t, CASE event_type WHEN 'error' THEN 'failure_mode' WHEN 'click' THEN 'action' ELSE 'goal' END AS k, CASE WHEN event_id % 3 = 0 THEN 'llm' ELSE 'manual' END AS m, CAST(CASE WHEN event_id % 5 = 0 THEN 0.7 ELSE least(1.0, value / 50) END AS DOUBLE) AS c FROM events"
+
+
+@query(f"""WITH e AS ({_CUE}), n AS (SELECT user_id, sha256(k || chr(31) || lower(t)) AS h, min({{'t': t, 'm': m, 'c': round(c, 6)}}) AS x, min(k) AS k FROM e WHERE event_id % 2 = 1 GROUP BY 1, 2),
+o AS (SELECT user_id, sha256(k || chr(31) || lower(t)) AS h, min(t) AS t, min(k) AS k, CASE WHEN user_id % 2 = 0 THEN 0.9 ELSE 0.1 END AS u FROM e WHERE event_id % 2 = 0 GROUP BY user_id, k, lower(t))
+SELECT CAST(coalesce(n.user_id, o.user_id) AS VARCHAR) AS target_id, coalesce(o.t, x.t) AS cue_text, coalesce(o.k, n.k) AS cue_type, CASE WHEN o.h IS NULL THEN x.m ELSE 'template' END AS extraction_method, CAST(CASE WHEN o.h IS NULL THEN x.c ELSE 0.25 END AS DOUBLE) AS confidence,
+CAST(CASE WHEN o.h IS NULL THEN 0.5 WHEN n.h IS NULL THEN u ELSE greatest(u, 0.5) END AS DOUBLE) AS usefulness FROM n FULL JOIN o ON n.user_id = o.user_id AND n.h = o.h""")
+def x03_cue_vocabulary(t: Tables) -> DataFrame:
+    """Cues of odd events over those of even ones: types and methods outside the vocabulary, confidences, the greater usefulness."""
+    e, i = t.events, F.col("event_id")
+    text = F.concat_ws(" ", "event_type", i % 40)
+    kind = F.when(F.col("event_type") == "error", "failure_mode").when(F.col("event_type") == "click", "action").otherwise(F.col("event_type"))
+    key = [F.lit("default").alias("tenant"), F.lit("fact").alias("target_kind"), F.col("user_id").cast("string").alias("target_id")]
+    cue = F.struct(text.alias("text"), kind.alias("type"), F.when(i % 3 == 0, "llm").otherwise("guess").alias("method"), F.when(i % 5 != 0, F.round(F.col("value") / 50, 6)).alias("confidence"))
+    known = F.when(F.col("event_type").isin("error", "click"), kind).otherwise("goal")
+    stored = e.where(i % 2 == 0).select(*key, "user_id", text.alias("cue_text"), known.alias("cue_type")).distinct()
+    mark = F.sha2(F.concat("cue_type", F.lit("\x1f"), F.lower("cue_text")), 256)
+    stored = stored.withColumns({"cue_hash": mark, "usefulness": F.when(F.col("user_id") % 2 == 0, 0.9).otherwise(0.1), "extraction_method": F.lit("template"), "confidence": F.lit(0.25)})
+    d = lifecycle.cues(e.where(i % 2 == 1).select(*key, F.array(cue).alias("cues")), stored)
+    return d.select("target_id", "cue_text", "cue_type", "extraction_method", F.round("confidence", 6).alias("confidence"), "usefulness")
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'fact_inserted' WHEN event_type = 'click' THEN 'tool_called' ELSE event_type END AS t, [NULL, 'fact', 'memory', 'working_memory', 'planet'][event_id % 5 + 1] AS k, event_id % 7 = 0 AS lone, event_id % 3 AS r FROM events)
+SELECT event_id, CASE WHEN t NOT IN ('fact_inserted', 'tool_called') THEN 'event type' WHEN k = 'planet' THEN 'target kind' WHEN (k IS NULL) <> (lone OR k IS NULL) THEN 'pair' WHEN k = 'memory' THEN 'durable' WHEN k = 'fact' AND NOT (t = 'fact_inserted' AND r = 1) THEN 'proof' END AS reason FROM e""")
+def f24_event_validation(t: Tables) -> DataFrame:
+    """Why each event would be refused: its type, its target's kind, half a target, or the evidence boundary."""
+    i = F.col("event_id")
+    kind = F.get(F.array(F.lit(None).cast("string"), *map(F.lit, ("fact", "memory", "working_memory", "planet"))), (i % 5).cast("int"))
+    e = t.events.select(i, F.when(F.col("event_type") == "error", "fact_inserted").when(F.col("event_type") == "click", "tool_called").otherwise(F.col("event_type")).alias("t"), kind.alias("k"))
+    target = F.when((i % 7 != 0) & F.col("k").isNotNull(), F.concat(F.lit("id-"), i))
+    refs = F.when(i % 3 == 1, F.lit('[{"note": 1}, {"segment_id": "s"}]')).when(i % 3 == 2, F.lit('[{"segment_id": " "}, {"segment_id": 5}, "x"]'))
+    d = e.withColumns({"target": target, "refs": refs})
+    checks = {"event type": V.choice(F.col("t"), V.EVENT_TYPES, "event type"), "target kind": V.choice(F.col("k"), V.TARGET_KINDS, "target kind"), "pair": V.target_pair(F.col("k"), F.col("target"))}
+    boundary = V.creation(F.col("t"), F.col("k"), F.col("refs"))
+    named = [F.when(c.isNotNull(), n) for n, c in checks.items()]
+    return d.select("event_id", V.first_reason(*named, F.when(boundary.contains("durable"), "durable").when(boundary.isNotNull(), "proof")).alias("reason"))

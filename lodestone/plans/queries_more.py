@@ -14,10 +14,10 @@ from .engine import Engine
 from .queries import EDGES_SQL, LAB_SQL, TERM_SQL, VEC_SQL, Tables, edges, label_stream, query, seeds, text_stream, ts, vector_stream
 
 
-@query("SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT -1 WHERE (SELECT count(*) - count(DISTINCT (conv_id, turn)) FROM conversations) > 0")
+@query("SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1 UNION ALL SELECT DISTINCT conv_id FROM conversations GROUP BY conv_id, role HAVING count(*) > 1")
 def s03_duplicate_keys(t: Tables) -> DataFrame:
     a = merge.duplicate_keys(t.documents, ["doc_id"]).select("doc_id")
-    b = merge.duplicate_keys(t.conversations, ["conv_id", "turn"]).limit(1).select(F.lit(-1).cast("long").alias("doc_id"))
+    b = merge.duplicate_keys(t.conversations, ["conv_id", "role"]).select(F.col("conv_id").alias("doc_id")).distinct()
     return a.union(b)
 
 
@@ -40,9 +40,9 @@ def f09_overlay_visibility(t: Tables) -> DataFrame:
     return t.events.select("event_id", "user_id").join(t.labels.where("toxic = 1").select(F.col("doc_id").alias("user_id")), "user_id", "left_anti").select("event_id")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE regexp_matches(lower(text), '(fail|failed|failure|unresolved|regress|regressed|unsuccessful|did not|error)')")
+@query("SELECT event_id FROM events WHERE regexp_matches(lower(concat_ws(' ', event_type, props)), '(fail|failed|failure|unresolved|regress|regressed|unsuccessful|did not|error)')")
 def f13_failure_signal(t: Tables) -> DataFrame:
-    return t.conversations.where(F.lower("text").rlike(S.FAILURE)).select("conv_id", "turn")
+    return t.events.where(F.lower(F.concat_ws(" ", "event_type", "props")).rlike(S.FAILURE)).select("event_id")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderdate > TIMESTAMP '1998-01-01'")

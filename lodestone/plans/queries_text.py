@@ -9,22 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fulltext
-from .queries import LEX, Tables, query
-
-FORMS = {
-    "rewh": "rewh rewhed rewhes rewhing rewhly rewhlyed rewhlying rewhingly",
-    "edon": "edon edonly edoning edoner edoned edones",
-    "hehe": "hehe hehely hehees heheed heheing",
-    "ater": "ater aterer atered atering aterly ateres",
-}
-QUESTIONS = ((0, "rewh edon"), (1, "the heheing, ATER"), (2, "ateres rewhly"), (3, "of the"), (4, "rewh nosuchword"))
-_STEM = "CASE " + " ".join(f"WHEN w IN ({', '.join(repr(f) for f in forms.split())}) THEN '{stem}'" for stem, forms in FORMS.items()) + " END"
-PLACES = f"""p AS (SELECT doc_id, i, {_STEM} AS k FROM (SELECT doc_id, unnest({LEX}) AS w, generate_subscripts({LEX}, 1) AS i FROM documents)), hits AS (SELECT * FROM p WHERE k IS NOT NULL)"""
-
+from .queries import Tables, query
+from .text_sql import PLACES, covers
 
-def _covers(a: str, b: str) -> str:
-    """SQL: (doc_id, r), the cover density of two lexemes: neighbouring hits of different lexemes are the covers."""
-    return f"""SELECT doc_id, sum(0.1 / (i - pi)) AS r FROM (SELECT doc_id, i, k, lag(i) OVER w AS pi, lag(k) OVER w AS pk FROM hits WHERE k IN ('{a}', '{b}') WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE k <> pk GROUP BY 1"""
+QUESTIONS = ((0, "rewh edon"), (1, "the heheing, ATER"), (2, "ateres rewhly"), (3, "of the"), (4, "rewh nosuchword"))
 
 
 @query(f"WITH {PLACES} SELECT doc_id FROM hits WHERE k IN ('rewh', 'edon', 'hehe') GROUP BY 1 HAVING count(DISTINCT k) = 3")
@@ -32,12 +20,12 @@ def f14_stemmed_match(t: Tables) -> DataFrame:
     return fulltext.matching(t.documents, "text", "Is the rewhing of an EDONER hehe?").select("doc_id")
 
 
-@query(f"WITH {PLACES} SELECT doc_id, round(r, 9) AS rank_value FROM ({_covers('rewh', 'edon')})")
+@query(f"WITH {PLACES} SELECT doc_id, round(r, 9) AS rank_value FROM ({covers('rewh', 'edon')})")
 def r02_cover_density(t: Tables) -> DataFrame:
     return fulltext.matching(t.documents, "text", "rewhing edon").select("doc_id", F.round("v", 9).alias("rank_value"))
 
 
-@query(f"""WITH {PLACES}, a AS (SELECT 0 AS query_id, * FROM ({_covers('rewh', 'edon')}) UNION ALL SELECT 1, * FROM ({_covers('hehe', 'ater')}) UNION ALL SELECT 2, * FROM ({_covers('ater', 'rewh')}))
+@query(f"""WITH {PLACES}, a AS (SELECT 0 AS query_id, * FROM ({covers('rewh', 'edon')}) UNION ALL SELECT 1, * FROM ({covers('hehe', 'ater')}) UNION ALL SELECT 2, * FROM ({covers('ater', 'rewh')}))
 SELECT query_id, doc_id, round(r, 9) AS rank_value, row_number() OVER (PARTITION BY query_id ORDER BY round(r, 9) DESC, doc_id) AS place FROM a QUALIFY place <= 20""")
 def r02_batch_search(t: Tables) -> DataFrame:
     questions = t.spark.createDataFrame(list(QUESTIONS), "query_id int, question string")
