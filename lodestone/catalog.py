@@ -43,8 +43,8 @@ DDL: dict[str, str] = {
     "event": f"event_id string, episode_id string, event_type string, event_at timestamp, description string, {_META}",
     "fact": f"fact_id string, subject_entity_id string, object_entity_id string, predicate string, object_value string, fact_kind string, assertion_class string, confidence double, current_status string, episode_id string, valid_from timestamp, valid_to timestamp, canonical_fingerprint string, created_run_id string, scope_path string, project_id string, priority int, importance int, embedding array<float>, {_META}",
     "fact_evidence": "fact_id string, segment_id string, excerpt string, extraction_method string, source_sha256 string, source_relpath string, excerpt_hash string, line_start int, line_end int, weight double, created_at timestamp",
-    "memory": f"memory_id string, memory_type string, title string, narrative string, lifecycle_state string, fingerprint string, confidence double, support_count int, contradiction_count int, priority int, scope_path string, project_id string, namespace string, governance_status string, source_class string, trust_class string, quality_score double, salience double, strength double, stability double, token_count long, pipeline_version string, model_name string, prompt_version string, embedding array<float>, {_META}",
-    "memory_support": "memory_id string, fact_id string, episode_id string, support_type string, notes string, tenant string",
+    "memory": f"memory_id string, memory_type string, title string, narrative string, lifecycle_state string, fingerprint string, confidence double, support_count int, contradiction_count int, priority int, scope_path string, project_id string, namespace string, governance_status string, source_class string, trust_class string, quality_score double, salience double, strength double, stability double, token_count long, pipeline_version string, model_name string, prompt_version string, embedding array<float>, last_supported_at timestamp, valid_from timestamp, {_META}",
+    "memory_support": "memory_id string, fact_id string, episode_id string, support_type string, notes string, tenant string, created_at timestamp",
     "review_queue": f"review_id string, target_type string, target_id string, reason string, status string, reviewed_at timestamp, {_META}",
     "schema_migration": "name string, checksum string, applied_at timestamp",
     "publish_note": f"memory_id string, note_path string, content_hash string, {_META}",

@@ -18,7 +18,7 @@ from ..functions import fulltext
 from ..functions import predicates as P
 from ..functions import scores as S
 from ..functions import text as X
-from ..operators import folds, graph, merge, mining, ranking, temporal, vectors
+from ..operators import folds, graph, merge, mining, ranking, revisions, snapshot, temporal, vectors
 
 #: Columns of a candidate; streams pad what they lack with nulls.
 CANDIDATE = "object_id string, object_type string, title string, summary string, confidence double, valid_from timestamp, valid_to timestamp, scope_path string, priority int"
@@ -270,9 +270,17 @@ class Engine:
             d = d.where(F.col("event_type") == event_type)
         return d.where(P.any_ilike(subject, "actor", "target", "location")) if subject else d
 
-    def timeline(self, subject: str | None = None, scope: str | None = None, event_type: str | None = None, start: Column | None = None, end: Column | None = None, limit: int = 50) -> DataFrame:
+    def with_frame_evidence(self, frames: DataFrame) -> DataFrame:
+        """Frames with the evidence of their own fact and segment: a row for each excerpt, nulls where there is none."""
+        e = self.catalog.read("fact_evidence").select(F.col("fact_id").alias("source_fact_id"), F.col("segment_id").alias("evidence_segment_id"), "excerpt", "source_relpath", "line_start", "line_end")
+        return frames.join(e, ["source_fact_id", "evidence_segment_id"], "left")
+
+    def timeline(self, subject: str | None = None, scope: str | None = None, event_type: str | None = None, start: Column | None = None, end: Column | None = None, limit: int = 50, evidence: bool = False) -> DataFrame:
         d = self.frames(subject, scope, event_type)
         d = d.where(P.within("time_start", start, end)) if start is not None or end is not None else d
+        if evidence:
+            d = self.with_frame_evidence(d)
+            return ranking.top(d, [F.asc_nulls_last("time_start"), F.asc("created_at"), F.asc("event_frame_id"), F.asc_nulls_first("excerpt")], P.bounded(limit, 1, 200))
         return ranking.top(d, [F.asc_nulls_last("time_start"), F.asc("created_at"), F.asc("event_frame_id")], P.bounded(limit, 1, 200))
 
     def before_after(self, at: Column, n: int = 3, subject: str | None = None, scope: str | None = None, event_type: str | None = None) -> DataFrame:
@@ -340,8 +348,30 @@ class Engine:
         rows = d.withColumn("item", item).withColumn("size", F.col("item.token_count")).withColumn("request", F.lit(question))
         return folds.pack(rows, ["request"], [F.desc("prompt_rank"), F.asc("memory_id")], "size", "item", budget)
 
+    def snapshots(self, requests: DataFrame, matches: DataFrame | None = None, markers: tuple[str, ...] = (), limit: int = snapshot.LIMIT) -> DataFrame:
+        """The memory snapshot of each request (``operators.snapshot``). Without ``matches`` the queries are searched for here:
+        a memory matches a request with all lexemes of its query, found by the rarest of them."""
+        memories = self.visible(self.table("memory"), "memory", "memory_id")
+        if matches is None:
+            asked = snapshot.resolve(requests, markers).where("query <> ''").select(F.col("request_id").alias("query_id"), F.col("query").alias("question"))
+            stored = fulltext.postings(memories.where(P.governed()), "memory_id", F.concat_ws(" ", "title", "narrative"))
+            matches = fulltext.batch_search(stored, asked, "memory_id", 10 * limit).select(F.col("query_id").alias("request_id"), "memory_id", F.col("rank_value").alias("text_rank"))
+        return snapshot.build(requests, memories, matches, markers, limit)
+
     # ------------------------------------------------------------------ consolidation
 
+    def revisions(self, now: Column, scope: str | None = None, limit: int | None = None) -> DataFrame:
+        """What memories call for: created, enriched, merged, demoted or retired (``operators.revisions``)."""
+        return revisions.proposals(self.table("memory"), self.catalog.read("memory_support"), self.table("fact"), now, scope, limit)
+
+    def contradiction_edges(self) -> tuple[DataFrame, DataFrame]:
+        """(new edges, memories whose contradictions rise by one): each memory that contradicts others gets an edge, not each pair."""
+        return mining.conflict_edges(self.table("memory").where(P.governed()), self.table("memory_cue"), self.table("memory_edge"), self.tenant)
+
+    def backfilled(self) -> DataFrame:
+        """The tenant's facts with times from episodes and supersession, and the rules that changed them."""
+        return temporal.backfill(self.table("fact"), self.table("episode"))
+
     def pattern_candidates(self) -> DataFrame:
         return mining.patterns(mining.trusted(self.table("fact")), ["subject_entity_id", "predicate", "fact_kind"], "episode_id", "object_value", "fact_id", "scope_path")
 

@@ -181,12 +181,6 @@ def r05_expansion(t: Tables) -> DataFrame:
     return ranking.top(d.select("doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")], 20)
 
 
-@query("""SELECT e.event_id, e.ts, c_name AS actor FROM events e JOIN customer ON c_custkey = user_id WHERE c_name ILIKE '%00000004%' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' ORDER BY ts NULLS LAST, event_id LIMIT 40""")
-def r14_timeline(t: Tables) -> DataFrame:
-    d = t.events.join(t.customer, F.col("user_id") == F.col("c_custkey")).where(P.any_ilike("00000004", "c_name") & P.within("ts", ts("2024-01-05 00:00:00"), ts("2024-01-25 00:00:00")))
-    return ranking.top(d.select("event_id", "ts", F.col("c_name").alias("actor")), [F.asc_nulls_last("ts"), F.asc("event_id")], 40)
-
-
 @query("""WITH f AS (SELECT CAST(l_suppkey AS VARCHAR) AS s, l_linestatus AS p, l_returnflag AS k, CAST(l_quantity AS VARCHAR) AS v, l_orderkey AS e, concat_ws('-', l_orderkey, l_linenumber) AS f FROM lineitem),
 c AS (SELECT s, p, k, count(DISTINCT e) AS n, count(DISTINCT f) AS facts FROM f GROUP BY 1, 2, 3 HAVING n >= 2), m AS (SELECT s, p, k, v FROM (SELECT s, p, k, v, count(*) AS q FROM f GROUP BY 1, 2, 3, 4) QUALIFY row_number() OVER (PARTITION BY s, p, k ORDER BY q DESC, v) = 1)
 SELECT s || ' ' || p || ' (' || k || ')' AS title, 'Pattern: ' || s || ' exhibits "' || p || '" behavior.' || chr(10) || 'Kind: ' || k || chr(10) || 'Support: ' || n || ' independent episodes confirm this pattern.' || chr(10) || 'Representative value: ' || v || chr(10)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lodestone.plans import queries, queries_ingest, queries_lifecycle, queries_more, queries_repair, queries_retrieval, queries_sources, queries_text, queries_upkeep  # noqa: F401
+from lodestone.plans import queries, queries_engine, queries_ingest, queries_lifecycle, queries_more, queries_repair, queries_retrieval, queries_sources, queries_text, queries_upkeep  # noqa: F401
 
 DIR = os.environ.get("LODESTONE_TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
