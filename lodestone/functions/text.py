@@ -42,6 +42,29 @@ REDACTIONS = (
     (r"\b[A-Za-z0-9_-]{32,}\b", "[REDACTED_TOKEN]"),
 )
 
+#: Secrets as they are taken out before a text leaves for an embedding service. Fixed values.
+SECRETS = (
+    (r"(?i)(?:AWS_SECRET_ACCESS_KEY|aws_secret_access_key)\s*[:=]\s*['\"]?([a-zA-Z0-9/+=]{30,})['\"]?", "aws_secret"),
+    (r"(?i)(?:api[_-]?key|apikey|client[_-]?secret|access[_-]?key|credential)\s*[:=]\s*['\"]?([a-zA-Z0-9_\-./+=]{16,})['\"]?", "api_key"),
+    (r"(?i)(?:password|passwd|pwd)\s*[:=]\s*['\"]?([^\s'\"]{8,})['\"]?", "password"),
+    (r"(?i)(?:token|secret)\s*[:=]\s*['\"]?([a-zA-Z0-9_\-.]{20,})['\"]?", "token"),
+    (r"(?i)(?:authorization\s*:\s*)?bearer\s+[a-zA-Z0-9._\-]{20,}", "bearer_token"),
+    (r"\beyJ[a-zA-Z0-9_\-]+?\.[a-zA-Z0-9_\-]+?\.[a-zA-Z0-9_\-]+", "jwt"),
+    (r"(?i)(?:session(?:id)?|cookie|refresh[_-]?token)\s*[:=]\s*['\"]?([^\s'\";]{16,})['\"]?", "session_secret"),
+    (r"-----BEGIN (?:OPENSSH |RSA |EC |DSA )?PRIVATE KEY-----[\s\S]*?-----END (?:OPENSSH |RSA |EC |DSA )?PRIVATE KEY-----", "private_key"),
+    (r"(?i)(?:postgresql|mysql|mongodb|redis):\/\/[^\s]+", "connection_string"),
+    (r"(?:sk-|pk_live_|pk_test_|sk_live_|sk_test_|ghp_|gho_|github_pat_|xox[baprs]-|ya29\.|hf_[A-Za-z0-9]{20,}|glpat-|sg\.[A-Za-z0-9._-]{20,})[a-zA-Z0-9_\-\.]{10,}", "vendor_key"),
+    (r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", "aws_access_key"),
+    (r"\"(?:type)\"\s*:\s*\"service_account\"[\s\S]{0,250}?\"private_key_id\"\s*:\s*\"[^\"]{16,}\"[\s\S]{0,250}?\"client_email\"\s*:\s*\"[^\"]+@[^\"]+\.iam\.gserviceaccount\.com\"", "google_service_account"),
+    (r"\bhttps:\/\/hooks\.slack\.com\/services\/[A-Z0-9]{8,}\/[A-Z0-9]{8,}\/[A-Za-z0-9]{20,}\b", "slack_webhook"),
+    (r"\bhttps:\/\/(?:canary\.|ptb\.)?discord(?:app)?\.com\/api\/webhooks\/\d{17,20}\/[A-Za-z0-9._-]{40,}\b", "discord_webhook"),
+    (r"\b\d{8,10}:[A-Za-z0-9_-]{35}\b", "telegram_bot_token"),
+    (r"\bnpm_[A-Za-z0-9]{36}\b", "npm_token"),
+    (r"\"auth\"\s*:\s*\"[A-Za-z0-9+/=]{20,}\"", "docker_auth"),
+    (r"(?i)machine\s+\S+\s+login\s+\S+\s+password\s+\S+", "netrc"),
+    (r"\b[A-Za-z0-9+/]{40,}={0,2}\b", "high_entropy"),
+)
+
 #: Messages without content. Fixed value.
 TRIVIAL = r"(?i)^(ok|okay|yes|no|yep|nope|thanks|thx|ty|sure|k|kk|lol|lmao|haha|hmm|ah|oh|nice|cool|great|done|got it|np)$"
 
@@ -82,6 +105,11 @@ def redact(text: Column | str) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), REDACTIONS, col(text))
 
 
+def redact_secrets(text: Column | str) -> Column:
+    """The text with every secret of SECRETS as ``[REDACTED:kind]``, tried in their order."""
+    return reduce(lambda c, p: F.regexp_replace(c, p[0], f"[REDACTED:{p[1]}]"), SECRETS, col(text))
+
+
 def token_estimate(text: Column | str) -> Column:
     """ceil(max(length / 4, words * 1.3)), at least 1; 0 for blank text."""
     t = F.trim(F.regexp_replace(col(text), r"^\s+|\s+$", ""))

@@ -5,6 +5,9 @@ Changes are rewrites with a ``touched`` flag, as in ``merge``; ``now`` is a colu
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,3 +165,37 @@ def extremes(cases: DataFrame, score: str, key: str, n: int = 5) -> DataFrame:
     best = cases.orderBy(F.desc(score), F.desc(key)).limit(n).withColumn("side", F.lit("best"))
     order = Window.partitionBy("side").orderBy(F.when(F.col("side") == "worst", F.col(score)).otherwise(-F.col(score)), F.when(F.col("side") == "worst", F.col(key)).otherwise(-F.col(key)))
     return worst.unionByName(best).withColumn("place", F.row_number().over(order).cast("long"))
+
+
+#: Sources that are extracted by themselves once they are archived. Fixed values.
+PENDING_SOURCES = ("vault_incident", "claude_session")
+COUNTED = ("artifact", "entity", "episode", "fact", "memory", "segment", "memory_support", "fact_evidence")
+
+
+def pending_artifacts(artifacts: DataFrame) -> DataFrame:
+    """Artifacts of PENDING_SOURCES that wait for extraction, with their place: the oldest first."""
+    d = artifacts.where(F.col("source_type").isin(*PENDING_SOURCES) & ~F.coalesce(F.col("preservation_state").isin("extracted", "published"), F.lit(False)))
+    return d.select("artifact_id", "source_key", "original_path", "source_type", "discovered_at")
+
+
+def outcomes(extracted: DataFrame, gated: DataFrame) -> DataFrame:
+    """(artifact_id, state, reason): what became of each artifact of a batch. One that failed does not hold up others: its rows
+    and reasons are set apart. extracted: (artifact_id, error or null); gated: (artifact_id, reject_reason or null) for each fact."""
+    g = gated.groupBy("artifact_id").agg(F.count("*").alias("n"), F.count("reject_reason").alias("bad"), F.min("reject_reason").alias("why"))
+    d = extracted.groupBy("artifact_id").agg(F.max("error").alias("error")).join(g, "artifact_id", "left")
+    state = F.when(F.col("error").isNotNull(), "failed").when((F.col("n") > 0) & (F.col("bad") == F.col("n")), "rejected").otherwise("extracted")
+    return d.select("artifact_id", state.alias("state"), F.coalesce("error", F.when(state == "rejected", F.col("why"))).alias("reason"))
+
+
+def status(tables: Mapping[str, DataFrame], now: Column, stale_months: int = 6) -> DataFrame:
+    """(name, n): rows of the COUNTED tables, published memories without recent support, and milestones (facts of priority 1)."""
+    rows = [tables[t].agg(F.count("*").alias("n")).select(F.lit(f"rows:{t}").alias("name"), "n") for t in COUNTED if t in tables]
+    memory = tables["memory"]
+    stale = memory.where((F.col("lifecycle_state") == "published") & (F.col("last_supported_at") < now - F.make_interval(months=F.lit(stale_months))))
+    rows += [stale.agg(F.count("*").alias("n")).select(F.lit("stale memories").alias("name"), "n"), tables["fact"].where("priority = 1").agg(F.count("*").alias("n")).select(F.lit("milestones").alias("name"), "n")]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+def time_coverage(facts: DataFrame) -> DataFrame:
+    """One row: facts with a start, with an end, and all."""
+    return facts.agg(F.count("valid_from").alias("with_start"), F.count("valid_to").alias("with_end"), F.count("*").alias("facts"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..operators import embedding, temporal, upkeep
 from ..operators.written import folder as scratch
 from ..sources import agent_exports, readers
 from ..streaming import intake, streams
@@ -181,3 +183,105 @@ def s07_rejected_paths(t: Tables) -> DataFrame:
 CASE WHEN full_ THEN 'Body ' || k WHEN plain THEN 'plain ' || k ELSE concat('[Index-only: ', CASE WHEN k % 3 <> 0 THEN 'summary of ' || p_name ELSE '' END, ']') END) AS content FROM d""")
 def s07_segments(t: Tables) -> DataFrame:
     return agent_exports.shared_memory(*shared_tables(t))[1]
+
+
+# ------------------------------------------------------------------ memories written by an assistant
+
+
+def auto_files(t: Tables) -> DataFrame:
+    """Documents as memory files, most of them with front matter, and an index file."""
+    i = F.col("doc_id")
+    name = F.concat(F.get(F.array(*map(F.lit, ("feedback_", "playbook_", "misc "))), (i % 3).cast("int")), i, F.when(i % 10 == 9, ".txt").otherwise(".md"))
+    head = F.concat(F.lit("---\nname: Name "), i, F.when(i % 2 == 0, F.lit("\ntype: project")).otherwise(""), F.lit("\ndescription: about "), i, F.lit("\noriginSessionId: s"), i % 7, F.lit("\ntags: [a, b]\n---\n"))
+    body = F.concat(F.lit("body of "), i)
+    return t.documents.select(F.concat(F.lit("memory/"), name).alias("path"), F.when(i % 4 == 3, body).otherwise(F.concat(head, body)).alias("text")).unionByName(t.region.limit(1).select(F.lit("memory/MEMORY.md").alias("path"), F.lit("index").alias("text")))
+
+
+@query("""WITH d AS (SELECT doc_id AS i, 'pai_auto_memory:' || ['feedback_', 'playbook_', 'misc_'][doc_id % 3 + 1] || doc_id AS k, CASE WHEN doc_id % 2 = 0 AND doc_id % 4 <> 3 THEN 'project' ELSE ['feedback', 'playbook', 'auto'][doc_id % 3 + 1] END AS t, doc_id % 4 <> 3 AS h FROM documents WHERE doc_id % 10 <> 9)
+SELECT k AS subject, 'pai_auto_memory_type' AS predicate, t AS value, 'state' AS kind, CAST(1.0 AS DOUBLE) AS confidence FROM d UNION ALL SELECT k, 'pai_auto_memory_content', 'body of ' || i, CASE t WHEN 'feedback' THEN 'constraint' WHEN 'playbook' THEN 'remediation' ELSE 'state' END, 0.9 FROM d UNION ALL
+SELECT k, 'description', 'about ' || i, 'state', 0.9 FROM d WHERE h UNION ALL SELECT k, 'origin_session', 's' || (i % 7), 'state', 1.0 FROM d WHERE h UNION ALL SELECT k, 'tagged', unnest(['a', 'b']), 'state', 1.0 FROM d WHERE h""")
+def s15_auto_memories(t: Tables) -> DataFrame:
+    return agent_exports.auto_memories(auto_files(t))[0].select("subject", "predicate", "value", "kind", "confidence")
+
+
+# ------------------------------------------------------------------ embedding
+
+
+_WORD = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, md5(unnest({_WORD})) AS h FROM documents), b AS (SELECT doc_id, CAST('0x' || substr(h, 1, 4) AS INTEGER) % 384 AS b, sum(CASE WHEN CAST('0x' || substr(h, 5, 1) AS INTEGER) % 2 = 0 THEN 1 ELSE -1 END) AS v FROM w GROUP BY 1, 2),
+s AS (SELECT doc_id, count(*) FILTER (v <> 0) AS used, max(v) / sqrt(sum(v * v)) AS top FROM b GROUP BY 1) SELECT doc_id, coalesce(used, 0) AS used, round(greatest(coalesce(top, 0), 0), 5) AS top FROM documents LEFT JOIN s USING (doc_id)""")
+def s19_hash_vectors(t: Tables) -> DataFrame:
+    """Every document embedded in batches by the encoder without a model: places in use and the greatest value of its vector."""
+    d = embedding.embed(t.documents.select("doc_id", "text"), "text", embedding.hash_encoder())
+    return d.select("doc_id", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("used"), F.round(F.greatest(F.array_max("embedding"), F.lit(0.0)).cast("double"), 5).alias("top"))
+
+
+def embedding_tables(t: Tables) -> dict[str, DataFrame]:
+    """Documents as segments, orders and their lines as facts and evidence, parts as procedures, pages as media, customers as regions; some have vectors."""
+    tenant, text_ = F.lit("default").alias("tenant"), lambda c: F.col(c).cast("string")
+    none, made = F.lit(None).cast("string"), F.lit("2024-01-01").cast("timestamp")
+    ids = {c: F.lit(None).cast("string").alias(c) for c in ("segment_id", "fact_id", "procedure_id", "media_id", "region_id")}
+    has = lambda d, role, key, c: d.select(F.lit(role).alias("role"), *[text_(key).alias(c) if k == c else v for k, v in ids.items()])
+    index = has(t.documents.where("doc_id % 2 = 0"), "text", "doc_id", "segment_id").unionByName(has(t.orders.where("o_orderkey % 5 <> 0"), "evidence", "o_orderkey", "fact_id")).unionByName(has(t.customer.where("c_custkey % 3 = 0"), "visual_ocr", "c_custkey", "region_id"))
+    return {
+        "segment": t.documents.select(tenant, text_("doc_id").alias("segment_id"), F.substring("text", 1, 9000).alias("content"), made.alias("created_at")),
+        "fact": t.orders.select(tenant, text_("o_orderkey").alias("fact_id"), F.col("o_orderpriority").alias("predicate"), F.col("o_orderstatus").alias("object_value")),
+        "fact_evidence": t.lineitem.where("l_linenumber <= 2").select(text_("l_orderkey").alias("fact_id"), F.when(F.col("l_linenumber") == 1, F.concat(F.lit("password="), "l_partkey", F.lit("-longsecret"))).alias("excerpt"), made.alias("created_at")),
+        "procedure": t.part.select(tenant, text_("p_partkey").alias("procedure_id"), F.col("p_name").alias("title"), F.when(F.col("p_size") > 10, F.col("p_type")).alias("summary"), F.when(F.col("p_partkey") % 4 == 0, "retired").alias("lifecycle_state"), made.alias("updated_at")),
+        "media_artifact": t.pages.select(tenant, text_("page_id").alias("media_id"), none.alias("caption"), F.when(F.col("page_id") % 2 == 0, F.create_map(F.lit("title"), F.col("url"), F.lit("alt_text"), F.lit("alt"))).alias("media_meta"), made.alias("created_at")),
+        "visual_region": t.customer.select(tenant, text_("c_custkey").alias("region_id"), text_("c_nationkey").alias("media_id"), F.when(F.col("c_custkey") % 7 == 0, " ").otherwise(F.col("c_name")).alias("label"), none.alias("ocr_text"), F.create_map(F.lit("text"), F.col("c_mktsegment")).alias("region_meta"), made.alias("created_at")),
+        "embedding_index": index,
+    }
+
+
+@query("""SELECT 'text' AS role, CAST(doc_id AS VARCHAR) AS target_id, count(*) AS n, CAST(NULL AS VARCHAR) AS text FROM documents WHERE doc_id % 2 <> 0 AND trim(text) <> '' GROUP BY 1, 2 UNION ALL
+SELECT 'evidence', CAST(l_orderkey AS VARCHAR), count(*), max(CASE WHEN l_linenumber = 1 THEN '[REDACTED:password]' ELSE o_orderpriority || ' ' || o_orderstatus END) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 2 AND l_orderkey % 5 = 0 GROUP BY 1, 2 UNION ALL
+SELECT 'procedure', CAST(p_partkey AS VARCHAR), 1, trim(p_name || CASE WHEN p_size > 10 THEN ' ' || p_type ELSE '' END) FROM part WHERE p_partkey % 4 <> 0 UNION ALL SELECT 'media_caption', CAST(page_id AS VARCHAR), 1, url FROM pages WHERE page_id % 2 = 0 UNION ALL
+SELECT 'visual_ocr', CAST(c_custkey AS VARCHAR), 1, c_mktsegment FROM customer JOIN pages ON page_id = c_nationkey WHERE c_custkey % 3 <> 0 UNION ALL SELECT 'visual_caption', CAST(c_custkey AS VARCHAR), 1, c_name FROM customer JOIN pages ON page_id = c_nationkey WHERE c_custkey % 7 <> 0""")
+def s21_role_candidates(t: Tables) -> DataFrame:
+    """What is still to be embedded, for six roles; texts of segments are left to the tests."""
+    d = embedding.candidates(embedding_tables(t)).withColumn("text", F.when(F.col("role") != "text", F.col("text")))
+    return d.groupBy("role", "target_id").agg(F.count("*").alias("n"), F.max("text").alias("text"))
+
+
+@query(r"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'use [REDACTED:password] now' WHEN 1 THEN '[REDACTED:bearer_token]' WHEN 2 THEN 'at [REDACTED:connection_string] end' WHEN 3 THEN '[REDACTED:vendor_key]!' WHEN 4 THEN 'key [REDACTED:aws_access_key].' ELSE event_type || ' ' || CAST(event_id AS VARCHAR) END AS text FROM events""")
+def t12_redacted_secrets(t: Tables) -> DataFrame:
+    """Events as texts with secrets of five kinds, or none."""
+    i = F.col("event_id")
+    number = F.lpad(i.cast("string"), 12, "0")
+    kinds = [F.concat(F.lit("use password: pw"), number, F.lit(" now")), F.concat(F.lit("Authorization: Bearer abcdefghijklmnop"), number), F.concat(F.lit("at redis://h/"), number, F.lit(" end")), F.concat(F.lit("ghp_abcdef"), number, F.lit("!")), F.concat(F.lit("key AKIA0000"), number, F.lit("."))]
+    text = F.concat_ws(" ", "event_type", i.cast("string"))
+    for k, x in enumerate(kinds):
+        text = F.when(i % 6 == k, x).otherwise(text)
+    return t.events.select("event_id", X.redact_secrets(text).alias("text"))
+
+
+# ------------------------------------------------------------------ what is there
+
+
+@query("""WITH m AS (SELECT doc_id, doc_id % 2 = 0 AS published, TIMESTAMP '2024-01-20' - to_days(CAST(doc_id % 400 AS INTEGER)) AS seen FROM documents) SELECT 'rows:memory' AS name, count(*) AS n FROM m UNION ALL SELECT 'rows:fact', count(*) FROM orders UNION ALL
+SELECT 'rows:segment', count(*) FROM conversations UNION ALL SELECT 'stale memories', count(*) FROM m WHERE published AND seen < TIMESTAMP '2024-01-20' - INTERVAL 6 MONTH UNION ALL SELECT 'milestones', count(*) FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def a13_status(t: Tables) -> DataFrame:
+    now = F.lit("2024-01-20").cast("timestamp")
+    memory = t.documents.select(F.when(F.col("doc_id") % 2 == 0, "published").otherwise("draft").alias("lifecycle_state"), (now - F.make_dt_interval(days=(F.col("doc_id") % 400).cast("int"))).alias("last_supported_at"))
+    return upkeep.status({"memory": memory, "fact": t.orders.select(F.substring("o_orderpriority", 1, 1).cast("int").alias("priority")), "segment": t.conversations}, now)
+
+
+@query("""WITH f AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate ELSE o_orderdate END AS a, CASE WHEN l_linenumber % 3 = 0 AND o_orderstatus <> 'P' THEN 1 END AS b FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey) SELECT count(a) AS with_start, count(b) AS with_end, count(*) AS facts FROM f""")
+def a29_time_coverage(t: Tables) -> DataFrame:
+    """How many facts have times after a backfill in which no value is superseded."""
+    n = F.col("l_linenumber")
+    facts = t.lineitem.select(F.col("l_orderkey").alias("episode_id"), F.concat_ws("-", "l_orderkey", n, "l_partkey").alias("subject_entity_id"), F.lit("p").alias("predicate"), F.when(n % 3 == 0, "cause").otherwise("state").alias("fact_kind"), F.lit("v").alias("object_value"), F.when(n % 2 == 0, F.col("l_shipdate")).alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.lit("active").alias("current_status"))
+    episodes = t.orders.select(F.col("o_orderkey").alias("episode_id"), F.col("o_orderdate").alias("start_at"), F.col("o_orderdate").alias("end_at"), F.when(F.col("o_orderstatus") == "P", "open").otherwise("closed").alias("outcome"))
+    return upkeep.time_coverage(temporal.backfill(facts, episodes))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, o_orderkey % 10 = 0 AS broken FROM orders WHERE o_orderkey % 2 = 0), g AS (SELECT l_orderkey AS id, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS bad FROM lineitem GROUP BY 1)
+SELECT id AS artifact_id, CASE WHEN broken THEN 'failed' WHEN n > 0 AND n = bad THEN 'rejected' ELSE 'extracted' END AS state, CASE WHEN broken THEN 'no such file' WHEN n > 0 AND n = bad THEN 'flag R' END AS reason FROM a LEFT JOIN g USING (id)""")
+def s24_extraction_outcomes(t: Tables) -> DataFrame:
+    """Orders as artifacts, lines as their facts: artifacts that failed or were rejected stand beside the others."""
+    extracted = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("artifact_id"), F.when(F.col("o_orderkey") % 10 == 0, "no such file").alias("error"))
+    gated = t.lineitem.select(F.col("l_orderkey").alias("artifact_id"), F.when(F.col("l_returnflag") == "R", "flag R").alias("reject_reason"))
+    return upkeep.outcomes(extracted, gated)

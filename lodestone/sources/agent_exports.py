@@ -204,3 +204,41 @@ def shared_memory(documents: DataFrame, files: DataFrame, instances: DataFrame)
     content = F.array_join(F.array(line("Kind", F.col("kind")), line("Domain", F.col("domain")), line("Title", F.col("title")), line("Summary", F.coalesce(F.nullif(F.col("summary"), none), F.lit("N/A"))), line("Confidence", F.coalesce(F.col("confidence").cast("string"), none)), none, body), "\n")
     segments = d.select("id", F.substring("title", 1, LABEL_CHARS).alias("label"), content.alias("content"))
     return facts, segments, rejected
+
+
+# ------------------------------------------------------------------ memories that an assistant writes by itself
+
+#: Types told by a file's name, and the kinds of fact that types are. Fixed values.
+AUTO_TYPES = ("feedback", "project", "playbook", "reference")
+AUTO_KINDS = {"feedback": "constraint", "playbook": "remediation"}
+AUTO, AUTO_BODY, AUTO_SEGMENT = "pai_auto_memory", 4000, 8000
+
+
+def auto_memories(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, segments) of memory files (path, text); the index file ``MEMORY.md`` and other files than Markdown are left out.
+
+    Two files whose names give one key are an error, as facts of one would be taken for those of the other.
+    """
+    d = files.where(F.col("path").endswith(".md") & (F.element_at(F.split("path", "/"), -1) != "MEMORY.md"))
+    t, none = F.coalesce("text", F.lit("")), F.lit("")
+    slug = F.regexp_extract("path", r"([^/]+)\.md$", 1)
+    d = d.select("path", slug.alias("slug"), t.alias("text"), front_matter(t).alias("front"), front_list(t, "tags").alias("tags"), F.regexp_replace(F.regexp_replace(t, r"(?s)\A---\r?\n.*?\r?\n---", ""), r"^\s+|\s+$", "").alias("body"))
+    get = lambda k: F.nullif(F.try_element_at("front", F.lit(k)), none)
+    guessed = F.coalesce(*[F.when(F.col("slug").startswith(k + "_"), k) for k in AUTO_TYPES], F.lit("auto"))
+    key = F.concat(F.lit(AUTO + ":"), F.regexp_replace(F.regexp_replace(F.trim("slug"), r"\s+", "_"), r"[^A-Za-z0-9_.:-]", "_"))
+    same = Window.partitionBy("key")
+    d = d.withColumns({"key": key, "type": F.coalesce(get("type"), guessed), "tags": F.coalesce("tags", F.array().cast("array<string>"))}).withColumn("_n", F.count("*").over(same))
+    d = d.withColumn("key", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("two files have the key "), "key")).cast("string")).otherwise(F.col("key")))
+    kind = F.coalesce(*[F.when(F.col("type") == k, v) for k, v in AUTO_KINDS.items()], F.lit("state"))
+    k = F.col("key")
+    facts = (
+        _facts(d, k, AUTO + "_type", F.col("type"))
+        .unionByName(_facts(d, k, AUTO + "_content", F.substring("body", 1, AUTO_BODY), kind, "human_curated", 0.9))
+        .unionByName(_facts(d, k, "description", get("description"), "state", "human_curated", 0.9))
+        .unionByName(_facts(d, k, "origin_session", get("originsessionid")))
+        .unionByName(_facts(d.select("key", F.explode("tags").alias("x")), k, "tagged", F.col("x")))
+    )
+    said = lambda name, value, other="none": F.concat(F.lit(f"{name}: "), F.coalesce(F.nullif(value, none), F.lit(other) if isinstance(other, str) else other))
+    content = F.array_join(F.array(F.concat(F.lit("Slug: "), "slug"), said("Name", get("name"), F.col("slug")), said("Type", F.col("type")), said("Description", get("description")), said("Origin session", get("originsessionid")), said("Tags", F.array_join("tags", ", ")), none, F.col("body")), "\n")
+    segments = d.select("key", F.substring(F.coalesce(get("name"), "slug"), 1, LABEL_CHARS).alias("label"), F.substring(content, 1, AUTO_SEGMENT).alias("content"), F.concat(F.lit("assistant:pai/auto/"), "type").alias("scope_path"), F.size(F.split("text", r"\r?\n")).alias("line_end"))
+    return facts, segments
