@@ -67,7 +67,12 @@ def rerank_score(total: Column, f: dict[str, Column]) -> Column:
 
 
 def nearest_rank(df: DataFrame, value: str, shares: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """Nearest-rank percentiles: the value at rank ceil(share * n)."""
-    counted = df.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_v"))
-    at = lambda p: F.element_at("_v", F.greatest(F.lit(1), F.ceil(F.size("_v") * p)).cast("int"))
-    return counted.select(*keys, F.size("_v").cast("long").alias("n"), *[at(p).alias(f"p{int(p * 100)}") for p in shares])
+    """Nearest-rank percentiles: the value at rank ceil(share * n). Nulls do not count.
+
+    Equal values are counted first; a running sum over a key's distinct values then passes each rank, so no key is an array.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    by = Window.partitionBy(*(keys or [F.lit(0)]))
+    d = counted.withColumns({"_to": F.sum("_c").over(by.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(by)})
+    at = lambda p: F.min(F.when(F.col("_to") >= F.greatest(F.lit(1), F.ceil(F.col("_n") * p)), F.col("_v")))
+    return d.groupBy(*keys).agg(F.max("_n").alias("n"), *[at(p).alias(f"p{int(p * 100)}") for p in shares])

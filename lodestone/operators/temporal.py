@@ -19,17 +19,25 @@ def around(events: DataFrame, at: Column, ts: str, key: str, n: int, tie: str |
     return before.unionByName(after).orderBy(*[F.asc_nulls_last(c) for c in by])
 
 
-def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, take: Sequence[str]) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, take: Sequence[str], bucket_s: int | None = None) -> DataFrame:
     """For each left row the last right row of its key at or before its time.
 
     One union and one window over (key, time): linear, and no range join. Right rows sort before left rows of
-    the same time. A hot key's rows meet in one window partition; add a time bucket to ``keys`` where that matters.
+    the same time. With ``bucket_s`` the window is one of (key, time bucket), so that a busy key is many tasks: the last
+    right row of each bucket is found first, and each bucket begins with the last one of those before it.
     """
     held = F.struct(F.col(right_ts).alias("_ts"), *[F.col(c) for c in take])
-    r = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), held.alias("_held"))
-    l = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
+    number = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / bucket_s) if bucket_s else F.lit(0).cast("long")
+    r = right.select(*keys, number(right_ts).alias("_b"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), held.alias("_held"))
+    l = left.select(*keys, number(left_ts).alias("_b"), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
     both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    if bucket_s:
+        ends = r.groupBy(*keys, "_b").agg(F.max_by("_held", "_t").alias("_end"))
+        every = l.select(*keys, "_b").unionByName(r.select(*keys, "_b")).distinct().join(ends, [*keys, "_b"], "left")
+        before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+        begin = every.select(*keys, "_b", F.lit(-1).alias("_side"), before.alias("_held")).where("_held is not null")
+        both = both.unionByName(begin, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_b").orderBy(F.asc_nulls_first("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_last", F.last("_held", ignorenulls=True).over(w)).where("_side = 1")
     return out.select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in take])
 

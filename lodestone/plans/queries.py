@@ -214,7 +214,7 @@ def j15_before_after(t: Tables) -> DataFrame:
 @query("""SELECT e.event_id, p.event_id AS last_signup FROM events e ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'signup') p ON e.user_id = p.user_id AND e.ts >= p.ts WHERE e.event_type = 'error'""")
 def j15_as_of_join(t: Tables) -> DataFrame:
     right = t.events.where("event_type = 'signup'").select("user_id", F.col("ts").alias("rts"), F.col("event_id").alias("last_signup"))
-    return temporal.asof(t.events.where("event_type = 'error'").select("event_id", "user_id", "ts"), right, ["user_id"], "ts", "rts", ["last_signup"]).select("event_id", "last_signup")
+    return temporal.asof(t.events.where("event_type = 'error'").select("event_id", "user_id", "ts"), right, ["user_id"], "ts", "rts", ["last_signup"], 86400).select("event_id", "last_signup")
 
 
 @query("""WITH i AS (SELECT event_id AS w, ts AS s, ts + INTERVAL 10 MINUTE AS e FROM events WHERE event_type = 'error' AND value > 20)

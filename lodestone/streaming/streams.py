@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.predicates import claimable
 from ..functions.scores import backoff_seconds
+from ..operators.upkeep import prune_outbox as prune  # noqa: F401
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -79,8 +80,3 @@ def settle(claimed: DataFrame, outcome: DataFrame, now: Column, max_attempts: in
 def outbox_stats(outbox: DataFrame) -> DataFrame:
     s = F.col("status")
     return outbox.agg(F.count("*").alias("total"), *[F.count_if(s == x).alias(x) for x in ("pending", "processing", "completed", "failed", "dead_letter")], F.min(F.when(s == "pending", F.col("received_at"))).alias("oldest_pending"))
-
-
-def prune(outbox: DataFrame, before: Column) -> DataFrame:
-    """The outbox without completed and dead rows received before a time."""
-    return outbox.where(~(F.col("status").isin("completed", "dead_letter") & (F.col("received_at") < before)))
