@@ -16,7 +16,7 @@ No group is ever expanded into all its pairs:
    places of their own, so the rarest elements of a difference, as many as the exact threshold
    asks for (prefix and position filter), meet few others. Only pairs found so are compared.
    A group may hold crowds of its own, such as copies of another edition: of the members that are not linked with the pivot,
-   those of bands that ``CROWD`` of them share get pivots of their own, again and again until no such crowd is linked any further. What
+   those of bands that ``CROWD`` of them share get pivots of their own, the least member of each one's greatest band. What
    one pivot links is connected, so the look-up is for pairs of different crowds only, and elements that one crowd alone
    holds are not looked up at all.
 4. Members farther than ``NEAR`` from the pivot get a pivot of their own group in a next turn; after ``TURNS``
@@ -48,8 +48,8 @@ ship(__name__)
 PERMUTATIONS, ROWS, PARTNERS = 65, 5, 128
 #: Turns with a pivot, and the distance (per cent) within which a node is settled by one.
 TURNS, NEAR = 2, 50
-#: Members of a band from which on they get a pivot of their own.
-CROWD = 16
+#: Members of a band from which on they get a pivot of their own, and how often that is tried.
+CROWD, ROUNDS = 16, 8
 _RNG = np.random.Generator(np.random.PCG64(42))
 #: Odd multipliers and offsets of the permutations of 32 bit values.
 A = (_RNG.integers(0, 1 << 31, PERMUTATIONS, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -171,39 +171,51 @@ def _placed(members: DataFrame) -> DataFrame:
     return materialize(nodes.join(pivots, "g").select("id", "v", "n", "g", F.col("p.id").alias("p"), F.col("p.v").alias("pv"), F.col("p.n").alias("pn"), "salts"))
 
 
-def _met(placed: DataFrame, sets: DataFrame, heads: DataFrame) -> DataFrame:
-    """Nodes with their pivot's set compared: (g, id, v, n, pn, p, common, d). Pivots' sets are salted. heads: all nodes of the groups."""
+def _met(placed: DataFrame, sets: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Nodes (g, id, v, n, p, pn, salts) with their pivot's set compared: (g, id, v, n, pn, p, common, d). pivots: (g, p, pv, salts)."""
     kind = _kind(placed, "id")
     left = placed.join(sets, ["id", "v"]).withColumn("salt", F.pmod(F.xxhash64("id", "v"), "salts")).drop("salts")
-    pivots = heads.where("id = p and v = pv").join(sets, ["id", "v"]).dropDuplicates(["g"]).select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("hashes").alias("p_hashes"))
-    return left.join(pivots, ["g", "salt"]).select("g", "id", "v", "n", "pn", "p", "hashes", "p_hashes").mapInArrow(_difference, f"g {kind}, id {kind}, v long, n long, pn long, p {kind}, common long, d array<long>")
+    of = sets.select(F.col("id").alias("p"), F.col("v").alias("pv"), F.col("hashes").alias("p_hashes"))
+    salted = pivots.join(of, ["p", "pv"]).dropDuplicates(["g"]).select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "p_hashes")
+    return left.join(salted, ["g", "salt"]).select("g", "id", "v", "n", "pn", "p", "hashes", "p_hashes").mapInArrow(_difference, f"g {kind}, id {kind}, v long, n long, pn long, p {kind}, common long, d array<long>")
 
 
-def _crowds(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(id, v, label): the nodes of crowded bands that link with the pivot of their crowd, which is the label. rows: (band, id, v, n).
+def _crowds(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame] | None:
+    """(links (a, b), labels (id, v, label)) of the nodes that link with the pivot of their crowd. rows: (band, id, v, n).
 
-    A round takes the pivots and what they link out of the rows; it is the last one if it linked nothing.
+    A node's crowd is its band with the most nodes, the pivot that band's least id. A pivot may link with that of a greater band,
+    so a label is followed to its end. Crowds of what did not link are looked for again, while that links a crowd's worth
+    of nodes and ``ROUNDS`` times at most: labels only save look-ups, which find what they leave.
     """
     found = None
-    while True:
+    for _ in range(ROUNDS):
         crowd = _shared(rows, CROWD)
         if crowd.isEmpty():
-            return found
-        placed = _placed(crowd)
-        linked = _met(placed, sets, placed).where(f"100 * common >= {percent} * (n + pn - common)")
+            break
+        nodes = crowd.groupBy("id", "v", "n").agg(F.max_by("lead", F.struct("m", "band")).alias("p"))
+        which = crowd.groupBy(F.col("id").alias("p")).agg(F.min(F.struct("v", "n")).alias("x")).select("p", F.col("x.v").alias("pv"), F.col("x.n").alias("pn"))
+        pivots = materialize(nodes.groupBy("p").agg((F.floor((F.count("*") - 1) / PARTNERS) + 1).alias("salts")).join(which, "p").withColumn("g", F.col("p")))
+        linked = _met(nodes.join(pivots.select("g", "p", "pn", "salts"), "p"), sets, pivots).where(f"id <> p and 100 * common >= {percent} * (n + pn - common)")
         linked = materialize(linked.select("id", "v", F.col("p").alias("label")))
-        if linked.where("id <> label").isEmpty():
-            return found
         found = linked if found is None else found.union(linked)
-        rows = materialize(rows.join(linked.select("id", "v"), ["id", "v"], "left_anti"))
-
-
-def _labelled(nodes: DataFrame, crowds: DataFrame | None) -> DataFrame:
+        if linked.count() < CROWD:
+            break
+        gone = linked.select("id").union(linked.select(F.col("label").alias("id"))).distinct()
+        rows = materialize(rows.join(gone, "id", "left_anti"))
+    if found is None:
+        return None
+    labels, next_ = found, found.groupBy(F.col("id").alias("label")).agg(F.min("label").alias("_next"))
+    for _ in range(2):
+        labels = labels.join(next_, "label", "left").select("id", "v", F.coalesce("_next", "label").alias("label"))
+    return found.select(F.col("id").alias("a"), F.col("label").alias("b")), materialize(labels.groupBy("id", "v").agg(F.min("label").alias("label")))
+
+
+def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     """``nodes`` (id, v, linked, p) with the label of their crowd, of the pivot they are linked with, or their own."""
     own = F.when(F.col("linked"), F.col("p")).otherwise(F.col("id"))
-    if crowds is None:
+    if labels is None:
         return nodes.withColumn("label", own)
-    c = crowds.withColumnRenamed("label", "_crowd")
+    c = labels.withColumnRenamed("label", "_crowd")
     return nodes.join(c, ["id", "v"], "left").withColumn("label", F.coalesce("_crowd", own)).drop("_crowd")
 
 
@@ -259,14 +271,14 @@ def links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> list[
         if turn == TURNS:  # what no pivot is near to: the sets themselves are compared
             rest = placed.select("id", "v", "n", "g").join(sets, ["id", "v"]).select("g", "id", "v", "n", F.lit(0).alias("pn"), F.lit(False).alias("linked"), F.col("id").alias("p"), F.col("hashes").alias("d"))
             crowds = _crowds(members.drop("m", "lead"), sets, percent)
-            if crowds is not None:
-                found.append(crowds.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")))
-            rest = _labelled(rest, crowds)
+            if crowds:
+                found.append(crowds[0])
+            rest = _labelled(rest, crowds and crowds[1])
             return [*found, materialize(_late_pairs(rest, percent, False))]
         # A pair that links has its first member within NEAR of a pivot at a turn at which both are within NEAR + 100 - percent.
         wide = max(0, 100 - NEAR - (100 - percent))
         sized = placed.where(f"100 * least(n, pn) >= {wide} * greatest(n, pn)")
-        compared = _met(sized, sets, placed)
+        compared = _met(sized, sets, placed.where("id = p and v = pv").select("g", "p", "pv", "salts"))
         compared = compared.where(f"100 * common >= {wide} * (n + pn - common)")
         compared = materialize(compared.withColumn("linked", F.expr(f"100 * common >= {percent} * (n + pn - common)")))
         found.append(compared.where("linked and id <> p").select(F.col("id").alias("a"), F.col("p").alias("b")))
@@ -280,9 +292,9 @@ def links(docs: DataFrame, members: DataFrame, size: int, percent: int) -> list[
         found.append(near.where(sure).select(F.col("id").alias("a"), "b"))
         open_ = compared.where("not linked").select("id", "v")
         crowds = _crowds(members.drop("m", "lead").join(open_, ["id", "v"], "left_semi"), sets, percent)
-        if crowds is not None:
-            found.append(crowds.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")))
-        found.append(materialize(_late_pairs(_labelled(near, crowds).drop("b", "reach", "p", "common"), percent, True)))
+        if crowds:
+            found.append(crowds[0])
+        found.append(materialize(_late_pairs(_labelled(near, crowds and crowds[1]).drop("b", "reach", "p", "common"), percent, True)))
         done = compared.where(f"100 * common >= {100 - NEAR} * (n + pn - common)").select("id", "v")
         left_over = members.drop("m", "lead").join(placed.select("id", "v"), ["id", "v"], "left_semi").join(done, ["id", "v"], "left_anti")
         members = _shared(left_over)
