@@ -16,7 +16,7 @@ No group is ever expanded into all its pairs:
    places of their own, so the rarest elements of a difference, as many as the exact threshold
    asks for (prefix and position filter), meet few others. Only pairs found so are compared.
    A group may hold crowds of its own, such as copies of another edition: of the members that are not linked with the pivot,
-   those of bands that ``CROWD`` of them share get pivots of their own, the least member of each one's greatest band. What
+   those of bands that ``CROWD`` of them share are compared with pivots of their own, the least member of each such band. What
    one pivot links is connected, so the look-up is for pairs of different crowds only, and elements that one crowd alone
    holds are not looked up at all.
 4. Members farther than ``NEAR`` from the pivot get a pivot of their own group in a next turn; after ``TURNS``
@@ -48,8 +48,8 @@ ship(__name__)
 PERMUTATIONS, ROWS, PARTNERS = 65, 5, 128
 #: Turns with a pivot, and the distance (per cent) within which a node is settled by one.
 TURNS, NEAR = 2, 50
-#: Members of a band from which on they get a pivot of their own, and how often that is tried.
-CROWD, ROUNDS = 16, 8
+#: Members of a band from which on they get a pivot of their own.
+CROWD = 16
 _RNG = np.random.Generator(np.random.PCG64(42))
 #: Odd multipliers and offsets of the permutations of 32 bit values.
 A = (_RNG.integers(0, 1 << 31, PERMUTATIONS, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -181,33 +181,20 @@ def _met(placed: DataFrame, sets: DataFrame, pivots: DataFrame) -> DataFrame:
 
 
 def _crowds(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame] | None:
-    """(links (a, b), labels (id, v, label)) of the nodes that link with the pivot of their crowd. rows: (band, id, v, n).
+    """(links (a, b), labels (id, label)) of the nodes that link with a pivot of a crowd. rows: (band, id, v, n).
 
-    A node's crowd is its band with the most nodes, the pivot that band's least id. A pivot may link with that of a greater band,
-    so a label is followed to its end. Crowds of what did not link are looked for again, while that links a crowd's worth
-    of nodes and ``ROUNDS`` times at most: labels only save look-ups, which find what they leave.
+    A crowd is a band of ``CROWD`` nodes or more, its pivot the least id. A node is compared with the pivots of all its crowds,
+    most of which share few; what these links connect has one label.
     """
-    found = None
-    for _ in range(ROUNDS):
-        crowd = _shared(rows, CROWD)
-        if crowd.isEmpty():
-            break
-        nodes = crowd.groupBy("id", "v", "n").agg(F.max_by("lead", F.struct("m", "band")).alias("p"))
-        which = crowd.groupBy(F.col("id").alias("p")).agg(F.min(F.struct("v", "n")).alias("x")).select("p", F.col("x.v").alias("pv"), F.col("x.n").alias("pn"))
-        pivots = materialize(nodes.groupBy("p").agg((F.floor((F.count("*") - 1) / PARTNERS) + 1).alias("salts")).join(which, "p").withColumn("g", F.col("p")))
-        linked = _met(nodes.join(pivots.select("g", "p", "pn", "salts"), "p"), sets, pivots).where(f"id <> p and 100 * common >= {percent} * (n + pn - common)")
-        linked = materialize(linked.select("id", "v", F.col("p").alias("label")))
-        found = linked if found is None else found.union(linked)
-        if linked.count() < CROWD:
-            break
-        gone = linked.select("id").union(linked.select(F.col("label").alias("id"))).distinct()
-        rows = materialize(rows.join(gone, "id", "left_anti"))
-    if found is None:
+    crowd = _shared(rows, CROWD)
+    if crowd.isEmpty():
         return None
-    labels, next_ = found, found.groupBy(F.col("id").alias("label")).agg(F.min("label").alias("_next"))
-    for _ in range(2):
-        labels = labels.join(next_, "label", "left").select("id", "v", F.coalesce("_next", "label").alias("label"))
-    return found.select(F.col("id").alias("a"), F.col("label").alias("b")), materialize(labels.groupBy("id", "v").agg(F.min("label").alias("label")))
+    nodes = materialize(crowd.select("id", "v", "n", F.col("lead").alias("p")).distinct())
+    which = nodes.groupBy(F.col("id").alias("p")).agg(F.min(F.struct("v", "n")).alias("x")).select("p", F.col("x.v").alias("pv"), F.col("x.n").alias("pn"))
+    pivots = materialize(nodes.groupBy("p").agg((F.floor((F.count("*") - 1) / PARTNERS) + 1).alias("salts")).join(which, "p").withColumn("g", F.col("p")))
+    linked = _met(nodes.join(pivots.select("g", "p", "pn", "salts"), "p").where("id <> p"), sets, pivots).where(f"100 * common >= {percent} * (n + pn - common)")
+    linked = materialize(linked.select(F.col("id").alias("a"), F.col("p").alias("b")))
+    return linked, materialize(connected_components(linked).withColumnRenamed("component", "label"))
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -216,7 +203,7 @@ def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return nodes.withColumn("label", own)
     c = labels.withColumnRenamed("label", "_crowd")
-    return nodes.join(c, ["id", "v"], "left").withColumn("label", F.coalesce("_crowd", own)).drop("_crowd")
+    return nodes.join(c, "id", "left").withColumn("label", F.coalesce("_crowd", own)).drop("_crowd")
 
 
 def _need(percent: int, a: str, b: str, n: str) -> str:
