@@ -50,16 +50,18 @@ def hash_encoder(dimension: int = DIMENSION) -> Encoder:
     return run
 
 
-def embed(rows: DataFrame, text: str, encoder: Encoder, dimension: int = DIMENSION, batch: int = 32, attempts: int = 4, base: float = 0.5, pause: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def embed(rows: DataFrame, text: str, encoder: Encoder, dimension: int = DIMENSION, batch: int = 32, attempts: int = 4, base: float = 0.5, pause: float = 0.0, sleep: Callable[[float], None] = time.sleep, element: T.DataType = T.FloatType()) -> DataFrame:
     """``rows`` with ``embedding`` and ``embedding_error`` (null where it went well); null and blank texts are not sent.
 
     Batches have ``batch`` texts, at least ``pause`` seconds apart in a task. A busy encoder is asked ``attempts`` times in all,
-    after the seconds it names or ``base`` times two, four, ... seconds.
+    after the seconds it names or ``base`` times two, four, ... seconds. Values are stored as floats, or as the encoder
+    gave them with ``element`` a double.
     """
     names = [c for c in rows.columns if c not in ("embedding", "embedding_error")]
     plain = [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([*(T.StructField(p, rows.schema[c].dataType) for p, c in zip(plain, names, strict=True)), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("embedding_error", T.StringType())])
+    schema = T.StructType([*(T.StructField(p, rows.schema[c].dataType) for p, c in zip(plain, names, strict=True)), T.StructField("embedding", T.ArrayType(element)), T.StructField("embedding_error", T.StringType())])
     zero = [0.0] * dimension
+    stored = pa.list_(pa.float64() if isinstance(element, T.DoubleType) else pa.float32())
 
     def ask(texts: list[str]) -> tuple[list[list[float]], str | None]:
         for n in range(attempts):
@@ -90,7 +92,7 @@ def embed(rows: DataFrame, text: str, encoder: Encoder, dimension: int = DIMENSI
                 got, error = ask([texts[i] for i in part])
                 for i, v in zip(part, got, strict=True):
                     vectors[i], errors[i] = v, error
-            yield pa.RecordBatch.from_arrays([*(b[p] for p in plain), pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=[*plain, "embedding", "embedding_error"])
+            yield pa.RecordBatch.from_arrays([*(b[p] for p in plain), pa.array(vectors, stored), pa.array(errors, pa.string())], names=[*plain, "embedding", "embedding_error"])
 
     d = rows.select(*[F.col(f"`{c}`").alias(p) for p, c in zip(plain, names, strict=True)], F.col(f"`{text}`").alias("text"))
     return d.mapInArrow(run, schema).toDF(*names, "embedding", "embedding_error")

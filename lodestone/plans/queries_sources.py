@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import embedding, temporal, upkeep
@@ -214,7 +215,7 @@ _WORD = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\
 s AS (SELECT doc_id, count(*) FILTER (v <> 0) AS used, max(v) / sqrt(sum(v * v)) AS top FROM b GROUP BY 1) SELECT doc_id, coalesce(used, 0) AS used, round(greatest(coalesce(top, 0), 0), 5) AS top FROM documents LEFT JOIN s USING (doc_id)""")
 def s19_hash_vectors(t: Tables) -> DataFrame:
     """Every document embedded in batches by the encoder without a model: places in use and the greatest value of its vector."""
-    d = embedding.embed(t.documents.select("doc_id", "text"), "text", embedding.hash_encoder())
+    d = embedding.embed(t.documents.select("doc_id", "text"), "text", embedding.hash_encoder(), element=T.DoubleType())
     return d.select("doc_id", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("used"), F.round(F.greatest(F.array_max("embedding"), F.lit(0.0)).cast("double"), 5).alias("top"))
 
 
