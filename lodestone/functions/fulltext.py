@@ -3,6 +3,9 @@
 A word is a run of Unicode letters and digits, lower-cased; stop words are no lexemes but count as positions. Words are
 split and lower-cased where they are read and stemmed through a cache, one Arrow batch at a time: no shuffle. Texts
 are taken whole. ``postings`` is the stored form for many questions: one row per (lexeme, object).
+
+``forms``, where given, closes some lexemes: only the listed words count as one of them. Another word that the stemmer would
+bring to it is a lexeme by itself, as is a name that only looks inflected.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Collection, Iterable, Mapping
 
 import pandas as pd
 import regex
@@ -24,16 +27,23 @@ _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _STOP = frozenset(STOP_WORDS)
 #: The weight of a lexeme without a label. Fixed value.
 WEIGHT = 0.1
+Forms = Mapping[str, Collection[str]]
+
+
+def lexeme(word: str, forms: Forms | None = None) -> str:
+    """The stem of a lower-cased word, or the word itself if its stem is closed to it."""
+    k = stem(word)
+    return word if forms and k in forms and word not in forms[k] else k
 
 
-def query_lexemes(question: str | None) -> tuple[str, ...]:
+def query_lexemes(question: str | None, forms: Forms | None = None) -> tuple[str, ...]:
     """The distinct lexemes of a question, in order."""
-    return tuple(dict.fromkeys(stem(w) for w in _WORD.findall((question or "").lower()) if w not in _STOP))
+    return tuple(dict.fromkeys(lexeme(w, forms) for w in _WORD.findall((question or "").lower()) if w not in _STOP))
 
 
-def positions(text: str) -> list[tuple[str, int]]:
+def positions(text: str, forms: Forms | None = None) -> list[tuple[str, int]]:
     """(lexeme, position) of a lower-cased text; positions count stop words as well."""
-    return [(stem(w), i) for i, w in enumerate(_WORD.findall(text)) if w not in _STOP]
+    return [(lexeme(w, forms), i) for i, w in enumerate(_WORD.findall(text)) if w not in _STOP]
 
 
 def cover_density(places: list[tuple[int, int]], n: int) -> float:
@@ -86,7 +96,7 @@ def stemmed(text: Column | str) -> Column:
     return run(F.lower(col(text)))
 
 
-def text_rank(text: Column | str, lexemes: Iterable[str], score: Callable = cover_density) -> Column:
+def text_rank(text: Column | str, lexemes: Iterable[str], score: Callable = cover_density, forms: Forms | None = None) -> Column:
     """The score of the lexemes in a text; null where the text lacks one, or there are no lexemes."""
     number = {k: i for i, k in enumerate(dict.fromkeys(lexemes))}
     if not number:
@@ -95,7 +105,7 @@ def text_rank(text: Column | str, lexemes: Iterable[str], score: Callable = cove
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
         def one(x: str | None) -> float | None:
-            places = [(i, number[k]) for k, i in positions(x or "") if k in number]
+            places = [(i, number[k]) for k, i in positions(x or "", forms) if k in number]
             return score(places, len(number)) if len({k for _, k in places}) == len(number) else None
 
         return texts.map(one).astype("float64")
@@ -113,14 +123,14 @@ def may_match(low: Column, lexemes: Iterable[str]) -> Column:
     return out
 
 
-def matching(df: DataFrame, text: Column | str, question: str, rank: str = "v") -> DataFrame:
+def matching(df: DataFrame, text: Column | str, question: str, rank: str = "v", forms: Forms | None = None) -> DataFrame:
     """The rows whose text has all lexemes of the question, with their cover density; none for an empty question."""
-    lexemes = query_lexemes(question)
+    lexemes = query_lexemes(question, forms)
     if not lexemes:
         return df.where(F.lit(False)).withColumn(rank, F.lit(None).cast("double"))
     # The native test is a filter of its own, so that it runs before rows are sent to Python.
     found = df.where(may_match(F.lower(col(text)), lexemes))
-    return found.withColumn(rank, text_rank(text, lexemes)).where(F.col(rank).isNotNull())
+    return found.withColumn(rank, text_rank(text, lexemes, forms=forms)).where(F.col(rank).isNotNull())
 
 
 def postings(df: DataFrame, key: str, text: Column | str) -> DataFrame:

@@ -9,6 +9,8 @@ FORMS = {
     "hehe": "hehe hehely hehees heheed heheing",
     "ater": "ater aterer atered atering aterly ateres",
 }
+#: The same as a dictionary: queries whose SQL lists the forms take no others for these lexemes.
+CLOSED = {stem: frozenset(forms.split()) for stem, forms in FORMS.items()}
 STEM = "CASE " + " ".join(f"WHEN w IN ({', '.join(repr(f) for f in forms.split())}) THEN '{stem}'" for stem, forms in FORMS.items()) + " END"
 PLACES = f"""p AS (SELECT doc_id, i, {STEM} AS k FROM (SELECT doc_id, unnest({LEX}) AS w, generate_subscripts({LEX}, 1) AS i FROM documents)), hits AS (SELECT * FROM p WHERE k IS NOT NULL)"""
 
