@@ -13,12 +13,14 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Callable, Collection, Iterable, Mapping
+from collections.abc import Callable, Collection, Iterable, Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stem import stem
 from .text import STOP_WORDS, col
@@ -27,6 +29,8 @@ _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _STOP = frozenset(STOP_WORDS)
 #: The weight of a lexeme without a label. Fixed value.
 WEIGHT = 0.1
+#: Places in a batch of postings. Fixed value.
+CHUNK = 100_000
 Forms = Mapping[str, Collection[str]]
 
 
@@ -133,33 +137,45 @@ def matching(df: DataFrame, text: Column | str, question: str, rank: str = "v",
     return found.withColumn(rank, text_rank(text, lexemes, forms=forms)).where(F.col(rank).isNotNull())
 
 
-def postings(df: DataFrame, key: str, text: Column | str) -> DataFrame:
-    """(lexeme, key, places): every lexeme of every text with its positions. To be stored by lexeme."""
-
-    @F.pandas_udf("array<struct<lexeme:string,places:array<int>>>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(x: str | None) -> list:
+def posted(batches: Iterable[pa.RecordBatch], kept: Collection[str] | None = None, forms: Forms | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of (lexeme, key, places), of about ``CHUNK`` places each, for batches of (key, lower-cased text)."""
+    for b in batches:
+        words, rows, places, n = [], [], [], 0
+        for row, x in enumerate(b["text"]):
             found: dict[str, list[int]] = {}
-            for k, i in positions(x or ""):
-                found.setdefault(k, []).append(i)
-            return [{"lexeme": k, "places": p} for k, p in found.items()]
-
-        return texts.map(one)
-
-    rows = df.select(key, F.explode(run(F.lower(col(text)))).alias("_p"))
-    return rows.select(F.col("_p.lexeme").alias("lexeme"), key, F.col("_p.places").alias("places"))
+            for k, i in positions(x.as_py() or "", forms):
+                if kept is None or k in kept:
+                    found.setdefault(k, []).append(i)
+                    n += 1
+            words.extend(found)
+            rows.extend([row] * len(found))
+            places.extend(found.values())
+            if n >= CHUNK or row == b.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), b["key"].take(pa.array(rows, pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["lexeme", "key", "places"])
+                words, rows, places, n = [], [], [], 0
+
+
+def postings(df: DataFrame, key: str, text: Column | str, only: Collection[str] | None = None, forms: Forms | None = None) -> DataFrame:
+    """(lexeme, key, places): every lexeme of every text with its positions. To be stored by lexeme.
+
+    ``only``: the lexemes to be kept, where all questions are known. A task's memory does not grow with its rows.
+    """
+    kept = None if only is None else frozenset(only)
+    schema = T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("key", df.select(key).schema[0].dataType), T.StructField("places", T.ArrayType(T.IntegerType()))])
+    d = df.select(F.col(key).alias("key"), F.lower(col(text)).alias("text"))
+    return d.mapInArrow(lambda batches: posted(batches, kept, forms), schema).toDF("lexeme", key, "places")
 
 
-def batch_search(stored: DataFrame, questions: DataFrame, key: str, limit: int) -> DataFrame:
+def batch_search(stored: DataFrame, questions: DataFrame, key: str, limit: int, forms: Forms | None = None) -> DataFrame:
     """(query_id, key, rank_value, place): the ``limit`` best objects of each question (query_id, question).
 
     Each question's lexemes meet the postings in one equi join; its candidates are those of its rarest lexeme, so a
-    frequent word beside a rare one does not widen the search. Places meet per (question, object).
+    frequent word beside a rare one does not widen the search. Places meet per (question, object). ``stored`` is read three times.
     """
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: list(query_lexemes(x)))
+        return texts.map(lambda x: list(query_lexemes(x, forms)))
 
     @F.pandas_udf("double")
     def rank(lists: pd.Series) -> pd.Series:
