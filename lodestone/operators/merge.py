@@ -24,6 +24,11 @@ def one_per_key(rows: DataFrame, keys: Sequence[str], among: Sequence[str] | Non
     return rows.withColumn("_mark", mark).withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_mark", "_place")
 
 
+def unique(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``one_per_key`` for rows whose keys hardly ever repeat: the keys alone are counted first, and where none repeats the rows stay where they are."""
+    return one_per_key(rows, keys) if rows.groupBy(*keys).count().where("count > 1").limit(1).count() else rows
+
+
 def insert_if_absent(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows of ``rows`` whose key is not in ``table``, one for each key."""
     return one_per_key(rows, keys).join(table.select(*keys), list(keys), "left_anti")

@@ -24,11 +24,18 @@ PROPOSALS = {
 NO_DATE = ("null", "n/a", "na", "tbd", "none", "unknown", "-", "")
 
 
-def ensure_artifacts(artifacts: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ids, new rows): the artifact of every item (tenant, source_key, source_type, original_path, content, scope_path), and what is to be added."""
+def new_artifact_id() -> Column:
+    return F.substring(F.sha2(F.concat_ws("\x1f", "tenant", "source_key"), 256), 1, 32)
+
+
+def ensure_artifacts(artifacts: DataFrame, items: DataFrame, unique: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(ids, new rows): the artifact of every item (tenant, source_key, source_type, original_path, content, scope_path), and what is to be added.
+
+    ``unique``: no key of the items repeats.
+    """
     known = artifacts.select("tenant", "source_key", "artifact_id")
-    one = merge.one_per_key(items, ["tenant", "source_key"]).join(known, ["tenant", "source_key"], "left")
-    fresh_id = F.substring(F.sha2(F.concat_ws("\x1f", "tenant", "source_key"), 256), 1, 32)
+    one = (items if unique else merge.one_per_key(items, ["tenant", "source_key"])).join(known, ["tenant", "source_key"], "left")
+    fresh_id = new_artifact_id()
     ids = one.select("tenant", "source_key", F.coalesce("artifact_id", fresh_id).alias("artifact_id"), F.col("artifact_id").isNull().alias("created"))
     content = F.coalesce("content", F.lit(""))
     new = one.where("artifact_id is null").select("tenant", "source_key", fresh_id.alias("artifact_id"), "source_type", "original_path", F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("size_bytes"), "scope_path", F.lit("discovered").alias("preservation_state"))
@@ -150,7 +157,12 @@ def date_range(start: Column, end: Column) -> Column:
 
 def fact_fingerprint(subject: Column, predicate: Column, value_json: Column) -> Column:
     """SHA-256 of subject, predicate and the value as JSON text."""
-    return F.sha2(F.concat_ws("|", F.coalesce(subject, F.lit("")), F.coalesce(predicate, F.lit("")), F.coalesce(value_json, F.lit('""'))), 256)
+    return F.sha2(fact_text(subject, predicate, value_json), 256)
+
+
+def fact_text(subject: Column, predicate: Column, value_json: Column) -> Column:
+    """What a fingerprint is the digest of."""
+    return F.concat_ws("|", F.coalesce(subject, F.lit("")), F.coalesce(predicate, F.lit("")), F.coalesce(value_json, F.lit('""')))
 
 
 def eval_totals(cases: DataFrame, *by: str) -> DataFrame:
